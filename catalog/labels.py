@@ -144,10 +144,11 @@ response AS (
   SELECT k, (1 + 2 * exp(-w) * cos(w) + exp(-2 * w)) / 4 * exp(-w * k) * sin((k + 1) * w) / sin(w) AS g
   FROM range(256) t(k), w
 ),
+spread_out AS (
+  SELECT b.i + r.k AS i, sum(r.g * b.d) AS hp FROM bent b CROSS JOIN response r GROUP BY 1
+),
 long_filtered AS (
-  SELECT b.i, any_value(b.x) AS x, any_value(b.x) - sum(r.g * p.d) AS fp
-  FROM bent b, response r JOIN bent p ON p.i = b.i - r.k
-  GROUP BY b.i
+  SELECT b.i, b.x, b.x - s.hp AS fp FROM bent b JOIN spread_out s USING (i)
 )"""
 
 
