@@ -1,6 +1,6 @@
 """Queries over the given tables, with the SQL that checks them."""
 
 from catalog.base import ORACLES, QUERIES
-from catalog import chunks, labels, scaling  # noqa: F401  (each registers its queries)
+from catalog import chunks, labels, scaling, tasks  # noqa: F401  (each registers its queries)
 
 __all__ = ["ORACLES", "QUERIES"]

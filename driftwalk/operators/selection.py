@@ -82,11 +82,19 @@ def exact_medians(
     """
     names = list(values)
     data = df.select(*[known(values[n].cast("double")).alias(f"v{i}") for i, n in enumerate(names)])
-    ends = _ask(data, [[F.count(c), F.min(c), F.max(c)] for c in data.columns])
+    slack = 2 / accuracy
+    middle = [0.5 - slack, 0.5 + slack]
+    first = _ask(
+        data,
+        [
+            [F.count(c), F.min(c), F.max(c), F.percentile_approx(c, middle, accuracy)]
+            for c in data.columns
+        ],
+    )
     targets: dict[str, list[_Target]] = {}
-    for name, column, (count, low, high) in zip(names, data.columns, ends):
+    for name, column, (count, low, high, bracket) in zip(names, data.columns, first):
         ranks = sorted({(count - 1) // 2, count // 2}) if count else []
-        targets[name] = [_Target(column, r, low, high, (low, high)) for r in ranks]
+        targets[name] = [_Target(column, r, *bracket, (low, high)) for r in ranks]
     everything = [t for group in targets.values() for t in group]
 
     while pending := [t for t in everything if t.answer is None]:
@@ -96,7 +104,7 @@ def exact_medians(
         wide = [t for t in pending if t.answer is None and t.inside > sort_limit]
         asked = [[F.array_sort(F.collect_list(t.within()))[t.rank - t.below]] for t in sortable]
         for target in wide:
-            share, slack = (target.rank - target.below) / target.inside, 2 / accuracy
+            share = (target.rank - target.below) / target.inside
             shares = [max(share - slack, 0.0), min(share + slack, 1.0)]
             asked.append([F.percentile_approx(target.within(), shares, accuracy)])
         if asked:
