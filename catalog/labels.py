@@ -24,6 +24,7 @@ from catalog.base import (
 )
 from driftwalk.operators import cleaning, labels, ordering, recurrence
 from driftwalk.plans.prepare import prepare_features_and_labels
+from driftwalk.staging import stage
 
 
 def indexed_ev(spark, folder):
@@ -48,6 +49,11 @@ def prepared_ev(spark, folder):
     return table.withColumnRenamed(name, "label")
 
 
+def processed_ev(spark, folder):
+    """The prepared table written once; windows and tasks read it."""
+    return stage(prepared_ev(spark, folder), "processed")
+
+
 @register(
     "drop_nulls",
     """SELECT event_id, user_id, nullif(event_type, 'error') AS event_type, value

@@ -19,7 +19,7 @@ from catalog.base import (
     register,
     sql_r6,
 )
-from catalog.labels import indexed_orders, prepared_ev
+from catalog.labels import indexed_orders, processed_ev
 from driftwalk.functions.columns import decay_weights
 from driftwalk.operators import metrics, moments, splits, tasks, windows
 
@@ -31,18 +31,17 @@ REACH = SUPPORT + QUERY + SEQ + 1
 def mean_windows(spark, folder, features=("f1",), decay=None):
     """Window means of the features with the last row's label."""
     return windows.window_means(
-        prepared_ev(spark, folder), list(features), "label", SEQ, series=EV_SERIES, decay=decay
+        processed_ev(spark, folder), list(features), "label", SEQ, series=EV_SERIES, decay=decay
     )
 
 
 def samples(spark, folder, features=("f1",)):
     """Windows placed in their series, ready for task assignment."""
-    found = mean_windows(spark, folder, features)
-    rows = tasks.with_splits(
-        prepared_ev(spark, folder).select("user_id", "row_idx"), EV_SERIES
-    ).select("user_id", "row_idx", "split", "split_row", "split_rows")
-    placed = rows.withColumnRenamed("row_idx", "window_start")
-    return found.join(placed, ["user_id", "window_start"])
+    rows = tasks.with_splits(processed_ev(spark, folder), EV_SERIES)
+    placed = ["split", "split_row", "split_rows"]
+    return windows.window_means(
+        rows, list(features), "label", SEQ, series=EV_SERIES, keep=placed
+    )
 
 
 def task_samples(spark, folder, features=("f1",)):
@@ -119,7 +118,7 @@ FROM numbered n JOIN prepared p ON p.user_id = n.user_id
 @register("sliding_windows", stride_sql(0, 1))
 def sliding_windows(spark, folder):
     found = windows.sliding_windows(
-        prepared_ev(spark, folder), ["f1", "f2"], "label", SEQ, 1, EV_SERIES
+        processed_ev(spark, folder), ["f1", "f2"], "label", SEQ, 1, EV_SERIES
     )
     return exploded(found)
 
@@ -127,7 +126,7 @@ def sliding_windows(spark, folder):
 @register("sliding_windows_in_chunks", stride_sql(16, 2))
 def sliding_windows_in_chunks(spark, folder):
     found = windows.sliding_windows(
-        prepared_ev(spark, folder), ["f1", "f2"], "label", SEQ, 2, EV_SERIES, chunk_rows=16
+        processed_ev(spark, folder), ["f1", "f2"], "label", SEQ, 2, EV_SERIES, chunk_rows=16
     )
     return exploded(found)
 
@@ -135,7 +134,7 @@ def sliding_windows_in_chunks(spark, folder):
 @register("window_lookup", stride_sql(16, 2, "WHERE n.window_id = 9"))
 def window_lookup(spark, folder):
     found = windows.window_at(
-        prepared_ev(spark, folder), 9, ["f1", "f2"], "label", SEQ, 2, EV_SERIES, chunk_rows=16
+        processed_ev(spark, folder), 9, ["f1", "f2"], "label", SEQ, 2, EV_SERIES, chunk_rows=16
     )
     return exploded(found)
 
@@ -175,7 +174,7 @@ def decayed_window_means(spark, folder):
 )
 def score_windows(spark, folder):
     """A predictor (the mean of f1) applied to batches of windows."""
-    found = windows.sliding_windows(prepared_ev(spark, folder), ["f1"], "label", SEQ, 1, EV_SERIES)
+    found = windows.sliding_windows(processed_ev(spark, folder), ["f1"], "label", SEQ, 1, EV_SERIES)
 
     def predict(batch):
         return batch["features"].map(lambda steps: sum(s["f1"] for s in steps) / len(steps))
@@ -191,7 +190,7 @@ def score_windows(spark, folder):
                AS num_windows FROM lengths""",
 )
 def count_windows(spark, folder):
-    return windows.count_windows(prepared_ev(spark, folder), SEQ, 2, EV_SERIES, chunk_rows=16)
+    return windows.count_windows(processed_ev(spark, folder), SEQ, 2, EV_SERIES, chunk_rows=16)
 
 
 @register(
@@ -217,7 +216,7 @@ def chunk_statistics(spark, folder):
                CAST(q1 AS BIGINT) AS query_end FROM tasks""",
 )
 def rolling_tasks(spark, folder):
-    bounds = tasks.split_bounds(prepared_ev(spark, folder), EV_SERIES)
+    bounds = tasks.split_bounds(processed_ev(spark, folder), EV_SERIES)
     return tasks.rolling_tasks(bounds, SHAPE, EV_SERIES).drop("split")
 
 
@@ -293,7 +292,7 @@ def task_chunks(spark, folder):
         FROM prepared p JOIN tasks t ON t.user_id = p.user_id AND p.row_idx BETWEEN t.s0 AND t.q1""",
 )
 def rows_in_tasks(spark, folder):
-    rows = tasks.with_splits(prepared_ev(spark, folder), EV_SERIES)
+    rows = tasks.with_splits(processed_ev(spark, folder), EV_SERIES)
     found = tasks.assign_tasks(rows, SHAPE, length=1)
     return found.select("user_id", "row_idx", "task_id", "part")
 

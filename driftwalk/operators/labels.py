@@ -13,10 +13,15 @@ from driftwalk.operators.ordering import (
     ROW,
     attach_by_part,
     own_rows,
-    part_window,
     with_halo,
 )
-from driftwalk.operators.recurrence import HighPass, add_high_pass, part_rows_for
+from driftwalk.operators.recurrence import (
+    BLOCK,
+    HighPass,
+    add_high_pass,
+    block_window,
+    part_rows_for,
+)
 
 # Below this spread or deviation a label stays 0.
 SMALL = 1e-9
@@ -46,12 +51,11 @@ def trend_labels(
     frame = frame.withColumn("filtered_price", F.col(price) - F.col("residual")).drop("residual")
     frame = frame.withColumn(
         "future_filtered_price",
-        F.lead("filtered_price", shift_length).over(part_window(series, index_col)),
+        F.lead("filtered_price", shift_length).over(block_window(series, index_col)),
     )
     change = F.col("future_filtered_price") - F.col(price)
-    return own_rows(
-        frame.withColumn("l_value", F.try_divide(change, F.col(price))), part_rows, index_col
-    )
+    frame = frame.withColumn("l_value", F.try_divide(change, F.col(price)))
+    return own_rows(frame, part_rows, index_col).drop(BLOCK)
 
 
 def label_statistics(label: str) -> list[Column]:

@@ -15,7 +15,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from driftwalk.operators.ordering import (
     PART,
@@ -28,7 +28,7 @@ from driftwalk.operators.ordering import (
 
 # exp(-80) is about 2e-35, far below the 1e-16 relative step of a double.
 FORGOTTEN = 80.0
-_BLOCK = "block"
+BLOCK = "block"
 
 
 @dataclass(frozen=True)
@@ -78,16 +78,21 @@ def _block_sums(
 ) -> DataFrame:
     """Replace each column by its running sum in the block; add the sum of the block before."""
     inside = (
-        Window.partitionBy(*series, PART, _BLOCK)
+        Window.partitionBy(*series, PART, BLOCK)
         .orderBy(index_col)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    previous = Window.partitionBy(*series, PART).orderBy(_BLOCK).rangeBetween(-1, -1)
+    previous = Window.partitionBy(*series, PART).orderBy(BLOCK).rangeBetween(-1, -1)
     sums = {f"{n}_now": F.sum(n).over(inside) for n in names}
     sums |= {f"{n}_prev": F.coalesce(F.sum(n).over(previous), F.lit(0.0)) for n in names}
     return frame.withColumns(sums)
 
 
+def block_window(series: Sequence[str], index_col: str) -> WindowSpec:
+    """Rows of a part in order, sorted as the block sums need it: one sort for all."""
+    return Window.partitionBy(*series, PART).orderBy(BLOCK, index_col)
+
+
 def add_high_pass(
     frame: DataFrame,
     price: str,
@@ -96,16 +101,18 @@ def add_high_pass(
     index_col: str,
     residual: str,
 ) -> DataFrame:
-    """Add the residual to a frame laid out in parts with a warm-up halo."""
+    """Add the residual to a frame laid out in parts with a warm-up halo.
+
+    The frame stays sorted as ``block_window`` orders it and keeps its block.
+    """
     w, rows = shape.rate, shape.block_rows
     c1, _, _ = shape.coefficients
-    # Ordered by (block, row) like the block windows, so that one sort serves all.
-    ordered = Window.partitionBy(*series, PART).orderBy(_BLOCK, index_col)
+    ordered = block_window(series, index_col)
     lag = lambda k: F.coalesce(F.lag(price, k).over(ordered), F.lit(0.0))
     frame = (
-        frame.withColumn(_BLOCK, F.expr(f"`{index_col}` div {rows}L"))
+        frame.withColumn(BLOCK, F.expr(f"`{index_col}` div {rows}L"))
         .withColumn("bend", F.col(price) - 2 * lag(1) + lag(2))
-        .withColumn("step", (F.col(index_col) - F.col(_BLOCK) * rows).cast("double"))
+        .withColumn("step", (F.col(index_col) - F.col(BLOCK) * rows).cast("double"))
     )
     angle = F.col("step") * w
     frame = frame.withColumns(
@@ -122,7 +129,7 @@ def add_high_pass(
         return F.exp(-step * w) * mixed
 
     both = response(F.col("step"), "_now") + response(F.col("step") + rows, "_prev")
-    helpers = ["bend", "step", "even", "odd", _BLOCK]
+    helpers = ["bend", "step", "even", "odd"]
     helpers += [f"{n}_{s}" for n in ("even", "odd") for s in ("now", "prev")]
     return frame.withColumn(residual, both * (c1 / math.sin(w))).drop(*helpers)
 
@@ -146,7 +153,7 @@ def high_pass_filter(
     frame = with_halo(df, before=shape.warm_up, part_rows=part_rows, index_col=index_col)
     name = residual or "residual"
     frame = add_high_pass(frame, price, shape, series, index_col, name)
-    frame = own_rows(frame, part_rows, index_col)
+    frame = own_rows(frame, part_rows, index_col).drop(BLOCK)
     frame = frame.withColumn(filtered, F.col(price) - F.col(name))
     return frame if residual else frame.drop(name)
 
@@ -166,8 +173,8 @@ def decayed_sums(
     rows = math.ceil(FORGOTTEN / rate)
     part_rows = part_rows_for(rows, part_rows)
     frame = with_halo(df, before=rows, part_rows=part_rows, index_col=index_col)
-    frame = frame.withColumn(_BLOCK, F.expr(f"`{index_col}` div {rows}L"))
-    step = (F.col(index_col) - F.col(_BLOCK) * rows).cast("double")
+    frame = frame.withColumn(BLOCK, F.expr(f"`{index_col}` div {rows}L"))
+    step = (F.col(index_col) - F.col(BLOCK) * rows).cast("double")
     frame = frame.withColumns({c: F.col(c) * F.exp(step * rate) for c in columns})
     frame = _block_sums(frame, series, index_col, list(columns))
     merged = {
@@ -175,7 +182,7 @@ def decayed_sums(
         for c in columns
     }
     extra = [f"{c}_{s}" for c in columns for s in ("now", "prev")]
-    frame = frame.withColumns(merged).drop(_BLOCK, *extra)
+    frame = frame.withColumns(merged).drop(BLOCK, *extra)
     return own_rows(frame, part_rows, index_col)
 
 

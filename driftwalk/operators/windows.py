@@ -44,6 +44,7 @@ def _frames(
     chunk_rows: int,
     index_col: str,
     part_rows: int,
+    keep: Sequence[str],
     ahead: Callable,
 ) -> DataFrame:
     """Rows that start a complete window, with window expressions over it.
@@ -70,6 +71,7 @@ def _frames(
         (number + (local / stride).cast("bigint")).alias("window_id"),
         i.alias("window_start"),
         "window_end",
+        *keep,
         *[c.alias(n) for n, c in columns.items()],
     )
 
@@ -84,9 +86,12 @@ def sliding_windows(
     chunk_rows: int = 0,
     index_col: str = ROW,
     part_rows: int = PART_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """All windows as arrays of feature rows, with the last row's label.
 
+    ``keep`` names columns taken from a window's first row.
+
     An array repeats each row ``length`` times; use ``window_means`` when a
     summary of the window is enough.
     """
@@ -101,7 +106,7 @@ def sliding_windows(
 
     columns = {"features": F.col("features"), label: F.col("window_label")}
     return _frames(
-        df, columns, length, stride, series, chunk_rows, index_col, part_rows, ahead
+        df, columns, length, stride, series, chunk_rows, index_col, part_rows, keep, ahead
     )
 
 
@@ -116,8 +121,12 @@ def window_means(
     decay: float | None = None,
     index_col: str = ROW,
     part_rows: int = PART_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean of each feature per window, plain or weighted by geometric decay."""
+    """Mean of each feature per window, plain or weighted by geometric decay.
+
+    ``keep`` names columns taken from a window's first row.
+    """
 
     def ahead(window):
         frame = window.rowsBetween(0, length - 1)
@@ -133,7 +142,7 @@ def window_means(
 
     columns = {f: F.col(f"mean_{f}") for f in features} | {label: F.col("window_label")}
     return _frames(
-        df, columns, length, stride, series, chunk_rows, index_col, part_rows, ahead
+        df, columns, length, stride, series, chunk_rows, index_col, part_rows, keep, ahead
     )
 
 
