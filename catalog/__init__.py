@@ -1,6 +1,14 @@
 """Queries over the given tables, with the SQL that checks them."""
 
 from catalog.base import ORACLES, QUERIES
-from catalog import adapters, chunks, labels, scaling, tasks  # noqa: F401  (each registers its queries)
+from catalog import (  # noqa: F401  (each registers its queries)
+    adapters,
+    chunks,
+    labels,
+    scaling,
+    streams,
+    tasks,
+    walkforward,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
