@@ -355,18 +355,17 @@ def correlation_loss(spark, folder):
     return found.select(*by, "n", r6("corr_loss").alias("corr_loss"))
 
 
-@register(
-    "task_moments",
-    f"""{BASE_SQL}, {TASKS_SQL}, {windows_sql(FEATURES)}
+MOMENTS_SQL = f"""{BASE_SQL}, {TASKS_SQL}, {windows_sql(FEATURES)}
         SELECT user_id, CAST(task_id AS BIGINT) AS task_id, part, CAST(count(*) AS BIGINT) AS n,
                {sql_r6("sum(f1)", 4)} AS s_f1, {sql_r6("sum(f3)", 4)} AS s_f3, {sql_r6("sum(label)", 4)} AS s_label,
                {sql_r6("sum(f1 * f2)", 4)} AS s_f1_f2, {sql_r6("sum(f3 * label)", 4)} AS s_f3_label
-        FROM task_samples GROUP BY ALL""",
-)
-def task_moments(spark, folder):
-    found = moments.task_moments(
-        samples(spark, folder, FEATURES), FEATURES, "label", SHAPE, EV_SERIES
-    )
+        FROM task_samples GROUP BY ALL"""
+
+
+@register("task_moments", MOMENTS_SQL)
+def task_moments(spark, folder, wide=moments.WIDE):
+    rows = samples(spark, folder, FEATURES)
+    found = moments.task_moments(rows, FEATURES, "label", SHAPE, EV_SERIES, wide)
     return found.select(
         "user_id",
         "task_id",
@@ -380,6 +379,12 @@ def task_moments(spark, folder):
     )
 
 
+@register("task_moments_as_matrices", MOMENTS_SQL)
+def task_moments_as_matrices(spark, folder):
+    """The path for many features: matrix products per batch."""
+    return task_moments(spark, folder, wide=0)
+
+
 # Metric queries: prediction is the window mean of f1, target its label.
 
 QUERY_SQL = f"{SAMPLES_SQL}, q AS (SELECT user_id, task_id, f1 AS p, label AS t FROM task_samples WHERE part = 'query')"

@@ -7,10 +7,14 @@ does the accumulating and one shuffle of small rows the rest.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from driftwalk.functions.vectors import as_lists, stacked
 from driftwalk.operators.tasks import QUERY, SPLIT, SUPPORT, TASK, TaskShape, assign_tasks
 
 # Inputs are scaled by 100, variances guarded, a smaller
@@ -19,6 +23,9 @@ SCALE = 100.0
 VARIANCE_GUARD = 1e-8
 SMALLEST_DENOMINATOR = 1e-6
 
+# Variables up to which sums of products are single aggregate columns.
+WIDE = 16
+
 
 def correlation_loss(
     n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column
@@ -83,16 +90,18 @@ def task_moments(
     target: str,
     shape: TaskShape,
     series: Sequence[str] = (),
+    wide: int = WIDE,
 ) -> DataFrame:
     """Moments of features and target per (series, split, task, part).
 
     ``samples`` are windows with ``split_row`` (their first row) and
     ``split_rows``. Overlapping tasks share rows; where the task lengths have a
     common divisor, rows are summed once per run of that length and only these
-    sums are repeated per task.
+    sums are repeated per task. Up to ``wide`` variables the sums are built-in
+    aggregates; beyond, their number grows too large for generated code and
+    batches of rows are multiplied as matrices.
     """
     variables = [*features, target]
-    columns = _sum_columns([f"z_{i}" for i in range(len(variables))])
     keys = [*series, SPLIT]
     inputs = samples.select(
         *keys,
@@ -100,46 +109,112 @@ def task_moments(
         "split_rows",
         *[F.col(v).cast("double").alias(f"z_{i}") for i, v in enumerate(variables)],
     )
-    unit, length = shape.unit, shape.seq_length
-    if unit >= max(length, 2):
-        summed = _task_sums_of_units(inputs, columns, keys, shape, unit, length)
+    names = [f"z_{i}" for i in range(len(variables))]
+    by_units = shape.unit >= max(shape.seq_length, 2)
+    summing = _summed_as_matrices if len(variables) > wide else _summed_as_columns
+    summed = summing(inputs, names, keys, shape, by_units)
+    return summed.select(*keys, TASK, "part", "n", "sums", "products")
+
+
+def _with_units(inputs: DataFrame, shape: TaskShape) -> DataFrame:
+    """The unit of each row, and whether its window runs into the next unit."""
+    unit = shape.unit
+    return inputs.withColumns(
+        {
+            "unit": F.expr(f"split_row div {unit}L"),
+            "crossing": F.col("split_row") % unit > unit - shape.seq_length,
+        }
+    )
+
+
+def _units_in_tasks(by_unit: DataFrame, shape: TaskShape) -> DataFrame:
+    """Repeat units per task, leaving out windows that cross the end of a part."""
+    unit = shape.unit
+    placed = assign_tasks(by_unit.withColumn("split_row", F.col("unit") * unit), shape, unit)
+    offset = F.col("split_row") - F.col(TASK) * shape.interval
+    last = offset.isin(shape.support - unit, shape.total - unit)
+    return placed.filter(~(F.col("crossing") & last))
+
+
+def _summed_as_columns(
+    inputs: DataFrame, names: list[str], keys: list[str], shape: TaskShape, by_units: bool
+) -> DataFrame:
+    columns = _sum_columns(names)
+    sums = [c.alias(n) for n, c in columns.items()]
+    if by_units:
+        units = (
+            _with_units(inputs, shape)
+            .groupBy(*keys, "unit", "crossing")
+            .agg(*sums, F.max("split_rows").alias("split_rows"))
+        )
+        placed = _units_in_tasks(units, shape)
+        sums = [F.sum(n).alias(n) for n in columns]
     else:
         placed = assign_tasks(inputs, shape)
-        summed = placed.groupBy(*keys, TASK, "part").agg(
-            *[c.alias(n) for n, c in columns.items()]
-        )
-    return summed.select(*keys, TASK, "part", "n", *packed(len(variables)))
+    summed = placed.groupBy(*keys, TASK, "part").agg(*sums)
+    return summed.withColumns(dict(zip(("sums", "products"), packed(len(names)))))
 
 
-def _task_sums_of_units(
-    inputs: DataFrame,
-    columns: dict[str, Column],
-    keys: list[str],
-    shape: TaskShape,
-    unit: int,
-    length: int,
+def _summed_as_matrices(
+    inputs: DataFrame, names: list[str], keys: list[str], shape: TaskShape, by_units: bool
 ) -> DataFrame:
-    """Sum per unit of rows, then add the units of each task part.
-
-    Windows starting in the last ``length - 1`` rows of a unit run into the next
-    one. They are summed apart and left out where the unit ends its part.
-    """
-    by_unit = (
-        inputs.withColumns(
-            {
-                "unit": F.expr(f"split_row div {unit}L"),
-                "crossing": F.col("split_row") % unit > unit - length,
+    """Partial sums per batch, then one small row per batch and group is merged."""
+    rows = inputs.select(*keys, "split_row", "split_rows", F.array(*names).alias("z"))
+    if by_units:
+        group = [*keys, "unit", "crossing", "split_rows"]
+        placed = _units_in_tasks(_batch_sums(_with_units(rows, shape), group), shape)
+    else:
+        placed = _batch_sums(assign_tasks(rows, shape), [*keys, TASK, "part"])
+    return _merged_sums(placed, [*keys, TASK, "part"])
+
+
+def _moment_schema(df: DataFrame, group: list[str]) -> StructType:
+    schema = StructType([df.schema[c] for c in group])
+    return schema.add("n", "long").add("sums", ArrayType(DoubleType())).add("products", ArrayType(DoubleType()))
+
+
+def _batch_sums(df: DataFrame, group: list[str]) -> DataFrame:
+    """Moments of the vectors ``z`` per group within each Arrow batch."""
+    schema = _moment_schema(df, group)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys = pa.Table.from_batches([batch]).select(group)
+            ids = keys.to_pandas().groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            vectors = stacked(batch.column("z"))[order]
+            upper = np.triu_indices(vectors.shape[1])
+            parts = np.split(vectors, starts[1:])
+            found = {
+                "n": pa.array([len(p) for p in parts], pa.int64()),
+                "sums": as_lists(np.array([p.sum(axis=0) for p in parts])),
+                "products": as_lists(np.array([(p.T @ p)[upper] for p in parts])),
             }
-        )
-        .groupBy(*keys, "unit", "crossing")
-        .agg(*[c.alias(n) for n, c in columns.items()], F.max("split_rows").alias("split_rows"))
-        .withColumn("split_row", F.col("unit") * unit)
-    )
-    placed = assign_tasks(by_unit, shape, length=unit)
-    offset = F.col("split_row") - F.col(TASK) * shape.interval
-    last = offset.isin(shape.support - unit, shape.total - unit)
-    kept = placed.filter(~(F.col("crossing") & last))
-    return kept.groupBy(*keys, TASK, "part").agg(*[F.sum(n).alias(n) for n in columns])
+            first = keys.take(pa.array(order[starts])).combine_chunks()
+            arrays = [first.column(c).combine_chunks() for c in group] + list(found.values())
+            yield pa.RecordBatch.from_arrays(arrays, names=[*group, *found])
+
+    return df.select(*group, "z").mapInArrow(sums, schema)
+
+
+def _merged_sums(df: DataFrame, group: list[str]) -> DataFrame:
+    """Add moment rows up; a task has few, whatever its number of samples."""
+    schema = _moment_schema(df, group)
+
+    def merged(table: pa.Table) -> pa.Table:
+        total = {
+            "n": pa.array([int(np.sum(table.column("n").to_numpy()))], pa.int64()),
+            "sums": as_lists(stacked(table.column("sums")).sum(axis=0)[None]),
+            "products": as_lists(stacked(table.column("products")).sum(axis=0)[None]),
+        }
+        keys = table.select(group).slice(0, 1)
+        return pa.Table.from_arrays([*keys.columns, *total.values()], names=[*group, *total])
+
+    content = df.select(*group, "n", "sums", "products")
+    return content.groupBy(*group).applyInArrow(merged, schema)
 
 
 __all__ = [

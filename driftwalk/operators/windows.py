@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwalk.functions.columns import decay_weights, total
 from driftwalk.operators.ordering import (
+    BOUNDED_ROWS,
     PART_ROWS,
     ROW,
     own_rows,
@@ -50,22 +51,27 @@ def _frames(
     """Rows that start a complete window, with window expressions over it.
 
     With chunks (``chunk_rows > 0``) windows stay inside a chunk and the stride
-    grid restarts in each; then a chunk is the part and no halo is copied.
+    grid restarts in each; a chunk of modest size is then the part, without a
+    halo.
     """
     _check(length, stride)
     i = F.col(index_col)
     if chunk_rows > 0:
-        part_rows, reach, local = chunk_rows, 0, i % chunk_rows
+        local = i % chunk_rows
         number = F.expr(f"`{index_col}` div {chunk_rows}L") * _per_chunk(chunk_rows, length, stride)
+        inside = local + (length - 1) < chunk_rows
     else:
-        part_rows, reach, local = part_rows_for(length - 1, part_rows), length - 1, i
-        number = F.lit(0)
+        local, number, inside = i, F.lit(0), F.lit(True)
+    if 0 < chunk_rows <= BOUNDED_ROWS:
+        part_rows, reach = chunk_rows, 0
+    else:
+        part_rows, reach = part_rows_for(length - 1, part_rows), length - 1
     frame = with_halo(df, after=reach, part_rows=part_rows, index_col=index_col)
     window = part_window(series, index_col)
     frame = frame.withColumns(ahead(window))
     frame = frame.withColumn("window_end", F.lead(index_col, length - 1).over(window))
     frame = own_rows(frame, part_rows, index_col)
-    frame = frame.filter(F.col("window_end").isNotNull() & (local % stride == 0))
+    frame = frame.filter(F.col("window_end").isNotNull() & (local % stride == 0) & inside)
     return frame.select(
         *series,
         (number + (local / stride).cast("bigint")).alias("window_id"),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftwalk.functions import linear
 from driftwalk.functions.vectors import as_lists, stacked
 from driftwalk.operators.joins import attach, broadcast_if_small
-from driftwalk.operators.moments import SCALE, SMALLEST_DENOMINATOR, VARIANCE_GUARD, packed
+from driftwalk.operators.moments import SCALE, SMALLEST_DENOMINATOR, VARIANCE_GUARD
 from driftwalk.operators.ordering import index_rows
 from driftwalk.operators.recurrence import decayed_sums
 from driftwalk.operators.splits import SPLIT
@@ -100,13 +100,41 @@ def score_columns(scores: Column, suffix: str = "") -> list[Column]:
     return [_null_if_nan(scores[i]).alias(f"{n}{suffix}") for i, n in enumerate(SCORES)]
 
 
+def _entries(moments: Column, variables: int) -> Column:
+    """A moment row as one array: the count, the sums, the products; 0 when missing."""
+    size = 1 + variables + variables * (variables + 1) // 2
+    flat = F.concat(
+        F.array(moments["n"].cast("double")), moments["sums"], moments["products"]
+    )
+    return F.coalesce(flat, F.array_repeat(F.lit(0.0), size))
+
+
+def _collected(position: str, value: str) -> Column:
+    """Entries of one moment row, gathered in order."""
+    pairs = F.array_sort(F.collect_list(F.struct(position, value)))
+    return F.transform(pairs, lambda p: p[value])
+
+
+def _from_entries(entries: Column, variables: int) -> list[Column]:
+    pairs = variables * (variables + 1) // 2
+    return [
+        entries[0].alias("n"),
+        F.slice(entries, 2, variables).alias("sums"),
+        F.slice(entries, 2 + variables, pairs).alias("products"),
+    ]
+
+
 def merge_moments(moments: DataFrame, variables: int, by: Sequence[str] = ()) -> DataFrame:
-    """Add moment rows up per group (``variables`` counts the target)."""
-    pairs = [(i, j) for i in range(variables) for j in range(i, variables)]
-    sums = [F.sum(F.col("sums")[i]).alias(f"s_{i}") for i in range(variables)]
-    products = [F.sum(F.col("products")[k]).alias(f"s_{i}_{j}") for k, (i, j) in enumerate(pairs)]
-    merged = moments.groupBy(*by).agg(F.sum("n").alias("n"), *sums, *products)
-    return merged.select(*by, "n", *packed(variables))
+    """Add moment rows up per group (``variables`` counts the target).
+
+    Entries are summed by position, so partial sums stay small for any number
+    of features and tasks.
+    """
+    row = F.struct("n", "sums", "products")
+    long = moments.select(*by, F.posexplode(_entries(row, variables)).alias("entry", "value"))
+    summed = long.groupBy(*by, "entry").agg(F.sum("value").alias("value"))
+    merged = summed.groupBy(*by).agg(_collected("entry", "value").alias("entries"))
+    return merged.select(*by, *_from_entries(F.col("entries"), variables))
 
 
 def base_coefficients(
@@ -219,33 +247,33 @@ def online_pass(
     phase = F.array_position(F.array(*[F.lit(p) for p in phases]), F.col(SPLIT))
     tasks = by_task(moments, series).withColumn("phase", phase).filter("phase > 0")
     tasks = index_rows(tasks, ["phase", TASK], series, "step", bounded=bounded)
-    pairs = [(i, j) for i in range(variables) for j in range(i, variables)]
-    state = {"n": F.coalesce(F.col(QUERY)["n"].cast("double"), F.lit(0.0))}
-    for i in range(variables):
-        state[f"s_{i}"] = F.coalesce(F.col(QUERY)["sums"][i], F.lit(0.0))
-    for k, (i, j) in enumerate(pairs):
-        state[f"s_{i}_{j}"] = F.coalesce(F.col(QUERY)["products"][k], F.lit(0.0))
-    names = list(state)
-    own = tasks.withColumns({f"own_{c}": v for c, v in state.items()})
-    summed = decayed_sums(own.withColumns(state), names, keep, series, "step")
-    # The state before a task: what it added is taken off again.
-    start = dict.fromkeys(names, F.lit(0.0))
+    entries = F.arrays_zip(
+        _entries(F.col(QUERY), variables).alias("query"),
+        _entries(F.col(SUPPORT), variables).alias("support"),
+    )
+    long = tasks.select(*series, "step", F.posexplode(entries).alias("entry", "of"))
+    long = long.select(
+        *series,
+        "step",
+        "entry",
+        F.col("of.query").alias("own"),
+        F.col("of.query").alias("kept"),
+        F.col("of.support").alias("support"),
+    )
+    long = decayed_sums(long, ["kept"], keep, [*series, "entry"], "step")
+    # The state before a task: what the task itself added is taken off again.
+    before = (F.col("kept") - F.col("own")) / keep
     if prior is not None:
-        row = prior.select(F.struct("n", "sums", "products")).scalar()
-        start["n"] = row["n"].cast("double")
-        start |= {f"s_{i}": row["sums"][i] for i in range(variables)}
-        start |= {f"s_{i}_{j}": row["products"][k] for k, (i, j) in enumerate(pairs)}
-    faded = F.pow(F.lit(keep), F.col("step"))
-    support = {"n": F.col(SUPPORT)["n"]}
-    support |= {f"s_{i}": F.col(SUPPORT)["sums"][i] for i in range(variables)}
-    support |= {f"s_{i}_{j}": F.col(SUPPORT)["products"][k] for k, (i, j) in enumerate(pairs)}
-    total = {
-        c: (F.col(c) - F.col(f"own_{c}")) / keep + faded * start[c] + F.coalesce(support[c].cast("double"), F.lit(0.0))
-        for c in names
-    }
-    merged = summed.withColumns(total).select(
-        *series, SPLIT, TASK, QUERY, F.struct("n", *packed(variables)).alias("state")
+        start = prior.select(_entries(F.struct("n", "sums", "products"), variables)).scalar()
+        before = before + F.pow(F.lit(keep), F.col("step")) * start[F.col("entry")]
+    states = (
+        long.withColumn("value", before + F.col("support"))
+        .groupBy(*series, "step")
+        .agg(_collected("entry", "value").alias("entries"))
+    )
+    fits = attach(tasks, states, [*series, "step"]).withColumn(
+        "state", F.struct(*_from_entries(F.col("entries"), variables))
     )
-    fits = merged.withColumn("coefficients", fitted(F.col("state"), penalty))
+    fits = fits.withColumn("coefficients", fitted(F.col("state"), penalty))
     fits = fits.withColumn("scores", scored(F.col("coefficients"), F.col(QUERY)))
     return fits.select(*series, SPLIT, TASK, "coefficients", *score_columns(F.col("scores")))
