@@ -225,7 +225,7 @@ def trend_labels(spark, folder):
 )
 def label_moments(spark, folder):
     stats = ev(spark, folder).groupBy("user_id").agg(*labels.label_statistics("value"))
-    return stats.select("user_id", r6("mean").alias("mean"), r6("spread").alias("spread"))
+    return stats.select("user_id", r6(labels.MEAN).alias("mean"), r6(labels.SPREAD).alias("spread"))
 
 
 @register(
@@ -245,11 +245,11 @@ def label_extremes(spark, folder):
     """Extremes after clipping at 1.5 spreads, from one aggregate."""
     events = read(spark, folder, "events")
     stats = events.groupBy("event_type").agg(*labels.label_statistics("value"))
-    mean, reach = F.col("mean"), 1.5 * F.col("spread")
+    mean, reach = F.col(labels.MEAN), 1.5 * F.col(labels.SPREAD)
     return stats.select(
         "event_type",
-        r6(F.least("high", mean + reach) - mean).alias("up"),
-        r6(F.greatest("low", mean - reach) - mean).alias("down"),
+        r6(F.least(labels.HIGH, mean + reach) - mean).alias("up"),
+        r6(F.greatest(labels.LOW, mean - reach) - mean).alias("down"),
     )
 
 

@@ -26,6 +26,8 @@ from driftwalk.operators.recurrence import (
 # Below this spread or deviation a label stays 0.
 SMALL = 1e-9
 
+MEAN, SPREAD, LOW, HIGH = "__mean", "__spread", "__low", "__high"
+
 
 def trend_labels(
     df: DataFrame,
@@ -47,8 +49,8 @@ def trend_labels(
     shape = HighPass(filter_length)
     part_rows = part_rows_for(max(shape.warm_up, shift_length), part_rows)
     frame = with_halo(df, shape.warm_up, shift_length, part_rows, index_col)
-    frame = add_high_pass(frame, price, shape, series, index_col, "residual")
-    frame = frame.withColumn("filtered_price", F.col(price) - F.col("residual")).drop("residual")
+    frame = add_high_pass(frame, price, shape, series, index_col, "__residual")
+    frame = frame.withColumn("filtered_price", F.col(price) - F.col("__residual")).drop("__residual")
     frame = frame.withColumn(
         "future_filtered_price",
         F.lead("filtered_price", shift_length).over(block_window(series, index_col)),
@@ -65,20 +67,20 @@ def label_statistics(label: str) -> list[Column]:
     label: one pass gives the extremes after clipping too.
     """
     return [
-        F.avg(label).alias("mean"),
-        F.stddev_pop(label).alias("spread"),
-        F.min(label).alias("low"),
-        F.max(label).alias("high"),
+        F.avg(label).alias(MEAN),
+        F.stddev_pop(label).alias(SPREAD),
+        F.min(label).alias(LOW),
+        F.max(label).alias(HIGH),
     ]
 
 
 def scaled_label(label: Column, num_std: float) -> Column:
     """Scale a label by the statistics columns next to it."""
-    mean, spread = F.col("mean"), F.col("spread")
+    mean, spread = F.col(MEAN), F.col(SPREAD)
     floor, ceiling = mean - num_std * spread, mean + num_std * spread
     deviation = clip(label, floor, ceiling) - mean
-    up = clip(F.col("high"), floor, ceiling) - mean
-    down = mean - clip(F.col("low"), floor, ceiling)
+    up = clip(F.col(HIGH), floor, ceiling) - mean
+    down = mean - clip(F.col(LOW), floor, ceiling)
     return (
         F.when(label.isNull() | F.isnan(label), label)
         .when((spread > SMALL) & (deviation > 0) & (up > SMALL), F.try_divide(deviation, up))
@@ -105,17 +107,17 @@ def normalize_labels(
     already have; else one aggregate, attached again part by part.
     """
     fitted = F.col(label) if fit_rows is None else F.when(fit_rows, F.col(label))
-    frame = df.withColumn("fitted", fitted)
-    statistics = label_statistics("fitted")
-    names = ["mean", "spread", "low", "high"]
+    frame = df.withColumn("__fitted", fitted)
+    statistics = label_statistics("__fitted")
+    names = [MEAN, SPREAD, LOW, HIGH]
     if bounded and series:
         whole = Window.partitionBy(*series)
         frame = frame.withColumns(
             {
-                "mean": F.avg("fitted").over(whole),
-                "spread": F.stddev_pop("fitted").over(whole),
-                "low": F.min("fitted").over(whole),
-                "high": F.max("fitted").over(whole),
+                MEAN: F.avg("__fitted").over(whole),
+                SPREAD: F.stddev_pop("__fitted").over(whole),
+                LOW: F.min("__fitted").over(whole),
+                HIGH: F.max("__fitted").over(whole),
             }
         )
     else:
@@ -123,4 +125,4 @@ def normalize_labels(
             *statistics, (F.max(index_col) + 1).alias("num_rows")
         )
         frame = attach_by_part(frame, per_series, series, index_col, part_rows)
-    return frame.withColumn(output, scaled_label(F.col(label), num_std)).drop("fitted", *names)
+    return frame.withColumn(output, scaled_label(F.col(label), num_std)).drop("__fitted", *names)

@@ -119,10 +119,10 @@ def _attach_ranks(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     upto = running_sums(counts, by, [name], {"upto": F.col("ties")})
     rank = F.col("upto") - (F.col("ties") - 1) / 2
     salts = F.explode(F.sequence(F.lit(0), F.lit(_RANK_SALTS - 1)))
-    ranks = upto.select(*by, name, rank.alias(f"rank_{name}"), salts.alias("salt"))
+    ranks = upto.select(*by, name, rank.alias(f"rank_{name}"), salts.alias("__salt"))
     other = "t" if name == "p" else "p"
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(_RANK_SALTS)).cast("int"))
-    return attach(salted, ranks, [*by, name, "salt"]).drop("salt")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(_RANK_SALTS)).cast("int"))
+    return attach(salted, ranks, [*by, name, "__salt"]).drop("__salt")
 
 
 def predicted_class(score: str | None = None, scores: str | None = None, binary: bool = True) -> Column:
@@ -298,14 +298,21 @@ def ranking_metrics(
 
 
 def one_vs_rest_metrics(
-    df: DataFrame, scores: str, target: str, by: Sequence[str], bounded: bool | None = None
+    df: DataFrame,
+    scores: str,
+    target: str,
+    by: Sequence[str],
+    bounded: bool | None = None,
+    logits: bool = False,
 ) -> DataFrame:
     """``ranking_metrics`` of every class against the rest, averaged over classes.
 
-    Classes without both kinds of rows are left out of the average.
+    Classes without both kinds of rows are left out of the average. With
+    ``logits`` the scores of a row become probabilities first.
     """
     by = list(by)
-    long = df.select(*by, target, F.posexplode(scores).alias("class", "score"))
+    values = softmax(F.col(scores)) if logits else F.col(scores)
+    long = df.select(*by, target, F.posexplode(values).alias("class", "score"))
     long = long.withColumn("hit", (F.col(target) == F.col("class")).cast("int"))
     per_class = ranking_metrics(long, "score", "hit", [*by, "class"], bounded)
     return per_class.groupBy(*by).agg(
@@ -328,11 +335,11 @@ def running_mean(
     bounded: bool | None = None,
 ) -> DataFrame:
     """Mean of a metric over the tasks so far, in order."""
-    sums = {"so_far": F.col(value).cast("double"), "tasks": F.col(value).isNotNull().cast("bigint")}
-    sums["so_far"] = F.coalesce(sums["so_far"], F.lit(0.0))
+    sums = {"__so_far": F.col(value).cast("double"), "__tasks": F.col(value).isNotNull().cast("bigint")}
+    sums["__so_far"] = F.coalesce(sums["__so_far"], F.lit(0.0))
     found = running_sums(history, by, order, sums, bounded)
-    mean = _ratio(F.col("so_far"), F.col("tasks"))
-    return found.withColumn("running_mean", mean).drop("so_far", "tasks")
+    mean = _ratio(F.col("__so_far"), F.col("__tasks"))
+    return found.withColumn("running_mean", mean).drop("__so_far", "__tasks")
 
 
 def early_stop(
@@ -352,18 +359,18 @@ def early_stop(
     best_before = F.max(value).over(earlier)
     rows = history.withColumns(
         {
-            "improved": F.coalesce(F.col(value) > best_before, F.col(value).isNotNull()),
-            "number": F.row_number().over(run),
+            "__improved": F.coalesce(F.col(value) > best_before, F.col(value).isNotNull()),
+            "__number": F.row_number().over(run),
         }
     )
-    last = F.last(F.when(F.col("improved"), F.col("number")), ignorenulls=True).over(so_far)
-    rows = rows.withColumn("waited", F.col("number") - F.coalesce(last, F.lit(0)))
-    stops = F.when(F.col("waited") >= patience, F.col("number"))
-    rows = rows.withColumn("first_stop", F.min(stops).over(Window.partitionBy(*(by or [F.lit(0)]))))
-    used = F.col("first_stop").isNull() | (F.col("number") <= F.col("first_stop"))
-    improving = F.when(used & F.col("improved"), F.col("number"))
+    last = F.last(F.when(F.col("__improved"), F.col("__number")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("__waited", F.col("__number") - F.coalesce(last, F.lit(0)))
+    stops = F.when(F.col("__waited") >= patience, F.col("__number"))
+    rows = rows.withColumn("__first_stop", F.min(stops).over(Window.partitionBy(*(by or [F.lit(0)]))))
+    used = F.col("__first_stop").isNull() | (F.col("__number") <= F.col("__first_stop"))
+    improving = F.when(used & F.col("__improved"), F.col("__number"))
     return rows.groupBy(*by).agg(
         F.max_by(epoch, improving).alias("best_epoch"),
         F.max_by(value, improving).alias("best_value"),
-        F.max(F.when(F.col("number") == F.col("first_stop"), F.col(epoch))).alias("stop_epoch"),
+        F.max(F.when(F.col("__number") == F.col("__first_stop"), F.col(epoch))).alias("stop_epoch"),
     )

@@ -55,14 +55,14 @@ def two_way_normalize(
     mean = total(values) / size
     spread = F.sqrt(total([(v - mean) * (v - mean) for v in values]) / (size - 1))
     across = F.array(*[(v - mean) / _guarded(spread) for v in values])
-    rows = df.withColumns({"values": F.array(*values), "across": across})
+    rows = df.withColumns({"__values": F.array(*values), "__across": across})
 
     def ahead(window):
         frame = window.rowsBetween(0, length - 1)
         return {
-            "steps": F.collect_list(F.struct("values", "across")).over(frame),
-            "means": F.array(*[F.avg(f).over(frame) for f in features]),
-            "spreads": F.array(*[_guarded(F.stddev_samp(f).over(frame)) for f in features]),
+            "__steps": F.collect_list(F.struct("__values", "__across")).over(frame),
+            "__means": F.array(*[F.avg(f).over(frame) for f in features]),
+            "__spreads": F.array(*[_guarded(F.stddev_samp(f).over(frame)) for f in features]),
         }
 
     y1 = max(params.step_weight, WEIGHT_FLOOR)
@@ -75,13 +75,13 @@ def two_way_normalize(
 
     def blended(step: Column, t: Column) -> Column:
         def at(f: int) -> Column:
-            over_time = (step["values"][f] - F.col("means")[f]) / F.col("spreads")[f]
-            first = l1[t] * step["across"][f] + b1[t]
+            over_time = (step["__values"][f] - F.col("__means")[f]) / F.col("__spreads")[f]
+            first = l1[t] * step["__across"][f] + b1[t]
             return y1 * first + y2 * (l2[f] * over_time + b2[f])
 
         return F.array(*[at(f) for f in range(size)])
 
-    columns = {"normalized": F.transform("steps", blended)}
+    columns = {"normalized": F.transform("__steps", blended)}
     return _frames(
         rows, columns, length, stride, series, chunk_rows, index_col, part_rows, (), ahead
     )

@@ -17,12 +17,12 @@ from driftwalk.operators.joins import attach, broadcast_if_small
 from driftwalk.staging import stage
 
 ROW = "row_idx"
-PART = "part"
+PART = "__part"
 PART_ROWS = 65_536
 BOUNDED_ROWS = 1_000_000
 
-_SLICE = "slice"
-_POSITION = "position"
+_SLICE = "__slice"
+_POSITION = "__position"
 
 
 def groups_are_bounded(
@@ -61,7 +61,7 @@ def _before_slice(per_slice: DataFrame, group: Sequence[str], names: list[str])
     kept = [c for c in per_slice.columns if c not in names]
     return per_slice.select(
         *kept,
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"before_{n}") for n in names],
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}__before") for n in names],
     )
 
 
@@ -100,8 +100,8 @@ def running_sums(
     local = laid.withColumns({n: F.sum(n).over(inside) for n in names})
     return (
         attach(local, before, [*group, _SLICE])
-        .withColumns({n: F.col(n) + F.col(f"before_{n}") for n in names})
-        .drop(_SLICE, _POSITION, *[f"before_{n}" for n in names])
+        .withColumns({n: F.col(n) + F.col(f"{n}__before") for n in names})
+        .drop(_SLICE, _POSITION, *[f"{n}__before" for n in names])
     )
 
 
@@ -128,16 +128,16 @@ def index_rows(
         return df.withColumn(index_col, F.row_number().over(ordered).cast("bigint") - 1)
     laid = _sliced(df, [*series, *order], slices)
     per_slice = laid.groupBy(*series, _SLICE).agg(
-        F.min(_POSITION).alias("first_position"),
-        F.count(F.lit(1)).alias("rows"),
+        F.min(_POSITION).alias("__first_position"),
+        F.count(F.lit(1)).alias("__rows"),
     )
-    before = broadcast_if_small(_before_slice(per_slice, series, ["rows"]))
+    before = broadcast_if_small(_before_slice(per_slice, series, ["__rows"]))
     return (
         attach(laid, before, [*series, _SLICE])
         .withColumn(
-            index_col, F.col(_POSITION) - F.col("first_position") + F.col("before_rows")
+            index_col, F.col(_POSITION) - F.col("__first_position") + F.col("__rows__before")
         )
-        .drop(_SLICE, _POSITION, "first_position", "before_rows")
+        .drop(_SLICE, _POSITION, "__first_position", "__rows__before")
     )
 
 
@@ -195,14 +195,14 @@ def compact_index(
         ordered = Window.partitionBy(*series).orderBy(index_col)
         return df.withColumn(index_col, F.row_number().over(ordered).cast("bigint") - 1)
     parts = df.withColumn(_SLICE, part_of(index_col, part_rows))
-    per_part = parts.groupBy(*series, _SLICE).agg(F.count(F.lit(1)).alias("rows"))
-    before = broadcast_if_small(_before_slice(per_part, series, ["rows"]))
+    per_part = parts.groupBy(*series, _SLICE).agg(F.count(F.lit(1)).alias("__rows"))
+    before = broadcast_if_small(_before_slice(per_part, series, ["__rows"]))
     inside = Window.partitionBy(*series, _SLICE).orderBy(index_col)
-    local = parts.withColumn("local", F.row_number().over(inside).cast("bigint") - 1)
+    local = parts.withColumn("__local", F.row_number().over(inside).cast("bigint") - 1)
     return (
         attach(local, before, [*series, _SLICE])
-        .withColumn(index_col, F.col("local") + F.col("before_rows"))
-        .drop(_SLICE, "local", "before_rows")
+        .withColumn(index_col, F.col("__local") + F.col("__rows__before"))
+        .drop(_SLICE, "__local", "__rows__before")
     )
 
 

@@ -28,7 +28,7 @@ from driftwalk.operators.ordering import (
 
 # exp(-80) is about 2e-35, far below the 1e-16 relative step of a double.
 FORGOTTEN = 80.0
-BLOCK = "block"
+BLOCK = "__block"
 
 
 @dataclass(frozen=True)
@@ -111,26 +111,26 @@ def add_high_pass(
     lag = lambda k: F.coalesce(F.lag(price, k).over(ordered), F.lit(0.0))
     frame = (
         frame.withColumn(BLOCK, F.expr(f"`{index_col}` div {rows}L"))
-        .withColumn("bend", F.col(price) - 2 * lag(1) + lag(2))
-        .withColumn("step", (F.col(index_col) - F.col(BLOCK) * rows).cast("double"))
+        .withColumn("__bend", F.col(price) - 2 * lag(1) + lag(2))
+        .withColumn("__step", (F.col(index_col) - F.col(BLOCK) * rows).cast("double"))
     )
-    angle = F.col("step") * w
+    angle = F.col("__step") * w
     frame = frame.withColumns(
         {
-            "even": F.exp(angle) * F.cos(angle) * F.col("bend"),
-            "odd": F.exp(angle) * F.sin(angle) * F.col("bend"),
+            "__even": F.exp(angle) * F.cos(angle) * F.col("__bend"),
+            "__odd": F.exp(angle) * F.sin(angle) * F.col("__bend"),
         }
     )
-    frame = _block_sums(frame, series, index_col, ["even", "odd"])
+    frame = _block_sums(frame, series, index_col, ["__even", "__odd"])
 
     def response(step: Column, suffix: str) -> Column:
         turn = (step + 1) * w
-        mixed = F.sin(turn) * F.col(f"even{suffix}") - F.cos(turn) * F.col(f"odd{suffix}")
+        mixed = F.sin(turn) * F.col(f"__even{suffix}") - F.cos(turn) * F.col(f"__odd{suffix}")
         return F.exp(-step * w) * mixed
 
-    both = response(F.col("step"), "_now") + response(F.col("step") + rows, "_prev")
-    helpers = ["bend", "step", "even", "odd"]
-    helpers += [f"{n}_{s}" for n in ("even", "odd") for s in ("now", "prev")]
+    both = response(F.col("__step"), "_now") + response(F.col("__step") + rows, "_prev")
+    helpers = ["__bend", "__step", "__even", "__odd"]
+    helpers += [f"{n}_{s}" for n in ("__even", "__odd") for s in ("now", "prev")]
     return frame.withColumn(residual, both * (c1 / math.sin(w))).drop(*helpers)
 
 
@@ -151,7 +151,7 @@ def high_pass_filter(
     shape = HighPass(length)
     part_rows = part_rows_for(shape.warm_up, part_rows)
     frame = with_halo(df, before=shape.warm_up, part_rows=part_rows, index_col=index_col)
-    name = residual or "residual"
+    name = residual or "__residual"
     frame = add_high_pass(frame, price, shape, series, index_col, name)
     frame = own_rows(frame, part_rows, index_col).drop(BLOCK)
     frame = frame.withColumn(filtered, F.col(price) - F.col(name))

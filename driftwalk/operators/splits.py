@@ -78,16 +78,16 @@ def split_chunks(
     """
     check_ratios(train_ratio, valid_ratio)
     series = list(series)
-    counts = chunks.groupBy(*series).agg((F.max(CHUNK) + 1).alias("chunks"))
-    counts = counts.withColumn("num_rows", F.col("chunks"))
+    counts = chunks.groupBy(*series).agg((F.max(CHUNK) + 1).alias("__chunks"))
+    counts = counts.withColumn("num_rows", F.col("__chunks"))
     rank = CHUNK
     if seed is not None:
-        mixed = chunks.withColumn("mixed", F.xxhash64(*series, CHUNK, F.lit(seed)))
-        chunks = index_rows(mixed, ["mixed", CHUNK], series, "rank").drop("mixed")
-        rank = "rank"
-    split = _split_of(F.col(rank), F.col("chunks"), train_ratio, valid_ratio)
+        mixed = chunks.withColumn("__mixed", F.xxhash64(*series, CHUNK, F.lit(seed)))
+        chunks = index_rows(mixed, ["__mixed", CHUNK], series, "__rank").drop("__mixed")
+        rank = "__rank"
+    split = _split_of(F.col(rank), F.col("__chunks"), train_ratio, valid_ratio)
     known = attach_by_part(chunks, counts, series, index_col=CHUNK)
-    return known.withColumn(SPLIT, split).drop("chunks", "rank")
+    return known.withColumn(SPLIT, split).drop("__chunks", "__rank")
 
 
 def split_rows(
@@ -151,5 +151,5 @@ def locate_rows(
 
 def shuffled_order(items: DataFrame, keys: Sequence[str], epoch: int, seed: int) -> DataFrame:
     """Items in a hashed order that changes with the epoch: adds ``position``."""
-    mixed = items.withColumn("mixed", F.xxhash64(*keys, F.lit(epoch), F.lit(seed)))
-    return index_rows(mixed, ["mixed", *keys], [], "position").drop("mixed")
+    mixed = items.withColumn("__mixed", F.xxhash64(*keys, F.lit(epoch), F.lit(seed)))
+    return index_rows(mixed, ["__mixed", *keys], [], "position").drop("__mixed")

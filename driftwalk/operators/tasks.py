@@ -94,12 +94,12 @@ def rolling_tasks(bounds: DataFrame, shape: TaskShape, series: Sequence[str] = (
 
     A long split is fanned out in two steps, so no row holds all its tasks.
     """
-    counted = bounds.withColumn("tasks", shape.count(F.col("split_rows")))
-    counted = counted.filter("tasks > 0")
-    fans = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(tasks - 1L) div {_FAN}L"))
-    fanned = counted.withColumn("fan", F.explode(fans))
-    first = F.col("fan") * _FAN
-    last = F.least(first + (_FAN - 1), F.col("tasks") - 1)
+    counted = bounds.withColumn("__tasks", shape.count(F.col("split_rows")))
+    counted = counted.filter("__tasks > 0")
+    fans = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__tasks - 1L) div {_FAN}L"))
+    fanned = counted.withColumn("__fan", F.explode(fans))
+    first = F.col("__fan") * _FAN
+    last = F.least(first + (_FAN - 1), F.col("__tasks") - 1)
     start = F.col("split_start") + F.col(TASK) * shape.interval
     return fanned.withColumn(TASK, F.explode(F.sequence(first, last))).select(
         *series,
@@ -153,7 +153,7 @@ def with_splits(
     )
     # Three entries per series at most.
     table = bounds.groupBy(*series).agg(
-        edges.alias("edges"),
+        edges.alias("__edges"),
         F.max(F.col("split_start") + F.col("split_rows")).alias("num_rows"),
     )
     rows = attach_by_part(df, table, series, index_col, part_rows)
@@ -162,17 +162,17 @@ def with_splits(
     else:
         i = F.col(index_col)
         split = (
-            F.when(i < F.col("edges")["valid"]["split_start"], "train")
-            .when(i < F.col("edges")["test"]["split_start"], "valid")
+            F.when(i < F.col("__edges")["valid"]["split_start"], "train")
+            .when(i < F.col("__edges")["test"]["split_start"], "valid")
             .otherwise("test")
         )
-    rows = rows.withColumn(SPLIT, split).withColumn("edge", F.col("edges")[F.col(SPLIT)])
+    rows = rows.withColumn(SPLIT, split).withColumn("__edge", F.col("__edges")[F.col(SPLIT)])
     return rows.withColumns(
         {
-            "split_row": F.col(index_col) - F.col("edge.split_start"),
-            "split_rows": F.col("edge.split_rows"),
+            "split_row": F.col(index_col) - F.col("__edge.split_start"),
+            "split_rows": F.col("__edge.split_rows"),
         }
-    ).drop("edges", "edge")
+    ).drop("__edges", "__edge")
 
 
 def assign_tasks(

@@ -106,11 +106,11 @@ def sliding_windows(
         step = F.struct(*[F.col(f).cast("double").alias(f) for f in features])
         frame = window.rowsBetween(0, length - 1)
         return {
-            "features": F.collect_list(step).over(frame),
-            "window_label": F.lead(label, length - 1).over(window),
+            "__features": F.collect_list(step).over(frame),
+            "__window_label": F.lead(label, length - 1).over(window),
         }
 
-    columns = {"features": F.col("features"), label: F.col("window_label")}
+    columns = {"features": F.col("__features"), label: F.col("__window_label")}
     return _frames(
         df, columns, length, stride, series, chunk_rows, index_col, part_rows, keep, ahead
     )
@@ -136,17 +136,17 @@ def window_means(
 
     def ahead(window):
         frame = window.rowsBetween(0, length - 1)
-        values = {"window_label": F.lead(label, length - 1).over(window)}
+        values = {"__window_label": F.lead(label, length - 1).over(window)}
         for f in features:
             if decay is None:
-                values[f"mean_{f}"] = F.avg(f).over(frame)
+                values[f"__mean_{f}"] = F.avg(f).over(frame)
             else:
                 weights = decay_weights(length, decay)
                 terms = [F.lead(f, k).over(window) * w for k, w in enumerate(weights)]
-                values[f"mean_{f}"] = total(terms)
+                values[f"__mean_{f}"] = total(terms)
         return values
 
-    columns = {f: F.col(f"mean_{f}") for f in features} | {label: F.col("window_label")}
+    columns = {f: F.col(f"__mean_{f}") for f in features} | {label: F.col("__window_label")}
     return _frames(
         df, columns, length, stride, series, chunk_rows, index_col, part_rows, keep, ahead
     )
