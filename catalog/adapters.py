@@ -12,14 +12,13 @@ from catalog.labels import processed_ev
 from catalog.tasks import (
     BASE_SQL,
     FEATURES,
-    SAMPLES_SQL,
     SHAPE,
     TASKS_SQL,
     loss_sql,
     windows_sql,
 )
 from driftwalk.functions.columns import decay_weights
-from driftwalk.operators import adapters, metrics, moments, normalise, tasks, windows
+from driftwalk.operators import adapters, metrics, moments, normalise, splits, tasks, windows
 
 WIDTH, NARROW, HIDDEN = 64, 8, 4
 
@@ -311,7 +310,7 @@ placed AS (SELECT s.*, a.adapted, a.restored FROM task_samples s JOIN shifted a
 
 
 def adapted_samples(spark, folder):
-    rows = tasks.with_splits(processed_ev(spark, folder), EV_SERIES)
+    rows = splits.with_splits(processed_ev(spark, folder), EV_SERIES)
     means = windows.window_means(
         rows, FEATURES, "label", SEQ, series=EV_SERIES, keep=["split", "split_row", "split_rows"]
     ).withColumn("x", F.array(*FEATURES))

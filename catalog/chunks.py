@@ -122,9 +122,9 @@ def split_chunks_shuffled(spark, folder):
         FROM ori o JOIN split_chunks c ON c.chunk_id = o.row_idx // {CHUNK} JOIN firsts f USING (split)""",
 )
 def split_rows(spark, folder):
-    rows = splits.split_rows(indexed_orders(spark, folder), TRAIN, VALID, chunk_rows=CHUNK)
-    local = (F.col("row_idx") - F.col("split_start")).alias("split_row")
-    return rows.select("row_idx", "chunk_id", "split", local)
+    rows = splits.with_chunks(indexed_orders(spark, folder), CHUNK)
+    rows = splits.with_splits(rows, ratios=(TRAIN, VALID), chunk_rows=CHUNK)
+    return rows.select("row_idx", "chunk_id", "split", "split_row")
 
 
 @register(

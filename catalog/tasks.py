@@ -37,7 +37,7 @@ def mean_windows(spark, folder, features=("f1",), decay=None):
 
 def samples(spark, folder, features=("f1",)):
     """Windows placed in their series, ready for task assignment."""
-    rows = tasks.with_splits(processed_ev(spark, folder), EV_SERIES)
+    rows = splits.with_splits(processed_ev(spark, folder), EV_SERIES)
     placed = ["split", "split_row", "split_rows"]
     return windows.window_means(
         rows, list(features), "label", SEQ, series=EV_SERIES, keep=placed
@@ -216,7 +216,7 @@ def chunk_statistics(spark, folder):
                CAST(q1 AS BIGINT) AS query_end FROM tasks""",
 )
 def rolling_tasks(spark, folder):
-    bounds = tasks.split_bounds(processed_ev(spark, folder), EV_SERIES)
+    bounds = splits.split_bounds(processed_ev(spark, folder), EV_SERIES)
     return tasks.rolling_tasks(bounds, SHAPE, EV_SERIES).drop("split")
 
 
@@ -239,7 +239,7 @@ or_tasks AS (
 
 
 def order_tasks(spark, folder):
-    bounds = tasks.split_bounds(
+    bounds = splits.split_bounds(
         indexed_orders(spark, folder), ratios=(TRAIN, VALID), chunk_rows=CHUNK
     )
     return tasks.rolling_tasks(bounds, OR_SHAPE)
@@ -292,7 +292,7 @@ def task_chunks(spark, folder):
         FROM prepared p JOIN tasks t ON t.user_id = p.user_id AND p.row_idx BETWEEN t.s0 AND t.q1""",
 )
 def rows_in_tasks(spark, folder):
-    rows = tasks.with_splits(processed_ev(spark, folder), EV_SERIES)
+    rows = splits.with_splits(processed_ev(spark, folder), EV_SERIES)
     found = tasks.assign_tasks(rows, SHAPE, length=1)
     return found.select("user_id", "row_idx", "task_id", "part")
 

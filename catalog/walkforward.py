@@ -10,7 +10,6 @@ from catalog.base import (
     FILTER_LENGTH,
     OR_ORDER,
     OR_SQL,
-    SEQ,
     SHIFT,
     TRAIN,
     VALID,
@@ -29,7 +28,7 @@ from catalog.tasks import (
     samples,
     windows_sql,
 )
-from driftwalk.operators import metrics, moments, tasks, windows
+from driftwalk.operators import metrics, moments, splits, tasks, windows
 from driftwalk.plans import walkforward
 from driftwalk.plans.prepare import prepare_features_and_labels
 from driftwalk.staging import stage
@@ -225,7 +224,7 @@ def order_moments(spark, folder):
         part_rows=4096,
     )
     table = stage(table.withColumnRenamed(label, "label"), "processed")
-    placed = tasks.with_splits(table, ratios=(TRAIN, VALID), chunk_rows=CHUNK)
+    placed = splits.with_splits(table, ratios=(TRAIN, VALID), chunk_rows=CHUNK)
     # Windows stay inside chunks, hence inside their split.
     means = windows.window_means(
         placed, ["f1"], "label", SEQ_LONG, chunk_rows=CHUNK, keep=["split", "split_row", "split_rows"]

@@ -29,6 +29,11 @@ def clip(value: Column, low: Column | float, high: Column | float) -> Column:
     )
 
 
+def whole_div(value: Column, by: int) -> Column:
+    """Integer quotient, cut towards zero; exact for any bigint."""
+    return F.call_function("div", value, F.lit(by).cast("bigint"))
+
+
 def total(columns: list[Column]) -> Column:
     """The sum of one or more columns."""
     return reduce(add, columns)

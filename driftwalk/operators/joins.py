@@ -11,9 +11,15 @@ BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, row_limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast after counting that it has few rows."""
-    few = df.limit(row_limit + 1).count() <= row_limit
-    return F.broadcast(df) if few else df
+    """A table of few rows marked for broadcast; a larger one as it is.
+
+    At most ``row_limit + 1`` rows are fetched to find out. A small table is
+    then known by its rows, so what it was computed from is not run again.
+    """
+    rows = df.limit(row_limit + 1).toArrow()
+    if rows.num_rows > row_limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def attach(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from driftwalk.functions.vectors import as_lists, stacked
-from driftwalk.operators.tasks import QUERY, SPLIT, SUPPORT, TASK, TaskShape, assign_tasks
+from driftwalk.operators.tasks import SPLIT, TASK, TaskShape, assign_tasks
 
 # Inputs are scaled by 100, variances guarded, a smaller
 # denominator counts as no correlation.
@@ -215,15 +215,3 @@ def _merged_sums(df: DataFrame, group: list[str]) -> DataFrame:
 
     content = df.select(*group, "n", "sums", "products")
     return content.groupBy(*group).applyInArrow(merged, schema)
-
-
-__all__ = [
-    "QUERY",
-    "SUPPORT",
-    "accumulate_loss",
-    "correlation_loss",
-    "loss_of_sums",
-    "packed",
-    "pair_sums",
-    "task_moments",
-]

@@ -11,7 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwalk.operators.joins import attach
-from driftwalk.operators.ordering import ROW, attach_by_part, index_rows, series_lengths
+from driftwalk.operators.ordering import (
+    PART_ROWS,
+    ROW,
+    attach_by_part,
+    index_rows,
+    series_lengths,
+)
 
 CHUNK = "chunk_id"
 SPLIT = "split"
@@ -68,7 +74,6 @@ def split_chunks(
     valid_ratio: float = 0.2,
     series: Sequence[str] = (),
     seed: int | None = None,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Give every chunk of ``chunk_infos`` its split.
 
@@ -90,43 +95,75 @@ def split_chunks(
     return known.withColumn(SPLIT, split).drop("__chunks", "__rank")
 
 
-def split_rows(
+def split_bounds(
     df: DataFrame,
-    train_ratio: float = 0.6,
-    valid_ratio: float = 0.2,
     series: Sequence[str] = (),
-    chunk_rows: int = CHUNK_ROWS,
+    ratios: tuple[float, float] | None = None,
+    chunk_rows: int = 0,
     index_col: str = ROW,
 ) -> DataFrame:
-    """Chronological split of rows: adds chunk, split and index within the split.
+    """First row and row count of every split of every series.
 
-    Needs only the length of each series, not the chunk table.
+    Splits follow whole chunks (single rows when chunking is off); without
+    ratios the series is one split named ``all``.
     """
-    check_ratios(train_ratio, valid_ratio)
     lengths = series_lengths(df, series, index_col)
-    size = chunk_rows if chunk_rows > 0 else None
-    chunks = F.expr(f"(length + {size - 1}L) div {size}L") if size else F.lit(1).cast("bigint")
-    train = F.floor(chunks * F.lit(train_ratio))
-    valid = F.floor(chunks * F.lit(valid_ratio))
-    table = lengths.withColumn("length", F.col("num_rows")).select(
-        *series,
-        "num_rows",
-        (train * (size or 0)).alias("valid_start"),
-        ((train + valid) * (size or 0)).alias("test_start"),
+    if ratios is None:
+        return lengths.select(
+            *series,
+            F.lit("all").alias(SPLIT),
+            F.lit(0).cast("bigint").alias("split_start"),
+            F.col("num_rows").alias("split_rows"),
+        )
+    check_ratios(*ratios)
+    size = max(chunk_rows, 1)
+    chunks = F.expr(f"(num_rows + {size - 1}L) div {size}L")
+    first = (F.floor(chunks * F.lit(ratios[0])) * size).cast("bigint")
+    second = first + (F.floor(chunks * F.lit(ratios[1])) * size).cast("bigint")
+    edges = [("train", F.lit(0).cast("bigint"), first), ("valid", first, second)]
+    edges.append(("test", second, F.col("num_rows")))
+    named = [
+        F.struct(F.lit(n).alias(SPLIT), a.alias("split_start"), (b - a).alias("split_rows"))
+        for n, a, b in edges
+    ]
+    return lengths.select(*series, F.inline(F.array(*named)))
+
+
+def with_splits(
+    df: DataFrame,
+    series: Sequence[str] = (),
+    ratios: tuple[float, float] | None = None,
+    chunk_rows: int = 0,
+    index_col: str = ROW,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """Add split, row number inside the split and rows of the split to each row."""
+    bounds = split_bounds(df, series, ratios, chunk_rows, index_col)
+    edges = F.map_from_entries(
+        F.collect_list(F.struct(SPLIT, F.struct("split_start", "split_rows")))
+    )
+    # Three entries per series at most.
+    table = bounds.groupBy(*series).agg(
+        edges.alias("__edges"),
+        F.max(F.col("split_start") + F.col("split_rows")).alias("num_rows"),
     )
-    i = F.col(index_col)
-    rows = attach_by_part(with_chunks(df, chunk_rows, index_col), table, series, index_col)
+    rows = attach_by_part(df, table, series, index_col, part_rows)
+    if ratios is None:
+        split = F.lit("all")
+    else:
+        i = F.col(index_col)
+        split = (
+            F.when(i < F.col("__edges")["valid"]["split_start"], "train")
+            .when(i < F.col("__edges")["test"]["split_start"], "valid")
+            .otherwise("test")
+        )
+    rows = rows.withColumn(SPLIT, split).withColumn("__edge", F.col("__edges")[F.col(SPLIT)])
     return rows.withColumns(
         {
-            SPLIT: F.when(i < F.col("valid_start"), "train")
-            .when(i < F.col("test_start"), "valid")
-            .otherwise("test"),
-            "split_start": F.when(i < F.col("valid_start"), F.lit(0))
-            .when(i < F.col("test_start"), F.col("valid_start"))
-            .otherwise(F.col("test_start"))
-            .cast("bigint"),
+            "split_row": F.col(index_col) - F.col("__edge.split_start"),
+            "split_rows": F.col("__edge.split_rows"),
         }
-    ).drop("valid_start", "test_start")
+    ).drop("__edges", "__edge")
 
 
 def locate_rows(

@@ -13,13 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftwalk.operators.ordering import (
-    PART_ROWS,
-    ROW,
-    attach_by_part,
-    series_lengths,
-)
-from driftwalk.operators.splits import SPLIT, check_ratios
+from driftwalk.functions.columns import whole_div
+from driftwalk.operators.splits import SPLIT
 
 TASK = "task_id"
 SUPPORT, QUERY = "support", "query"
@@ -46,8 +41,8 @@ class TaskShape:
     def count(self, rows: Column) -> Column:
         """Tasks in a split of ``rows`` rows; none when it is too short."""
         room = rows - (self.total + self.seq_length + 1)
-        fits = F.floor(room / F.lit(self.interval)) + 1
-        return F.when(room >= 0, fits).otherwise(F.lit(0)).cast("bigint")
+        fits = whole_div(room, self.interval) + 1
+        return F.when(room >= 0, fits).otherwise(F.lit(0).cast("bigint"))
 
     @property
     def unit(self) -> int:
@@ -55,40 +50,6 @@ class TaskShape:
         return math.gcd(self.support, self.query, self.interval)
 
 
-def split_bounds(
-    df: DataFrame,
-    series: Sequence[str] = (),
-    ratios: tuple[float, float] | None = None,
-    chunk_rows: int = 0,
-    index_col: str = ROW,
-) -> DataFrame:
-    """First row and row count of every split of every series.
-
-    Splits follow whole chunks (single rows when chunking is off); without
-    ratios the series is one split named ``all``.
-    """
-    lengths = series_lengths(df, series, index_col)
-    if ratios is None:
-        return lengths.select(
-            *series,
-            F.lit("all").alias(SPLIT),
-            F.lit(0).cast("bigint").alias("split_start"),
-            F.col("num_rows").alias("split_rows"),
-        )
-    check_ratios(*ratios)
-    size = max(chunk_rows, 1)
-    chunks = F.expr(f"(num_rows + {size - 1}L) div {size}L")
-    first = (F.floor(chunks * F.lit(ratios[0])) * size).cast("bigint")
-    second = first + (F.floor(chunks * F.lit(ratios[1])) * size).cast("bigint")
-    edges = [("train", F.lit(0).cast("bigint"), first), ("valid", first, second)]
-    edges.append(("test", second, F.col("num_rows")))
-    named = [
-        F.struct(F.lit(n).alias(SPLIT), a.alias("split_start"), (b - a).alias("split_rows"))
-        for n, a, b in edges
-    ]
-    return lengths.select(*series, F.inline(F.array(*named)))
-
-
 def rolling_tasks(bounds: DataFrame, shape: TaskShape, series: Sequence[str] = ()) -> DataFrame:
     """The tasks of every split, with inclusive bounds in rows of the series.
 
@@ -138,43 +99,6 @@ def task_chunks(tasks: DataFrame, chunk_rows: int) -> DataFrame:
     return tasks.withColumns(columns)
 
 
-def with_splits(
-    df: DataFrame,
-    series: Sequence[str] = (),
-    ratios: tuple[float, float] | None = None,
-    chunk_rows: int = 0,
-    index_col: str = ROW,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """Add split, row number inside the split and rows of the split to each row."""
-    bounds = split_bounds(df, series, ratios, chunk_rows, index_col)
-    edges = F.map_from_entries(
-        F.collect_list(F.struct(SPLIT, F.struct("split_start", "split_rows")))
-    )
-    # Three entries per series at most.
-    table = bounds.groupBy(*series).agg(
-        edges.alias("__edges"),
-        F.max(F.col("split_start") + F.col("split_rows")).alias("num_rows"),
-    )
-    rows = attach_by_part(df, table, series, index_col, part_rows)
-    if ratios is None:
-        split = F.lit("all")
-    else:
-        i = F.col(index_col)
-        split = (
-            F.when(i < F.col("__edges")["valid"]["split_start"], "train")
-            .when(i < F.col("__edges")["test"]["split_start"], "valid")
-            .otherwise("test")
-        )
-    rows = rows.withColumn(SPLIT, split).withColumn("__edge", F.col("__edges")[F.col(SPLIT)])
-    return rows.withColumns(
-        {
-            "split_row": F.col(index_col) - F.col("__edge.split_start"),
-            "split_rows": F.col("__edge.split_rows"),
-        }
-    ).drop("__edges", "__edge")
-
-
 def assign_tasks(
     rows: DataFrame,
     shape: TaskShape,
@@ -189,11 +113,10 @@ def assign_tasks(
     """
     length = shape.seq_length if length is None else length
     r = F.col("split_row")
-    first = F.ceil((r + length - shape.total) / F.lit(shape.interval)).cast("bigint")
-    last = F.least(
-        F.floor(r / F.lit(shape.interval)).cast("bigint"), shape.count(F.col("split_rows")) - 1
-    )
+    # The quotient rounds up where it is positive; else the first task is 0.
+    first = whole_div(r + (length - shape.total + shape.interval - 1), shape.interval)
     first = F.greatest(first, F.lit(0).cast("bigint"))
+    last = F.least(whole_div(r, shape.interval), shape.count(F.col("split_rows")) - 1)
     covered = F.when(first <= last, F.sequence(first, last))
     found = rows.withColumn(TASK, F.explode(covered))
     offset = r - F.col(TASK) * shape.interval

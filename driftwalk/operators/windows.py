@@ -8,7 +8,7 @@ from typing import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftwalk.functions.columns import decay_weights, total
+from driftwalk.functions.columns import decay_weights, total, whole_div
 from driftwalk.operators.ordering import (
     BOUNDED_ROWS,
     PART_ROWS,
@@ -23,8 +23,8 @@ from driftwalk.operators.recurrence import part_rows_for
 
 def _windows_in(rows: Column, length: int, stride: int) -> Column:
     """Windows that fit in a run of rows."""
-    fits = F.floor((rows - length) / F.lit(stride)) + 1
-    return F.when(rows >= length, fits).otherwise(F.lit(0)).cast("bigint")
+    fits = whole_div(rows - length, stride) + 1
+    return F.when(rows >= length, fits).otherwise(F.lit(0).cast("bigint"))
 
 
 def _check(length: int, stride: int) -> None:
@@ -74,7 +74,7 @@ def _frames(
     frame = frame.filter(F.col("window_end").isNotNull() & (local % stride == 0) & inside)
     return frame.select(
         *series,
-        (number + (local / stride).cast("bigint")).alias("window_id"),
+        (number + whole_div(local, stride)).alias("window_id"),
         i.alias("window_start"),
         "window_end",
         *keep,

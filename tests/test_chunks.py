@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from driftwalk.operators import splits, tasks
+from driftwalk.operators import splits
 from driftwalk.sources import chunks, tables
 from driftwalk.staging import new_path
 
@@ -61,15 +61,19 @@ def test_ratios_are_checked(ratios):
         splits.check_ratios(*ratios)
 
 
-def test_split_rows_agree_with_task_splits(table):
+def test_split_rows_follow_their_chunks(table):
     rows = [(s, i) for s, n in [("a", 95), ("b", 40), ("c", 3)] for i in range(n)]
     df = table(rows, "s string, row_idx bigint")
-    ours = splits.split_rows(df, 0.6, 0.2, ["s"], 10)
-    theirs = tasks.with_splits(df, ["s"], (0.6, 0.2), 10)
-    a = {(r["s"], r["row_idx"]): (r["split"], r["row_idx"] - r["split_start"]) for r in ours.collect()}
-    b = {(r["s"], r["row_idx"]): (r["split"], r["split_row"]) for r in theirs.collect()}
-    assert a == b and len(a) == 138
-    assert a[("c", 0)][0] == "test"
+    chunked = splits.split_chunks(splits.chunk_infos(df, 10, ["s"]), 0.6, 0.2, ["s"]).collect()
+    of_chunk = {(r["s"], r["chunk_id"]): r["split"] for r in chunked}
+    found = splits.with_splits(df, ["s"], (0.6, 0.2), 10).collect()
+    assert len(found) == 138
+    for name in "abc":
+        for split in ("train", "valid", "test"):
+            own = sorted((r for r in found if (r["s"], r["split"]) == (name, split)), key=lambda r: r["row_idx"])
+            assert [r["split_row"] for r in own] == list(range(len(own)))
+            assert all(r["split_rows"] == len(own) for r in own)
+            assert all(of_chunk[(name, r["row_idx"] // 10)] == split for r in own)
 
 
 def test_load_table(spark, table):

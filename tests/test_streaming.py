@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from driftwalk.operators import labels, moments, ordering, recurrence
 from driftwalk.staging import new_path

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwalk.operators import moments, tasks
+from driftwalk.operators import moments, splits, tasks
 from driftwalk.operators.tasks import TaskShape
 
 
@@ -24,7 +24,7 @@ LENGTHS = {"a": 0, "b": 1, "c": 17, "d": 36, "e": 37, "f": 120}
 @pytest.mark.parametrize("shape", SHAPES)
 def test_rolling_tasks(table, shape):
     df = table([(s, i) for s, n in LENGTHS.items() for i in range(n)], "s string, row_idx bigint")
-    found = tasks.rolling_tasks(tasks.split_bounds(df, ["s"]), shape, ["s"]).collect()
+    found = tasks.rolling_tasks(splits.split_bounds(df, ["s"]), shape, ["s"]).collect()
     got = {(r["s"], r["task_id"]): r for r in found}
     wanted = {(s, k): at for s, n in LENGTHS.items() for k, at in enumerate(walked(n, shape))}
     assert got.keys() == wanted.keys()
@@ -37,7 +37,7 @@ def test_rolling_tasks(table, shape):
 @pytest.mark.parametrize("shape,length", itertools.product(SHAPES, [1, 4]))
 def test_assignment_equals_scan(table, shape, length):
     df = table([(s, i) for s, n in LENGTHS.items() for i in range(n)], "s string, row_idx bigint")
-    rows = tasks.with_splits(df, ["s"])
+    rows = splits.with_splits(df, ["s"])
     found = {
         (r["s"], r["row_idx"], r["task_id"], r["part"])
         for r in tasks.assign_tasks(rows, shape, length).collect()
@@ -88,7 +88,7 @@ def test_task_moments_equal_direct_sums(table, shape, wide):
     rng = np.random.default_rng(0)
     data = [(s, i, *map(float, rng.normal(size=3))) for s, n in LENGTHS.items() for i in range(n)]
     df = table(data, "s string, row_idx bigint, a double, b double, y double")
-    rows = tasks.with_splits(df, ["s"])
+    rows = splits.with_splits(df, ["s"])
     last = F.col("split_rows") - shape.seq_length
     rows = rows.filter(F.col("split_row") <= last)
     found = moments.task_moments(rows, ["a", "b"], "y", shape, ["s"], wide).collect()

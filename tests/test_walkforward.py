@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwalk.functions import linear
-from driftwalk.operators import moments, tasks
+from driftwalk.operators import moments, splits
 from driftwalk.operators.tasks import TaskShape
 from driftwalk.plans import walkforward
 
@@ -29,7 +29,7 @@ def found(table):
         x, y = data(ord(s))
         rows += [(s, i, *map(float, x[i]), float(y[i])) for i in range(N)]
     df = table(rows, "s string, row_idx bigint, x1 double, x2 double, x3 double, y double")
-    samples = tasks.with_splits(df, ["s"])
+    samples = splits.with_splits(df, ["s"])
     return moments.task_moments(samples, ["x1", "x2", "x3"], "y", SHAPE, ["s"])
 
 
