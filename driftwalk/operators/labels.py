@@ -37,12 +37,14 @@ def trend_labels(
     series: Sequence[str] = (),
     index_col: str = ROW,
     part_rows: int = PART_ROWS,
+    keep_part: bool = False,
 ) -> DataFrame:
     """Relative distance from the raw price to the filtered price ahead.
 
     Adds ``filtered_price``, ``future_filtered_price`` and ``l_value``. The
     filter's warm-up rows and the look-ahead rows share one halo, so filter and
-    shift cost one shuffle. A zero price gives a null label.
+    shift cost one shuffle. A zero price gives a null label. ``keep_part``
+    leaves the part of each row, for what else runs on that layout.
     """
     if shift_length < 0:
         raise ValueError("shift length must not be negative")
@@ -57,7 +59,7 @@ def trend_labels(
     )
     change = F.col("future_filtered_price") - F.col(price)
     frame = frame.withColumn("l_value", F.try_divide(change, F.col(price)))
-    return own_rows(frame, part_rows, index_col).drop(BLOCK)
+    return own_rows(frame, part_rows, index_col, keep_part).drop(BLOCK)
 
 
 def label_statistics(label: str) -> list[Column]:

@@ -23,6 +23,7 @@ BOUNDED_ROWS = 1_000_000
 
 _SLICE = "__slice"
 _POSITION = "__position"
+_LOCAL = "__local"
 
 
 def groups_are_bounded(
@@ -168,16 +169,46 @@ def with_halo(
 
 
 def own_rows(
-    df: DataFrame, part_rows: int = PART_ROWS, index_col: str = ROW
+    df: DataFrame,
+    part_rows: int = PART_ROWS,
+    index_col: str = ROW,
+    keep_part: bool = False,
 ) -> DataFrame:
     """Drop the halo copies after the frames are computed."""
-    return df.filter(part_of(index_col, part_rows) == F.col(PART)).drop(PART)
+    own = df.filter(part_of(index_col, part_rows) == F.col(PART))
+    return own if keep_part else own.drop(PART)
 
 
 def part_window(series: Sequence[str], index_col: str = ROW) -> WindowSpec:
     return Window.partitionBy(*series, PART).orderBy(index_col)
 
 
+def number_in_parts(
+    df: DataFrame, series: Sequence[str] = (), index_col: str = ROW
+) -> DataFrame:
+    """Number the rows inside each part; on a frame still laid out in parts no shuffle."""
+    inside = Window.partitionBy(*series, PART).orderBy(index_col)
+    return df.withColumn(_LOCAL, F.row_number().over(inside).cast("bigint") - 1)
+
+
+def number_across_parts(
+    df: DataFrame, series: Sequence[str] = (), index_col: str = ROW
+) -> DataFrame:
+    """Replace the index by the number in the part plus the rows of earlier parts.
+
+    Reads ``df`` twice: stage it first.
+    """
+    series = list(series)
+    per_part = df.groupBy(*series, PART).agg(F.count(F.lit(1)).alias("__rows"))
+    per_part = per_part.withColumnRenamed(PART, _SLICE)
+    before = _before_slice(per_part, series, ["__rows"]).withColumnRenamed(_SLICE, PART)
+    return (
+        attach(df, broadcast_if_small(before), [*series, PART])
+        .withColumn(index_col, F.col(_LOCAL) + F.col("__rows__before"))
+        .drop(PART, _LOCAL, "__rows__before")
+    )
+
+
 def compact_index(
     df: DataFrame,
     series: Sequence[str] = (),
@@ -185,25 +216,14 @@ def compact_index(
     bounded: bool = False,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Renumber rows without gaps after some were dropped, keeping their order.
-
-    Reads ``df`` twice unless the series are bounded; stage it first when it is
-    costly to compute.
-    """
+    """Renumber rows without gaps after some were dropped, keeping their order."""
     series = list(series)
     if bounded and series:
         ordered = Window.partitionBy(*series).orderBy(index_col)
         return df.withColumn(index_col, F.row_number().over(ordered).cast("bigint") - 1)
-    parts = df.withColumn(_SLICE, part_of(index_col, part_rows))
-    per_part = parts.groupBy(*series, _SLICE).agg(F.count(F.lit(1)).alias("__rows"))
-    before = broadcast_if_small(_before_slice(per_part, series, ["__rows"]))
-    inside = Window.partitionBy(*series, _SLICE).orderBy(index_col)
-    local = parts.withColumn("__local", F.row_number().over(inside).cast("bigint") - 1)
-    return (
-        attach(local, before, [*series, _SLICE])
-        .withColumn(index_col, F.col("__local") + F.col("__rows__before"))
-        .drop(_SLICE, "__local", "__rows__before")
-    )
+    parts = df.withColumn(PART, part_of(index_col, part_rows))
+    numbered = stage(number_in_parts(parts, series, index_col), "numbered")
+    return number_across_parts(numbered, series, index_col)
 
 
 def series_lengths(
@@ -222,15 +242,15 @@ def attach_by_part(
 ) -> DataFrame:
     """Attach one row per series to all rows of the series.
 
-    A single series becomes a scalar subquery, a small table is broadcast. A large one is repeated once per part of its
+    The row of a single series becomes literals, a small table is broadcast. A large one is repeated once per part of its
     series (it must carry ``num_rows``) and joined on (series, part), so a long
     series spreads over as many join keys as it has parts.
     """
     series = list(series)
     if not series:
-        names = [c for c in per_series.columns if c != "num_rows"]
-        row = per_series.select(F.struct(*names)).scalar()
-        return df.withColumns({n: row[n] for n in names})
+        fields = [f for f in per_series.schema if f.name != "num_rows"]
+        row = per_series.first()
+        return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in fields})
     small = broadcast_if_small(per_series)
     if small is not per_series:
         return attach(df, small.drop("num_rows"), series)

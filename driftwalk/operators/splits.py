@@ -95,6 +95,27 @@ def split_chunks(
     return known.withColumn(SPLIT, split).drop("__chunks", "__rank")
 
 
+def _cuts(
+    df: DataFrame,
+    series: Sequence[str],
+    ratios: tuple[float, float] | None,
+    chunk_rows: int,
+    index_col: str,
+) -> DataFrame:
+    """Rows of each series and the first rows of its valid and test splits."""
+    lengths = series_lengths(df, series, index_col)
+    if ratios is None:
+        return lengths
+    check_ratios(*ratios)
+    size = max(chunk_rows, 1)
+    chunks = F.expr(f"(num_rows + {size - 1}L) div {size}L")
+    first = (F.floor(chunks * F.lit(ratios[0])) * size).cast("bigint")
+    second = first + (F.floor(chunks * F.lit(ratios[1])) * size).cast("bigint")
+    return lengths.select(
+        *series, "num_rows", first.alias("__valid_start"), second.alias("__test_start")
+    )
+
+
 def split_bounds(
     df: DataFrame,
     series: Sequence[str] = (),
@@ -107,26 +128,18 @@ def split_bounds(
     Splits follow whole chunks (single rows when chunking is off); without
     ratios the series is one split named ``all``.
     """
-    lengths = series_lengths(df, series, index_col)
+    cuts = _cuts(df, series, ratios, chunk_rows, index_col)
+    zero, end = F.lit(0).cast("bigint"), F.col("num_rows")
     if ratios is None:
-        return lengths.select(
-            *series,
-            F.lit("all").alias(SPLIT),
-            F.lit(0).cast("bigint").alias("split_start"),
-            F.col("num_rows").alias("split_rows"),
-        )
-    check_ratios(*ratios)
-    size = max(chunk_rows, 1)
-    chunks = F.expr(f"(num_rows + {size - 1}L) div {size}L")
-    first = (F.floor(chunks * F.lit(ratios[0])) * size).cast("bigint")
-    second = first + (F.floor(chunks * F.lit(ratios[1])) * size).cast("bigint")
-    edges = [("train", F.lit(0).cast("bigint"), first), ("valid", first, second)]
-    edges.append(("test", second, F.col("num_rows")))
+        edges = [("all", zero, end)]
+    else:
+        first, second = F.col("__valid_start"), F.col("__test_start")
+        edges = [("train", zero, first), ("valid", first, second), ("test", second, end)]
     named = [
         F.struct(F.lit(n).alias(SPLIT), a.alias("split_start"), (b - a).alias("split_rows"))
         for n, a, b in edges
     ]
-    return lengths.select(*series, F.inline(F.array(*named)))
+    return cuts.select(*series, F.inline(F.array(*named)))
 
 
 def with_splits(
@@ -137,33 +150,30 @@ def with_splits(
     index_col: str = ROW,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Add split, row number inside the split and rows of the split to each row."""
-    bounds = split_bounds(df, series, ratios, chunk_rows, index_col)
-    edges = F.map_from_entries(
-        F.collect_list(F.struct(SPLIT, F.struct("split_start", "split_rows")))
-    )
-    # Three entries per series at most.
-    table = bounds.groupBy(*series).agg(
-        edges.alias("__edges"),
-        F.max(F.col("split_start") + F.col("split_rows")).alias("num_rows"),
-    )
-    rows = attach_by_part(df, table, series, index_col, part_rows)
+    """Add split, row number inside the split and rows of the split to each row.
+
+    Needs only the length of each series, not the chunk table.
+    """
+    cuts = _cuts(df, series, ratios, chunk_rows, index_col)
+    cuts = cuts.withColumn("__rows", F.col("num_rows"))
+    rows = attach_by_part(df, cuts, series, index_col, part_rows)
+    i, end = F.col(index_col), F.col("__rows")
     if ratios is None:
-        split = F.lit("all")
-    else:
-        i = F.col(index_col)
-        split = (
-            F.when(i < F.col("__edges")["valid"]["split_start"], "train")
-            .when(i < F.col("__edges")["test"]["split_start"], "valid")
-            .otherwise("test")
-        )
-    rows = rows.withColumn(SPLIT, split).withColumn("__edge", F.col("__edges")[F.col(SPLIT)])
+        return rows.withColumns(
+            {SPLIT: F.lit("all"), "split_row": i, "split_rows": end}
+        ).drop("__rows")
+    first, second = F.col("__valid_start"), F.col("__test_start")
+
+    def by_split(train, valid, test) -> Column:
+        return F.when(i < first, train).when(i < second, valid).otherwise(test)
+
     return rows.withColumns(
         {
-            "split_row": F.col(index_col) - F.col("__edge.split_start"),
-            "split_rows": F.col("__edge.split_rows"),
+            SPLIT: by_split("train", "valid", "test"),
+            "split_row": by_split(i, i - first, i - second),
+            "split_rows": by_split(first, second - first, end - second),
         }
-    ).drop("__edges", "__edge")
+    ).drop("__rows", "__valid_start", "__test_start")
 
 
 def locate_rows(

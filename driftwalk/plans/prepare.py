@@ -15,11 +15,14 @@ from driftwalk.operators.cleaning import (
 )
 from driftwalk.operators.labels import normalize_labels, trend_labels
 from driftwalk.operators.ordering import (
+    PART,
     PART_ROWS,
     ROW,
     compact_index,
     groups_are_bounded,
     index_rows,
+    number_across_parts,
+    number_in_parts,
 )
 from driftwalk.staging import stage
 
@@ -61,14 +64,28 @@ def prepare_features_and_labels(
     kept = list(dict.fromkeys([*series, ROW, price, *chosen]))
     rows = cast_to_double(rows.select(*kept), [c for c in [price, *chosen] if c not in series])
     rows = trend_labels(
-        rows, price, filter_length, shift_length, series, part_rows=part_rows
+        rows,
+        price,
+        filter_length,
+        shift_length,
+        series,
+        part_rows=part_rows,
+        keep_part=not bounded,
     )
-    rows = drop_null_rows(rows)
-    if not bounded:
-        rows = stage(rows, "labelled")
+    checked = None
+    if null_subset is not None:
+        made = ["filtered_price", "future_filtered_price", "l_value"]
+        checked = [*made, *[c for c in null_subset if c in rows.columns]]
+    rows = drop_null_rows(rows, checked)
+    if bounded:
+        rows = compact_index(rows, series, bounded=True)
+    else:
+        # Numbered on the layout the labels were computed on, then staged.
+        kept = [*series, ROW, *chosen, "l_value", PART]
+        numbered = number_in_parts(rows.select(*dict.fromkeys(kept)), series)
+        rows = number_across_parts(stage(numbered, "labelled"), series)
     if check_rows:
         require_rows(rows)
-    rows = compact_index(rows, series, bounded=bounded, part_rows=part_rows)
     rows = normalize_labels(
         rows,
         series=series,
