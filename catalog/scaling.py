@@ -60,7 +60,7 @@ def robust_fit(spark, folder):
 @register("robust_fit_by_selection", FIT_SQL)
 def robust_fit_by_selection(spark, folder):
     """The path for tables too large to sort: brackets narrowed by sketches."""
-    return params(RobustScaler().fit(lineitem(spark, folder), COLUMNS, median_rows=0), spark)
+    return params(RobustScaler().fit(lineitem(spark, folder), COLUMNS, median_cells=0), spark)
 
 
 @register(

@@ -69,7 +69,11 @@ class HighPass:
 
 
 def part_rows_for(reach: int, part_rows: int) -> int:
-    """Parts at least four times the halo, so copies stay a small share."""
+    """Parts at least four times the halo, so copies stay a small share.
+
+    The halo grows with the filter length (18 rows per unit of length), hence so
+    do the parts once the length passes some hundreds.
+    """
     return max(part_rows, 4 * reach)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftwalk.functions.columns import clip, known
 from driftwalk.operators.ordering import ROW
-from driftwalk.operators.selection import MEDIAN_ROWS, medians
+from driftwalk.operators.selection import MEDIAN_CELLS, medians
 
 # Deviation to standard deviation, guard of the divisor, clip bound.
 MAD_SCALE = 1.4826
@@ -39,7 +39,7 @@ class RobustScaler:
         columns: Sequence[str],
         approximate: bool = False,
         accuracy: int = 10_000,
-        median_rows: int = MEDIAN_ROWS,
+        median_cells: int = MEDIAN_CELLS,
     ) -> RobustScaler:
         """Medians and deviations of the columns, ignoring null and NaN.
 
@@ -57,7 +57,7 @@ class RobustScaler:
             rows = df.count()
 
             def middle(values: dict[str, Column]) -> dict[str, float | None]:
-                return medians(df, values, rows, median_rows)
+                return medians(df, values, rows, median_cells)
 
         centres = middle({c: F.col(c) for c in columns})
         centres = {c: math.nan if m is None else m for c, m in centres.items()}

@@ -17,7 +17,8 @@ from driftwalk.functions.columns import known
 
 ACCURACY = 2_000
 SORT_LIMIT = 10_000
-MEDIAN_ROWS = 200_000
+# Values (rows times columns) up to which the built-in median may hold them all.
+MEDIAN_CELLS = 1_000_000
 
 
 @dataclass
@@ -121,10 +122,10 @@ def exact_medians(
 
 
 def medians(
-    df: DataFrame, values: dict[str, Column], rows: int, row_limit: int = MEDIAN_ROWS
+    df: DataFrame, values: dict[str, Column], rows: int, cell_limit: int = MEDIAN_CELLS
 ) -> dict[str, float | None]:
     """The built-in median for few rows, the selection above for many."""
-    if rows > row_limit:
+    if rows * len(values) > cell_limit:
         return exact_medians(df, values)
     row = df.agg(*[F.median(known(c.cast("double"))).alias(n) for n, c in values.items()]).first()
     return row.asDict()

@@ -20,13 +20,14 @@ def staging_folder(spark: SparkSession) -> str:
     Only a local session without the setting gets a temporary folder; on a
     cluster a machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="driftwalk-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
+    context.setCheckpointDir(folder)
     return folder
 
 

@@ -26,6 +26,7 @@ from driftwalk.operators.joins import attach, broadcast_if_small
 from driftwalk.operators.labels import trend_labels
 from driftwalk.operators.ordering import PART_ROWS, ROW, index_rows
 from driftwalk.operators.recurrence import HighPass
+from driftwalk.staging import stage
 
 STATE_SCHEMA = "seen bigint, x1 double, x2 double, h1 double, h2 double, waiting array<double>"
 
@@ -194,6 +195,7 @@ class LabelledBatches:
             starts = ends.withColumn("from_row", F.greatest(F.col("length") - self.shift_length, F.lit(0)))
             known = attach(known, broadcast_if_small(starts.drop("length")), keys, "left")
             known = known.withColumn("from_row", F.coalesce("from_row", F.lit(0)))
+        known = stage(known, "batch")
         labelled = trend_labels(
             known, "price", self.filter_length, self.shift_length, keys, part_rows=self.part_rows
         )

@@ -11,8 +11,8 @@ from driftwalk.staging import new_path
 
 def test_fit_skips_null_and_nan(table):
     df = table([(1.0,), (None,), (float("nan"),), (4.0,)], "x double")
-    for rows in (0, 100):
-        scaler = RobustScaler().fit(df, ["x"], median_rows=rows)
+    for cells in (0, 100):
+        scaler = RobustScaler().fit(df, ["x"], median_cells=cells)
         assert scaler.params["x"] == (2.5, 1.5 * 1.4826)
     kept = RobustScaler().fit(df, ["x"]).transform(df).collect()
     assert sum(r["x"] is None for r in kept) == 1
