@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,7 +15,7 @@ INTERMEDIATE = (ROW, "index", "l_value", "filtered_price", "future_filtered_pric
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Keep rows without a null in any (chosen) column; NaN is a value."""
     names = list(subset) if subset is not None else df.columns
-    return df.filter(reduce(and_, [F.col(f"`{n}`").isNotNull() for n in names]))
+    return df.filter(" AND ".join(f"`{n}` IS NOT NULL" for n in names))
 
 
 def cast_to_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:

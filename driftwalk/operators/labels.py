@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftwalk.functions.columns import clip
+from driftwalk.functions.columns import known
 from driftwalk.operators.cleaning import LABEL
 from driftwalk.operators.ordering import (
     PART_ROWS,
@@ -57,8 +57,8 @@ def trend_labels(
         "future_filtered_price",
         F.lead("filtered_price", shift_length).over(block_window(series, index_col)),
     )
-    change = F.col("future_filtered_price") - F.col(price)
-    frame = frame.withColumn("l_value", F.try_divide(change, F.col(price)))
+    change = f"try_divide(future_filtered_price - `{price}`, `{price}`)"
+    frame = frame.withColumn("l_value", F.expr(change))
     return own_rows(frame, part_rows, index_col, keep_part).drop(BLOCK)
 
 
@@ -76,18 +76,21 @@ def label_statistics(label: str) -> list[Column]:
     ]
 
 
-def scaled_label(label: Column, num_std: float) -> Column:
-    """Scale a label by the statistics columns next to it."""
-    mean, spread = F.col(MEAN), F.col(SPREAD)
-    floor, ceiling = mean - num_std * spread, mean + num_std * spread
-    deviation = clip(label, floor, ceiling) - mean
-    up = clip(F.col(HIGH), floor, ceiling) - mean
-    down = mean - clip(F.col(LOW), floor, ceiling)
-    return (
-        F.when(label.isNull() | F.isnan(label), label)
-        .when((spread > SMALL) & (deviation > 0) & (up > SMALL), F.try_divide(deviation, up))
-        .when((spread > SMALL) & (deviation < 0) & (down > SMALL), F.try_divide(deviation, down))
-        .otherwise(F.lit(0.0))
+def scaled_label(label: str, num_std: float) -> Column:
+    """Scale a label by the statistics columns next to it; null and NaN stay."""
+    reach = f"{float(num_std)!r}D * {SPREAD}"
+
+    def deviation(value: str) -> str:
+        clipped = f"least(greatest({value}, {MEAN} - {reach}), {MEAN} + {reach})"
+        return f"({clipped} - {MEAN})"
+
+    own, up, down = deviation(f"`{label}`"), deviation(HIGH), deviation(LOW)
+    return F.expr(
+        f"""CASE WHEN `{label}` IS NULL OR isnan(`{label}`) THEN `{label}`
+                 WHEN {SPREAD} <= {SMALL}D THEN 0D
+                 WHEN {own} > 0 AND {up} > {SMALL}D THEN {own} / {up}
+                 WHEN {own} < 0 AND {down} < -{SMALL}D THEN -{own} / {down}
+                 ELSE 0D END"""
     )
 
 
@@ -108,7 +111,7 @@ def normalize_labels(
     With bounded series they are window aggregates on the partitioning the rows
     already have; else one aggregate, attached again part by part.
     """
-    fitted = F.col(label) if fit_rows is None else F.when(fit_rows, F.col(label))
+    fitted = known(label) if fit_rows is None else F.when(fit_rows, known(label))
     frame = df.withColumn("__fitted", fitted)
     statistics = label_statistics("__fitted")
     names = [MEAN, SPREAD, LOW, HIGH]
@@ -127,4 +130,4 @@ def normalize_labels(
             *statistics, (F.max(index_col) + 1).alias("num_rows")
         )
         frame = attach_by_part(frame, per_series, series, index_col, part_rows)
-    return frame.withColumn(output, scaled_label(F.col(label), num_std)).drop("__fitted", *names)
+    return frame.withColumn(output, scaled_label(label, num_std)).drop("__fitted", *names)

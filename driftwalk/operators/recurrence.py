@@ -15,7 +15,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from driftwalk.operators.ordering import (
     PART,
@@ -112,30 +112,32 @@ def add_high_pass(
     w, rows = shape.rate, shape.block_rows
     c1, _, _ = shape.coefficients
     ordered = block_window(series, index_col)
-    lag = lambda k: F.coalesce(F.lag(price, k).over(ordered), F.lit(0.0))
-    frame = (
-        frame.withColumn(BLOCK, F.expr(f"`{index_col}` div {rows}L"))
-        .withColumn("__bend", F.col(price) - 2 * lag(1) + lag(2))
-        .withColumn("__step", (F.col(index_col) - F.col(BLOCK) * rows).cast("double"))
+    frame = frame.withColumn(BLOCK, F.expr(f"`{index_col}` div {rows}L"))
+    frame = frame.withColumns(
+        {
+            "__x1": F.lag(price, 1).over(ordered),
+            "__x2": F.lag(price, 2).over(ordered),
+            "__step": F.expr(f"CAST(`{index_col}` - {BLOCK} * {rows}L AS DOUBLE)"),
+        }
     )
-    angle = F.col("__step") * w
+    bend = f"(`{price}` - 2 * coalesce(__x1, 0D) + coalesce(__x2, 0D))"
     frame = frame.withColumns(
         {
-            "__even": F.exp(angle) * F.cos(angle) * F.col("__bend"),
-            "__odd": F.exp(angle) * F.sin(angle) * F.col("__bend"),
+            "__even": F.expr(f"exp(__step * {w!r}D) * cos(__step * {w!r}D) * {bend}"),
+            "__odd": F.expr(f"exp(__step * {w!r}D) * sin(__step * {w!r}D) * {bend}"),
         }
     )
     frame = _block_sums(frame, series, index_col, ["__even", "__odd"])
 
-    def response(step: Column, suffix: str) -> Column:
-        turn = (step + 1) * w
-        mixed = F.sin(turn) * F.col(f"__even{suffix}") - F.cos(turn) * F.col(f"__odd{suffix}")
-        return F.exp(-step * w) * mixed
+    def response(step: str, which: str) -> str:
+        turn = f"({step} + 1) * {w!r}D"
+        mixed = f"sin({turn}) * __even_{which} - cos({turn}) * __odd_{which}"
+        return f"exp(-{step} * {w!r}D) * ({mixed})"
 
-    both = response(F.col("__step"), "_now") + response(F.col("__step") + rows, "_prev")
-    helpers = ["__bend", "__step", "__even", "__odd"]
+    both = f"{response('__step', 'now')} + {response(f'(__step + {rows})', 'prev')}"
+    helpers = ["__x1", "__x2", "__step", "__even", "__odd"]
     helpers += [f"{n}_{s}" for n in ("__even", "__odd") for s in ("now", "prev")]
-    return frame.withColumn(residual, both * (c1 / math.sin(w))).drop(*helpers)
+    return frame.withColumn(residual, F.expr(f"({both}) * {c1 / math.sin(w)!r}D")).drop(*helpers)
 
 
 def high_pass_filter(
