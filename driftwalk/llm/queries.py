@@ -3,9 +3,14 @@
 from driftwalk.llm import (  # noqa: F401  (each registers its query)
     bpe,
     chat_format,
+    decontamination,
     line_dedup,
+    minhash,
+    nearest,
+    quality,
     sharding,
     token_counts,
+    warc,
 )
 from driftwalk.llm.base import ORACLES, QUERIES
 
