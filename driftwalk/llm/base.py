@@ -7,8 +7,9 @@ column takes the place of a given column of the same name.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +54,10 @@ def text_or_empty(name: str) -> Column:
 def sha256(value: Column | str) -> Column:
     """Lowercase hex digest of a string's UTF-8 or of binary."""
     return F.sha2(value, 256)
+
+
+def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """The batches in pieces of at most ``rows``, so that a worker holds few results."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)

@@ -24,10 +24,10 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from driftwalk.llm.base import column, read, register, sha256, text_or_empty
+from driftwalk.llm.base import column, read, register, sha256, slices, text_or_empty
 
 # Strings of a kind kept with their ids per Python worker, and the longest worth it.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+KEPT_WORDS, KEPT_LENGTH = 300_000, 64
 
 # Letters, marks and signs that NFC leaves alone and whose classes are the same in
 # every engine, after lowering. Texts of these alone are split here; others are
@@ -52,7 +52,7 @@ PLAIN_WORDS = re.compile(
 
 
 class BytePairs:
-    """Encoder and decoder of one tokenizer file."""
+    """Encoder of one tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -62,8 +62,6 @@ class BytePairs:
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
         added = {token["content"]: token["id"] for token in spec["added_tokens"]}
-        tokens = {i: token for token, i in (self.vocab | added).items()}
-        self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
         self.added = {content: i.to_bytes(4, "little") for content, i in added.items()}
         by_length = sorted(map(re.escape, added), key=len, reverse=True)
         self.added_at = re.compile("|".join(by_length)) if added else None
@@ -74,7 +72,7 @@ class BytePairs:
         )
         if splits != PATTERN:
             raise ValueError(f"words are split by {PATTERN!r} here, not by {splits!r}")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.letters = _byte_letters()
         self.codes = dict(enumerate(self.letters))
         self.packed = {token: i.to_bytes(4, "little") for token, i in self.vocab.items()}
@@ -83,6 +81,11 @@ class BytePairs:
         self.inner = _Filled(lambda part: self._merge(list(part)))
         self.last = _Filled(lambda part: self._merge([*part[:-1], part[-1] + self.end]))
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The tokenizer's own normaliser and splitter, loaded where a text needs them."""
+        return Tokenizer.from_file(self.path)
+
     def _pairs_inside_tokens(self) -> set[str]:
         """Neighbouring letters inside any token; all other pairs are forced cuts."""
         found = set()
@@ -170,6 +173,17 @@ class BytePairs:
             start = found.end()
         return b"".join(parts) + self._plain(text[start:])
 
+
+class Tokens:
+    """The tokens of a tokenizer file by id, which is all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        tokens = {i: token for token, i in spec["model"]["vocab"].items()}
+        tokens |= {token["id"]: token["content"] for token in spec["added_tokens"]}
+        self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
+
     def decode(self, packed: bytes) -> str:
         """Tokens of packed ids, joined as a tokenizer without a decoder joins them."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -191,22 +205,22 @@ class _Filled(dict):
         return value
 
 
-@functools.lru_cache(maxsize=2)
-def load(path: str) -> BytePairs:
-    """The tokenizer at ``path``, or at a name that ``SparkContext.addFile`` shipped."""
+@functools.lru_cache(maxsize=4)
+def load(kind: type, path: str):
+    """``kind`` of the file at ``path``, or at a name that ``SparkContext.addFile`` shipped."""
     try:
-        return BytePairs(path)
+        return kind(path)
     except FileNotFoundError:
-        return BytePairs(SparkFiles.get(path))
+        return kind(SparkFiles.get(path))
 
 
 def encoded(text: Column, path: str) -> Column:
     """Packed ids of a text column: little-endian unsigned 32-bit integers."""
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = load(path).encode
-        for batch in texts:
-            yield pa.array((encode(t.as_py()) for t in batch), pa.binary())
+        encode = load(BytePairs, path).encode
+        for some in slices(texts):
+            yield pa.array((encode(t.as_py()) for t in some), pa.binary())
 
     return F.arrow_udf(batches, "binary")(text)
 
@@ -215,9 +229,9 @@ def decoded(ids: Column, path: str) -> Column:
     """Text of packed ids."""
 
     def batches(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decode = load(path).decode
-        for batch in packed:
-            yield pa.array((decode(p.as_py()) for p in batch), pa.string())
+        decode = load(Tokens, path).decode
+        for some in slices(packed):
+            yield pa.array((decode(p.as_py()) for p in some), pa.string())
 
     return F.arrow_udf(batches, "string")(ids)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftwalk.llm.base import HELPER, column, read, register, text_or_empty
+from driftwalk.llm.base import HELPER, column, read, register, slices, text_or_empty
 from driftwalk.llm.components import connected_components
 from driftwalk.staging import stage
 
@@ -117,7 +117,7 @@ def sketch(text: Column, words: int) -> Column:
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         none = np.empty(0, np.uint64)
-        for batch in texts:
+        for batch in slices(texts):
             sizes, nodes, left, right = [], [], [], []
             for one in batch:
                 found = shingles(one.as_py(), words)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftwalk.llm.base import HELPER, column, read, register, text_or_empty
+from driftwalk.llm.base import HELPER, column, read, register, slices, text_or_empty
 
 PASSAGE_WORDS = 64
 # The model is fitted on at most this many labelled documents, those whose ids hash
@@ -164,7 +164,7 @@ def _features(text: Column) -> Column:
     """Packed features of a text's passages."""
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
+        for batch in slices(texts):
             yield pa.array((passages(t.as_py()).tobytes() for t in batch), pa.binary())
 
     return F.arrow_udf(batches, "binary")(text)
@@ -223,7 +223,7 @@ def quality_score(model: Attention | float, text: Column) -> Column:
         return F.lit(float(model))
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
+        for batch in slices(texts):
             yield pa.array((model.score(t.as_py()) for t in batch), pa.float64())
 
     return F.arrow_udf(batches, "double")(text)

@@ -18,7 +18,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftwalk.llm.base import read, register, text_or_empty
+from driftwalk.llm.base import read, register, slices, text_or_empty
 from driftwalk.llm.bpe import vocabulary
 
 # Pre-tokens kept with their counts per Python worker, and the longest worth keeping.
@@ -112,10 +112,8 @@ def token_count(text: Column, path: str, pattern: str) -> Column:
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         unigrams = load(path, pattern)
-        for batch in texts:
-            found = []
-            for start in range(0, len(batch), TOGETHER):
-                found += unigrams.count_texts(batch.slice(start, TOGETHER).to_pylist())
+        for some in slices(texts, TOGETHER):
+            found = unigrams.count_texts(some.to_pylist())
             yield pa.array(
                 [{"n_tokens": n, "n_pretokens": words} for n, words in found], type=kind
             )
