@@ -90,6 +90,19 @@ def predict_queries(spark, folder):
     )
 
 
+def scaled_moments(spark, folder, wide):
+    """Moments of f1 far above its spread and f2 far below one, with gaps in both."""
+    rows = samples(spark, folder, PAIR)
+    far = rows.withColumns(
+        {
+            "f1": F.when(F.col("window_start") % 7 != 3, F.col("f1") * 1e3 + 1e9),
+            "f2": F.when(F.col("window_start") % 5 != 2, F.col("f2") * 1e-6),
+        }
+    )
+    found = moments.task_moments(far, PAIR, "label", SHAPE, EV_SERIES, wide)
+    return stage(found, "moments")
+
+
 PAIR_SQL = f"{BASE_SQL}, {TASKS_SQL}, {windows_sql(PAIR)}"
 
 
@@ -105,6 +118,34 @@ def pair_stats(source: str, where: str, name: str, keys: str = "") -> str:
 )"""
 
 
+SCALED_SQL = f"""{PAIR_SQL},
+{pair_stats("task_samples", "part = 'support' AND w0 % 7 <> 3 AND w0 % 5 <> 2", "sup", "user_id, task_id")}
+SELECT user_id, CAST(task_id AS BIGINT) AS task_id, CAST(n AS BIGINT) AS n,
+       {sql_r6("(c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12)", 5)} AS w1,
+       {sql_r6("(c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12)", 5)} AS w2
+FROM sup"""
+
+
+@register("fit_tasks_scales", SCALED_SQL)
+def fit_tasks_scales(spark, folder, wide=16):
+    """Weights in the units of the plain features, which the oracle fits."""
+    found = scaled_moments(spark, folder, wide)
+    counts = found.filter("part = 'support'").select(*KEYS, "n")
+    fits = walkforward.fit_and_score(found, EV_SERIES).join(counts, KEYS)
+    return fits.select(
+        "user_id",
+        "task_id",
+        "n",
+        r6(F.col("coefficients")[0] * 1e3, 5).alias("w1"),
+        r6(F.col("coefficients")[1] * 1e-6, 5).alias("w2"),
+    )
+
+
+@register("fit_tasks_scales_as_matrices", SCALED_SQL)
+def fit_tasks_scales_as_matrices(spark, folder):
+    return fit_tasks_scales(spark, folder, wide=0)
+
+
 BASE_FIT_SQL = f"""{pair_stats("task_samples", "part = 'query'", "whole")},
 base AS (
   SELECT (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS w1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) AS w2,

@@ -1,36 +1,56 @@
 """Linear forecasts from moments, for batches of moment rows.
 
-``products`` holds the sums of products of the variables' pairs ``i <= j`` with
-the target last; coefficients are the weights followed by the intercept.
+``spreads`` holds the sums of products about the means of the variables' pairs
+``i <= j`` with the target last; coefficients are the weights followed by the
+intercept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-# Singular directions below this share of the largest are not fitted.
-RANK_SHARE = 1e-10
+# Machine precision. A spread within a few roundings of the level it was taken
+# about is no spread, and a direction within a few of the largest no direction.
+EPS = np.finfo(float).eps
+ROUNDINGS = 64
 
 
-def centred(n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def centred(n: np.ndarray, sums: np.ndarray, spreads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Means and population covariances per row."""
     rows, width = sums.shape
     count = np.where(n > 0, n, np.nan)[:, None]
-    means = sums / count
     upper = np.triu_indices(width)
-    square = np.zeros((rows, width, width))
-    square[:, upper[0], upper[1]] = products / count
-    square[:, upper[1], upper[0]] = products / count
-    return means, square - means[:, :, None] * means[:, None, :]
+    cov = np.zeros((rows, width, width))
+    cov[:, upper[0], upper[1]] = spreads / count
+    cov[:, upper[1], upper[0]] = spreads / count
+    return sums / count, cov
 
 
 def ridge(means: np.ndarray, cov: np.ndarray, penalty: float) -> np.ndarray:
-    """Least squares with a penalty on the weights; NaN rows stay NaN."""
-    inner = cov[:, :-1, :-1] + penalty * np.eye(cov.shape[1] - 1)
+    """Least squares with a penalty on the weights; NaN rows stay NaN.
+
+    Features are brought to unit spread first, so that their units decide nothing;
+    the penalty is on the weights in the given units. Of features that determine each
+    other the smallest weights are taken; a constant feature has none.
+    """
+    inner, width = cov[:, :-1, :-1], cov.shape[1] - 1
     known = np.isfinite(inner).all(axis=(1, 2))
     weights = np.full(means[:, :-1].shape, np.nan)
-    inverse = np.linalg.pinv(inner[known], rcond=RANK_SHARE, hermitian=True)
-    weights[known] = np.einsum("nij,nj->ni", inverse, cov[known, :-1, -1])
+    spread = np.sqrt(np.maximum(np.einsum("nii->ni", inner[known]), 0.0))
+    varies = spread > ROUNDINGS * EPS * np.abs(means[known, :-1])
+    scale = np.where(varies, spread, 1.0)
+    unit = inner[known] / (scale[:, :, None] * scale[:, None, :])
+    unit += penalty * np.eye(width) / (scale * scale)[:, :, None]
+    unit *= varies[:, :, None] & varies[:, None, :]
+    values, vectors = np.linalg.eigh(unit)
+    held = values > ROUNDINGS * width * EPS * values[:, -1:]
+    along = np.where(varies, cov[known, :-1, -1] / scale, 0.0)
+    turned = np.einsum("nij,ni->nj", vectors, along) / np.where(held, values, 1.0)
+    found = np.einsum("nij,nj->ni", vectors, np.where(held, turned, 0.0)) / scale
+    for row in np.flatnonzero(~held.all(axis=1)):
+        free = np.linalg.qr(vectors[row][:, ~held[row]] / scale[row][:, None])[0]
+        found[row] -= free @ (free.T @ found[row])
+    weights[known] = found
     return with_intercept(weights, means)
 
 

@@ -1,13 +1,18 @@
 """Sums per task from which losses, fits and metrics follow.
 
-All moments of the variables ``z = (x_1 .. x_d, y)``: the count, the sums and
-the sums of products. They merge by addition, so Spark's partial aggregation
-does the accumulating and one shuffle of small rows the rest.
+All moments of the variables ``z = (x_1 .. x_d, y)``: the count, the sums, the
+sums of products and ``spreads``, the sums of products about the means. Fits use
+the spreads, which lose no digits where a variable's level is far above its
+spread; they are gathered about the means of each group and merged by the
+difference of means, never as differences of raw sums. Rows in which any variable
+is null count nowhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +28,12 @@ SCALE = 100.0
 VARIANCE_GUARD = 1e-8
 SMALLEST_DENOMINATOR = 1e-6
 
-# Variables up to which sums of products are single aggregate columns.
-WIDE = 16
+# The array columns of a moment row.
+MOMENTS = ("sums", "products", "spreads")
+
+# Variables up to which sums of products are single aggregate columns. Either way
+# gives the same moments.
+WIDE = 8
 
 
 def correlation_loss(
@@ -69,19 +78,25 @@ def accumulate_loss(df: DataFrame, pred: str, target: str, by: Sequence[str]) ->
 
 
 def _sum_columns(variables: Sequence[str]) -> dict[str, Column]:
+    """The count, the sums, and per pair i <= j the sum of products about the means."""
     columns = {"n": F.count(F.lit(1))}
     for i, a in enumerate(variables):
         columns[f"s_{i}"] = F.sum(a)
         for j, b in enumerate(variables[i:], i):
-            columns[f"s_{i}_{j}"] = F.sum(F.col(a) * F.col(b))
+            columns[f"s_{i}_{j}"] = F.covar_pop(a, b) * F.count(F.lit(1))
     return columns
 
 
-def packed(variables: int) -> list[Column]:
-    """The sums as arrays: ``sums`` by variable, ``products`` by pair i <= j."""
-    sums = [F.col(f"s_{i}") for i in range(variables)]
-    pairs = [F.col(f"s_{i}_{j}") for i in range(variables) for j in range(i, variables)]
-    return [F.array(*sums).alias("sums"), F.array(*pairs).alias("products")]
+def packed(variables: int) -> dict[str, Column]:
+    """The sums as arrays: ``sums`` by variable, the others by pair i <= j."""
+    pairs = [(i, j) for i in range(variables) for j in range(i, variables)]
+    spreads = [F.col(f"s_{i}_{j}") for i, j in pairs]
+    raw = [F.col(f"s_{i}_{j}") + F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") for i, j in pairs]
+    return {
+        "sums": F.array(*[F.col(f"s_{i}") for i in range(variables)]),
+        "products": F.array(*raw),
+        "spreads": F.array(*spreads),
+    }
 
 
 def task_moments(
@@ -99,7 +114,7 @@ def task_moments(
     common divisor, rows are summed once per run of that length and only these
     sums are repeated per task. Up to ``wide`` variables the sums are built-in
     aggregates; beyond, their number grows too large for generated code and
-    batches of rows are multiplied as matrices.
+    batches of rows are multiplied as matrices. Columns: n, sums, products, spreads.
     """
     variables = [*features, target]
     keys = [*series, SPLIT]
@@ -110,10 +125,11 @@ def task_moments(
         *[F.col(v).cast("double").alias(f"z_{i}") for i, v in enumerate(variables)],
     )
     names = [f"z_{i}" for i in range(len(variables))]
+    inputs = inputs.filter(reduce(and_, [F.col(n).isNotNull() for n in names]))
     by_units = shape.unit >= max(shape.seq_length, 2)
     summing = _summed_as_matrices if len(variables) > wide else _summed_as_columns
     summed = summing(inputs, names, keys, shape, by_units)
-    return summed.select(*keys, TASK, "part", "n", "sums", "products")
+    return summed.select(*keys, TASK, "part", "n", *MOMENTS)
 
 
 def _with_units(inputs: DataFrame, shape: TaskShape) -> DataFrame:
@@ -139,20 +155,17 @@ def _units_in_tasks(by_unit: DataFrame, shape: TaskShape) -> DataFrame:
 def _summed_as_columns(
     inputs: DataFrame, names: list[str], keys: list[str], shape: TaskShape, by_units: bool
 ) -> DataFrame:
-    columns = _sum_columns(names)
-    sums = [c.alias(n) for n, c in columns.items()]
+    sums = [c.alias(n) for n, c in _sum_columns(names).items()]
     if by_units:
         units = (
             _with_units(inputs, shape)
             .groupBy(*keys, "unit", "crossing")
             .agg(*sums, F.max("split_rows").alias("split_rows"))
+            .withColumns(packed(len(names)))
         )
-        placed = _units_in_tasks(units, shape)
-        sums = [F.sum(n).alias(n) for n in columns]
-    else:
-        placed = assign_tasks(inputs, shape)
-    summed = placed.groupBy(*keys, TASK, "part").agg(*sums)
-    return summed.withColumns(dict(zip(("sums", "products"), packed(len(names)))))
+        return merged_moments(_units_in_tasks(units, shape), [*keys, TASK, "part"])
+    placed = assign_tasks(inputs, shape)
+    return placed.groupBy(*keys, TASK, "part").agg(*sums).withColumns(packed(len(names)))
 
 
 def _summed_as_matrices(
@@ -165,12 +178,32 @@ def _summed_as_matrices(
         placed = _units_in_tasks(_batch_sums(_with_units(rows, shape), group), shape)
     else:
         placed = _batch_sums(assign_tasks(rows, shape), [*keys, TASK, "part"])
-    return _merged_sums(placed, [*keys, TASK, "part"])
+    return merged_moments(placed, [*keys, TASK, "part"])
 
 
 def _moment_schema(df: DataFrame, group: list[str]) -> StructType:
-    schema = StructType([df.schema[c] for c in group])
-    return schema.add("n", "long").add("sums", ArrayType(DoubleType())).add("products", ArrayType(DoubleType()))
+    schema = StructType([df.schema[c] for c in group]).add("n", "long")
+    for name in MOMENTS:
+        schema.add(name, ArrayType(DoubleType()))
+    return schema
+
+
+def _grouped(batch: pa.RecordBatch, group: list[str]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """First keys, order and starts of the groups of a batch."""
+    keys = pa.Table.from_batches([batch]).select(group)
+    if not group:
+        return keys, np.arange(batch.num_rows), np.zeros(1, int)
+    ids = keys.to_pandas().groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    return keys.take(pa.array(order[starts])).combine_chunks(), order, starts
+
+
+def _as_arrays(n: list[int], sums: np.ndarray, spreads: np.ndarray) -> list[pa.Array]:
+    """Count, sums, products and spreads of a row per group; products from the rest."""
+    upper = np.triu_indices(sums.shape[1])
+    products = spreads + sums[:, upper[0]] * sums[:, upper[1]] / np.array(n, float)[:, None]
+    return [pa.array(n, pa.int64()), as_lists(sums), as_lists(products), as_lists(spreads)]
 
 
 def _batch_sums(df: DataFrame, group: list[str]) -> DataFrame:
@@ -181,37 +214,79 @@ def _batch_sums(df: DataFrame, group: list[str]) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keys = pa.Table.from_batches([batch]).select(group)
-            ids = keys.to_pandas().groupby(group, sort=False, dropna=False).ngroup().to_numpy()
-            order = np.argsort(ids, kind="stable")
-            starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            vectors = stacked(batch.column("z"))[order]
-            upper = np.triu_indices(vectors.shape[1])
-            parts = np.split(vectors, starts[1:])
-            found = {
-                "n": pa.array([len(p) for p in parts], pa.int64()),
-                "sums": as_lists(np.array([p.sum(axis=0) for p in parts])),
-                "products": as_lists(np.array([(p.T @ p)[upper] for p in parts])),
-            }
-            first = keys.take(pa.array(order[starts])).combine_chunks()
-            arrays = [first.column(c).combine_chunks() for c in group] + list(found.values())
-            yield pa.RecordBatch.from_arrays(arrays, names=[*group, *found])
+            first, order, starts = _grouped(batch, group)
+            parts = np.split(stacked(batch.column("z"))[order], starts[1:])
+            upper = np.triu_indices(parts[0].shape[1])
+            centred = [p - p.mean(axis=0) for p in parts]
+            found = _as_arrays(
+                [len(p) for p in parts],
+                np.array([p.sum(axis=0) for p in parts]),
+                np.array([(p.T @ p)[upper] for p in centred]),
+            )
+            arrays = [first.column(c).combine_chunks() for c in group] + found
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(*group, "z").mapInArrow(sums, schema)
 
 
-def _merged_sums(df: DataFrame, group: list[str]) -> DataFrame:
-    """Add moment rows up; a task has few, whatever its number of samples."""
+def _merge(n: np.ndarray, sums: np.ndarray, spreads: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Moments of several groups together: spreads grow by how means differ."""
+    total = n.sum()
+    apart = sums / n[:, None] - sums.sum(axis=0) / total
+    upper = np.triu_indices(sums.shape[1])
+    between = (apart * n[:, None]).T @ apart
+    return int(total), sums.sum(axis=0), spreads.sum(axis=0) + between[upper]
+
+
+def _merge_groups(n: pa.Array, sums: pa.Array, spreads: pa.Array, order, starts) -> list[pa.Array]:
+    columns = (n.to_numpy(zero_copy_only=False).astype(float), stacked(sums), stacked(spreads))
+    parts = zip(*(np.split(c[order], starts[1:]) for c in columns))
+    counts, found, between = zip(*(_merge(*part) for part in parts))
+    return _as_arrays(list(counts), np.array(found), np.array(between))
+
+
+def with_spreads(moments: DataFrame) -> DataFrame:
+    """Moment rows of raw sums alone with ``spreads`` computed from these."""
+    if "spreads" in moments.columns:
+        return moments
+
+    @F.arrow_udf("array<double>")
+    def spreads(n: pa.Array, sums: pa.Array, products: pa.Array) -> pa.Array:
+        count, total = n.to_numpy(zero_copy_only=False).astype(float), stacked(sums)
+        upper = np.triu_indices(total.shape[1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            taken = total[:, upper[0]] * total[:, upper[1]] / count[:, None]
+        return as_lists(stacked(products) - taken)
+
+    return moments.withColumn("spreads", spreads(F.col("n").cast("double"), "sums", "products"))
+
+
+def merged_moments(df: DataFrame, group: list[str]) -> DataFrame:
+    """One moment row per group of moment rows.
+
+    Rows are merged within each Arrow batch before they move, so a group of very many
+    rows reaches its task as one row per batch.
+    """
     schema = _moment_schema(df, group)
 
-    def merged(table: pa.Table) -> pa.Table:
-        total = {
-            "n": pa.array([int(np.sum(table.column("n").to_numpy()))], pa.int64()),
-            "sums": as_lists(stacked(table.column("sums")).sum(axis=0)[None]),
-            "products": as_lists(stacked(table.column("products")).sum(axis=0)[None]),
-        }
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            first, order, starts = _grouped(batch, group)
+            found = _merge_groups(
+                batch.column("n"), batch.column("sums"), batch.column("spreads"), order, starts
+            )
+            arrays = [first.column(c).combine_chunks() for c in group] + found
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    def across(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).combine_chunks() for c in ("n", "sums", "spreads")]
+        every = np.arange(table.num_rows)
+        found = _merge_groups(*columns, every, np.zeros(1, int))
         keys = table.select(group).slice(0, 1)
-        return pa.Table.from_arrays([*keys.columns, *total.values()], names=[*group, *total])
+        return pa.Table.from_arrays([*keys.columns, *found], names=schema.names)
 
-    content = df.select(*group, "n", "sums", "products")
-    return content.groupBy(*group).applyInArrow(merged, schema)
+    rows = df.filter("n > 0").select(*group, F.col("n").cast("long").alias("n"), *MOMENTS)
+    partial = rows.mapInArrow(within, schema)
+    return partial.groupBy(*group).applyInArrow(across, schema)

@@ -18,7 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftwalk.functions import linear
 from driftwalk.functions.vectors import as_lists, stacked
 from driftwalk.operators.joins import attach, broadcast_if_small
-from driftwalk.operators.moments import SCALE, SMALLEST_DENOMINATOR, VARIANCE_GUARD
+from driftwalk.operators.moments import (
+    SCALE,
+    SMALLEST_DENOMINATOR,
+    VARIANCE_GUARD,
+    merged_moments,
+    with_spreads,
+)
 from driftwalk.operators.ordering import index_rows
 from driftwalk.operators.recurrence import decayed_sums
 from driftwalk.operators.splits import SPLIT
@@ -27,21 +33,21 @@ from driftwalk.operators.tasks import QUERY, SUPPORT, TASK
 SCORES = ("corr_loss", "mse", "concordance", "pearson")
 
 
-def _unpacked(n: pa.Array, sums: pa.Array, products: pa.Array):
+def _unpacked(n: pa.Array, sums: pa.Array, spreads: pa.Array):
     counts = n.to_numpy(zero_copy_only=False).astype(np.float64)
-    return linear.centred(np.nan_to_num(counts), stacked(sums), stacked(products))
+    return linear.centred(np.nan_to_num(counts), stacked(sums), stacked(spreads))
 
 
 def _moment_columns(moments: Column) -> list[Column]:
-    return [moments["n"].cast("double"), moments["sums"], moments["products"]]
+    return [moments["n"].cast("double"), moments["sums"], moments["spreads"]]
 
 
 def fitted(moments: Column, penalty: float = 0.0) -> Column:
     """Coefficients of the best linear forecast of the target."""
 
     @F.arrow_udf("array<double>")
-    def fit(n: pa.Array, sums: pa.Array, products: pa.Array) -> pa.Array:
-        return as_lists(linear.ridge(*_unpacked(n, sums, products), penalty))
+    def fit(n: pa.Array, sums: pa.Array, spreads: pa.Array) -> pa.Array:
+        return as_lists(linear.ridge(*_unpacked(n, sums, spreads), penalty))
 
     return fit(*_moment_columns(moments))
 
@@ -54,9 +60,9 @@ def stepped(base: Column, moments: Column, rate: float, level: bool = True) -> C
     """
 
     @F.arrow_udf("array<double>")
-    def step(b: pa.Array, n: pa.Array, sums: pa.Array, products: pa.Array) -> pa.Array:
+    def step(b: pa.Array, n: pa.Array, sums: pa.Array, spreads: pa.Array) -> pa.Array:
         start = stacked(b)
-        means, cov = _unpacked(n, sums, products)
+        means, cov = _unpacked(n, sums, spreads)
         known = np.isfinite(cov).all(axis=(1, 2))
         moved = start.copy()
         gradient = linear.correlation_gradient(start[known, :-1], cov[known])
@@ -72,8 +78,8 @@ def scored(coefficients: Column, moments: Column) -> Column:
     """``SCORES`` of a linear forecast on rows known by their moments."""
 
     @F.arrow_udf("array<double>")
-    def score(c: pa.Array, n: pa.Array, sums: pa.Array, products: pa.Array) -> pa.Array:
-        means, cov = _unpacked(n, sums, products)
+    def score(c: pa.Array, n: pa.Array, sums: pa.Array, spreads: pa.Array) -> pa.Array:
+        means, cov = _unpacked(n, sums, spreads)
         size = n.to_numpy(zero_copy_only=False).astype(np.float64)
         mean, variance, shared = linear.prediction_moments(stacked(c), means, cov)
         target, spread = means[:, -1], np.maximum(cov[:, -1, -1], 0.0)
@@ -100,13 +106,42 @@ def score_columns(scores: Column, suffix: str = "") -> list[Column]:
     return [_null_if_nan(scores[i]).alias(f"{n}{suffix}") for i, n in enumerate(SCORES)]
 
 
-def _entries(moments: Column, variables: int) -> Column:
-    """A moment row as one array: the count, the sums, the products; 0 when missing."""
+def _entries(moments: Column, origin: Column, variables: int) -> Column:
+    """A moment row about ``origin`` as one array that adds up: the count, the sums and
+    the sums of products of differences from it; zeros where the row is missing."""
     size = 1 + variables + variables * (variables + 1) // 2
-    flat = F.concat(
-        F.array(moments["n"].cast("double")), moments["sums"], moments["products"]
-    )
-    return F.coalesce(flat, F.array_repeat(F.lit(0.0), size))
+
+    @F.arrow_udf("array<double>")
+    def about(n: pa.Array, sums: pa.Array, spreads: pa.Array, origin: pa.Array) -> pa.Array:
+        counts = np.nan_to_num(n.to_numpy(zero_copy_only=False).astype(np.float64))
+        some = counts > 0
+        out = np.zeros((len(counts), size))
+        if some.any():
+            upper = np.triu_indices(variables)
+            count = counts[some, None]
+            apart = stacked(sums)[some] / count - stacked(origin)[some]
+            products = apart[:, upper[0]] * apart[:, upper[1]]
+            out[some] = np.hstack([count, apart * count, stacked(spreads)[some] + products * count])
+        return as_lists(out)
+
+    return about(*_moment_columns(moments), origin)
+
+
+def _from_entries(entries: Column, origin: Column, variables: int) -> Column:
+    """The moment row of summed entries."""
+    kind = "n double, sums array<double>, spreads array<double>"
+
+    @F.arrow_udf(kind)
+    def row(entries: pa.Array, origin: pa.Array) -> pa.Array:
+        values = stacked(entries)
+        n, sums, products = np.split(values, [1, 1 + variables], axis=1)
+        upper = np.triu_indices(variables)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spreads = products - sums[:, upper[0]] * sums[:, upper[1]] / n
+        found = [pa.array(n[:, 0]), as_lists(sums + n * stacked(origin)), as_lists(spreads)]
+        return pa.StructArray.from_arrays(found, ["n", "sums", "spreads"])
+
+    return row(entries, origin)
 
 
 def _collected(position: str, value: str) -> Column:
@@ -115,26 +150,9 @@ def _collected(position: str, value: str) -> Column:
     return F.transform(pairs, lambda p: p[value])
 
 
-def _from_entries(entries: Column, variables: int) -> list[Column]:
-    pairs = variables * (variables + 1) // 2
-    return [
-        entries[0].alias("n"),
-        F.slice(entries, 2, variables).alias("sums"),
-        F.slice(entries, 2 + variables, pairs).alias("products"),
-    ]
-
-
 def merge_moments(moments: DataFrame, variables: int, by: Sequence[str] = ()) -> DataFrame:
-    """Add moment rows up per group (``variables`` counts the target).
-
-    Entries are summed by position, so partial sums stay small for any number
-    of features and tasks.
-    """
-    row = F.struct("n", "sums", "products")
-    long = moments.select(*by, F.posexplode(_entries(row, variables)).alias("entry", "value"))
-    summed = long.groupBy(*by, "entry").agg(F.sum("value").alias("value"))
-    merged = summed.groupBy(*by).agg(_collected("entry", "value").alias("entries"))
-    return merged.select(*by, *_from_entries(F.col("entries"), variables))
+    """Add moment rows up per group (``variables`` counts the target)."""
+    return merged_moments(with_spreads(moments), list(by))
 
 
 def base_coefficients(
@@ -150,13 +168,13 @@ def base_coefficients(
     if split is not None:
         rows = rows.filter(F.col(SPLIT) == split)
     merged = merge_moments(rows, variables, by)
-    return merged.select(*by, fitted(F.struct("n", "sums", "products"), penalty).alias("base"))
+    return merged.select(*by, fitted(F.struct("n", "sums", "spreads"), penalty).alias("base"))
 
 
 def by_task(moments: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     """Support and query moments of a task side by side."""
-    content = F.struct("n", "sums", "products")
-    return moments.groupBy(*series, SPLIT, TASK).agg(
+    content = F.struct("n", "sums", "products", "spreads")
+    return with_spreads(moments).groupBy(*series, SPLIT, TASK).agg(
         *[
             F.any_value(F.when(F.col("part") == part, content), ignoreNulls=True).alias(part)
             for part in (SUPPORT, QUERY)
@@ -245,11 +263,23 @@ def online_pass(
     """
     series = list(series)
     phase = F.array_position(F.array(*[F.lit(p) for p in phases]), F.col(SPLIT))
+    levels = merge_moments(moments.filter(phase > 0), variables, series)
+    levels = levels.select(*series, F.transform("sums", lambda s: s / F.col("n")).alias("origin"))
     tasks = by_task(moments, series).withColumn("phase", phase).filter("phase > 0")
     tasks = index_rows(tasks, ["phase", TASK], series, "step", bounded=bounded)
+    if series:
+        tasks = attach(tasks, broadcast_if_small(levels), series)
+    else:
+        tasks = tasks.withColumn("origin", levels.select("origin").scalar())
+    origin = F.col("origin")
+    if prior is None:
+        start = F.lit(None).cast("struct<n:bigint,sums:array<double>,spreads:array<double>>")
+    else:
+        start = with_spreads(prior).select(F.struct("n", "sums", "spreads")).scalar()
     entries = F.arrays_zip(
-        _entries(F.col(QUERY), variables).alias("query"),
-        _entries(F.col(SUPPORT), variables).alias("support"),
+        _entries(F.col(QUERY), origin, variables).alias("query"),
+        _entries(F.col(SUPPORT), origin, variables).alias("support"),
+        _entries(start, origin, variables).alias("prior"),
     )
     long = tasks.select(*series, "step", F.posexplode(entries).alias("entry", "of"))
     long = long.select(
@@ -259,20 +289,19 @@ def online_pass(
         F.col("of.query").alias("own"),
         F.col("of.query").alias("kept"),
         F.col("of.support").alias("support"),
+        F.col("of.prior").alias("prior"),
     )
     long = decayed_sums(long, ["kept"], keep, [*series, "entry"], "step")
     # The state before a task: what the task itself added is taken off again.
     before = (F.col("kept") - F.col("own")) / keep
-    if prior is not None:
-        start = prior.select(_entries(F.struct("n", "sums", "products"), variables)).scalar()
-        before = before + F.pow(F.lit(keep), F.col("step")) * start[F.col("entry")]
+    before = before + F.pow(F.lit(keep), F.col("step")) * F.col("prior")
     states = (
         long.withColumn("value", before + F.col("support"))
         .groupBy(*series, "step")
         .agg(_collected("entry", "value").alias("entries"))
     )
     fits = attach(tasks, states, [*series, "step"]).withColumn(
-        "state", F.struct(*_from_entries(F.col("entries"), variables))
+        "state", _from_entries(F.col("entries"), origin, variables)
     )
     fits = fits.withColumn("coefficients", fitted(F.col("state"), penalty))
     fits = fits.withColumn("scores", scored(F.col("coefficients"), F.col(QUERY)))

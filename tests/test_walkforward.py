@@ -150,3 +150,25 @@ def test_collinear_and_missing_support(spark):
     found = {r["task_id"]: r for r in walkforward.fit_and_score(df).collect()}
     np.testing.assert_allclose(found[0]["coefficients"], [0.2, 0.4, 0.0], atol=1e-9)
     assert found[1]["mse"] is None
+
+
+@pytest.mark.parametrize("wide", [16, 0])
+@pytest.mark.parametrize("shape", [TaskShape(400, 200, 200, 2), TaskShape(401, 199, 100, 2)])
+def test_fit_needs_no_like_scales(table, wide, shape):
+    """Spreads of 1e5 and 0.3, a level of 1e9, and gaps: the true weights come out."""
+    rng = np.random.default_rng(5)
+    x1, x2 = rng.normal(0, 1e5, 1300), rng.normal(0, 0.3, 1300)
+    x3 = 1e9 + rng.normal(size=1300)
+    y = 2 * x2 + 1e-5 * x1 + 3 * (x3 - 1e9)
+    data = [
+        (i, None if i % 11 == 0 else float(a), float(b), None if i % 13 == 0 else float(c), float(d))
+        for i, (a, b, c, d) in enumerate(zip(x1, x2, x3, y))
+    ]
+    df = table(data, "row_idx bigint, x1 double, x2 double, x3 double, y double")
+    rows = splits.with_splits(df, [])
+    found = moments.task_moments(rows, ["x1", "x2", "x3"], "y", shape, [], wide)
+    for r in walkforward.fit_and_score(found).collect():
+        np.testing.assert_allclose(r["coefficients"][:3], [1e-5, 2.0, 3.0], rtol=1e-6)
+    support = found.filter("part = 'support' AND task_id = 0").first()
+    kept = sum(i % 11 > 0 and i % 13 > 0 for i in range(shape.support - 1))
+    assert support["n"] == kept
