@@ -20,7 +20,7 @@ from catalog.tasks import (
 from driftwalk.functions.columns import decay_weights
 from driftwalk.operators import adapters, metrics, moments, normalise, splits, tasks, windows
 
-WIDTH, NARROW, HIDDEN = 64, 8, 4
+WIDTH, HIDDEN = 64, 4
 
 # Fixed matrices by rule, the same in SQL.
 
@@ -58,9 +58,9 @@ def label_adapter(gate):
 def feature_adapter(gate):
     heads = len(gate.prototypes)
     weights = [
-        [[weight_rule(h, i, j) for j in range(NARROW)] for i in range(NARROW)] for h in range(heads)
+        [[weight_rule(h, i, j) for j in range(WIDTH)] for i in range(WIDTH)] for h in range(heads)
     ]
-    biases = [[0.01 * (h + i) for i in range(NARROW)] for h in range(heads)]
+    biases = [[0.01 * (h + i) for i in range(WIDTH)] for h in range(heads)]
     return adapters.FeatureAdapter(gate, np.array(weights), np.array(biases))
 
 
@@ -192,19 +192,19 @@ def adapt_label_inverse(spark, folder):
 
 MOVED_SQL = f"""moved AS (
   SELECT vec_id, any_value(y) AS y, i, any_value(x[i + 1]) +
-         sum(g * (list_sum(list_transform(range({NARROW}), lambda j: 0.1 * sin(head + 2 * i + 3 * j) * x[j + 1])) + 0.01 * (head + i))) AS v
-  FROM gates, range({NARROW}) r(i) GROUP BY vec_id, i
+         sum(g * (list_sum(list_transform(range({WIDTH}), lambda j: 0.1 * sin(head + 2 * i + 3 * j) * x[j + 1])) + 0.01 * (head + i))) AS v
+  FROM gates, range({WIDTH}) r(i) GROUP BY vec_id, i
 )"""
 
 
 @register(
     "adapt_features",
-    f"""WITH {gates_sql(NARROW)}, {MOVED_SQL}
+    f"""WITH {gates_sql()}, {MOVED_SQL}
         SELECT vec_id, CAST(i AS INTEGER) AS pos, {sql_r6("v")} AS value FROM moved""",
 )
 def adapt_features(spark, folder):
-    rows = embeddings(spark, folder, NARROW)
-    moved = adapters.adapt_features(rows, "x", feature_adapter(label_gate(rows, NARROW)), "moved")
+    rows = embeddings(spark, folder)
+    moved = adapters.adapt_features(rows, "x", feature_adapter(label_gate(rows)), "moved")
     found = moved.select("vec_id", F.posexplode("moved").alias("pos", "value"))
     return found.select("vec_id", "pos", r6("value").alias("value"))
 
@@ -240,7 +240,7 @@ def summed(vector):
     return F.aggregate(vector, F.lit(0.0), lambda a, v: a + v)
 
 
-FORECAST_SQL = f"""WITH {gates_sql(NARROW)}, {MOVED_SQL},
+FORECAST_SQL = f"""WITH {gates_sql()}, {MOVED_SQL},
 adapted AS (SELECT vec_id, sum(v) AS raw FROM moved GROUP BY vec_id),
 plain AS (SELECT vec_id, list_sum(x) AS raw FROM em)
 """
@@ -254,8 +254,8 @@ plain AS (SELECT vec_id, list_sum(x) AS raw FROM em)
           FROM gates g JOIN adapted a ON a.vec_id = g.vec_id GROUP BY g.vec_id""",
 )
 def adapted_forecast(spark, folder):
-    rows = embeddings(spark, folder, NARROW)
-    gate = label_gate(rows, NARROW)
+    rows = embeddings(spark, folder)
+    gate = label_gate(rows)
     found = adapters.adapted_forecast(
         rows, "x", "label", summed, feature_adapter(gate), label_adapter(gate)
     )
@@ -269,8 +269,8 @@ def adapted_forecast(spark, folder):
           FROM em e JOIN adapted a USING (vec_id)""",
 )
 def forecast_features_only(spark, folder):
-    rows = embeddings(spark, folder, NARROW)
-    adapter = feature_adapter(label_gate(rows, NARROW))
+    rows = embeddings(spark, folder)
+    adapter = feature_adapter(label_gate(rows))
     found = adapters.adapted_forecast(rows, "x", "label", summed, features=adapter)
     return found.select("vec_id", *[r6(c).alias(c) for c in ("adapted_label", "prediction")])
 
@@ -283,8 +283,8 @@ def forecast_features_only(spark, folder):
           FROM gates g JOIN plain a ON a.vec_id = g.vec_id GROUP BY g.vec_id""",
 )
 def forecast_labels_only(spark, folder):
-    rows = embeddings(spark, folder, NARROW)
-    adapter = label_adapter(label_gate(rows, NARROW))
+    rows = embeddings(spark, folder)
+    adapter = label_adapter(label_gate(rows))
     found = adapters.adapted_forecast(rows, "x", "label", summed, labels=adapter)
     return found.select("vec_id", *[r6(c).alias(c) for c in ("adapted_label", "prediction")])
 

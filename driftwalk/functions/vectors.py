@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Fixed value: smallest product of norms a cosine divides by.
 NORM_FLOOR = 1e-8
 
 
 def stacked(column: pa.Array) -> np.ndarray:
-    """A batch of equally long (nested) lists as one array; null rows become NaN."""
+    """A batch of equally long (nested) lists as one array; null rows become NaN.
+
+    Lists of different lengths, also further in, raise an error that names both.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows, valid = len(column), None
@@ -24,9 +28,15 @@ def stacked(column: pa.Array) -> np.ndarray:
     shape: list[int] = []
     values = column
     while pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
-        count = len(values)
+        if values.null_count:
+            raise ValueError("a list inside a vector is null")
+        lengths = np.asarray(pc.list_value_length(values))
+        width = int(lengths[0]) if len(lengths) else 0
+        if (lengths != width).any():
+            other = lengths[np.argmax(lengths != width)]
+            raise ValueError(f"vectors of {width} and of {other} values in one column")
         values = values.flatten()
-        shape.append(len(values) // count if count else 0)
+        shape.append(width)
     dense = values.to_numpy(zero_copy_only=False).astype(np.float64)
     dense = dense.reshape(len(column), *shape)
     if valid is None:
@@ -36,13 +46,15 @@ def stacked(column: pa.Array) -> np.ndarray:
     return whole
 
 
-def as_lists(values: np.ndarray) -> pa.Array:
-    """The reverse of ``stacked`` for one or two levels of lists."""
+def as_lists(values: np.ndarray, like: pa.Array | None = None) -> pa.Array:
+    """The reverse of ``stacked`` for one or two levels of lists; null where ``like`` is."""
     flat: pa.Array = pa.array(np.ascontiguousarray(values).reshape(-1))
     for axis in range(values.ndim - 1, 0, -1):
         width = values.shape[axis]
         count = int(np.prod(values.shape[:axis]))
         flat = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * width, flat)
+    if like is not None and like.null_count:
+        flat = pc.if_else(like.is_valid(), flat, pa.scalar(None, flat.type))
     return flat
 
 

@@ -79,27 +79,42 @@ class FeatureAdapter:
         return vectors + (self.gate.per_vector(vectors)[..., None] * moved).sum(axis=-2)
 
 
-def centroids(df: DataFrame, vector: str, label: str, width: int) -> np.ndarray:
+def centroids(
+    df: DataFrame, vector: str, label: str, width: int, max_heads: int = MAX_HEADS
+) -> np.ndarray:
     """Mean vector per label, by label: prototypes of as many heads.
 
     One partial aggregate with a column per position; the result is as small as
-    the adapter, which is checked.
+    the adapter, which is checked: more than ``max_heads`` labels are an error.
     """
     means = [F.avg(F.col(vector)[i].cast("double")) for i in range(width)]
-    rows = df.groupBy(label).agg(F.array(*means).alias("mean")).limit(MAX_HEADS + 1).collect()
-    if len(rows) > MAX_HEADS:
-        raise ValueError(f"more than {MAX_HEADS} labels cannot be heads of one adapter")
+    rows = df.groupBy(label).agg(F.array(*means).alias("mean")).limit(max_heads + 1).collect()
+    if len(rows) > max_heads:
+        raise ValueError(f"more than {max_heads} labels cannot be heads of one adapter")
     return np.array([r["mean"] for r in sorted(rows, key=lambda r: r[label])])
 
 
+def _lists(levels: int) -> pa.DataType:
+    kind = pa.float64()
+    for _ in range(levels):
+        kind = pa.list_(kind)
+    return kind
+
+
+def _of_batch(x: pa.Array, kind: pa.DataType, compute: Callable[[np.ndarray], pa.Array]) -> pa.Array:
+    """``compute`` of a batch's vectors; a batch of nulls alone has no width and stays null."""
+    return pa.nulls(len(x), kind) if len(x) == x.null_count else compute(stacked(x))
+
+
 def gate_column(vector: str | Column, gate: Gate, steps: bool = False) -> Column:
-    """Gate weights by head; with ``steps`` a list per step of a window."""
+    """Gate weights by head; with ``steps`` a list per step of a window. Null stays null."""
     shape = "array<array<double>>" if steps else "array<double>"
 
+    apply, kind = gate.per_vector if steps else gate.per_sample, _lists(1 + steps)
+
     @F.arrow_udf(shape)
     def gates(x: pa.Array) -> pa.Array:
-        vectors = stacked(x)
-        return as_lists(gate.per_vector(vectors) if steps else gate.per_sample(vectors))
+        return _of_batch(x, kind, lambda vectors: as_lists(apply(vectors), like=x))
 
     return gates(col_of(vector))
 
@@ -116,7 +131,11 @@ def adapt_label(
     @F.arrow_udf("double")
     def adapted(x: pa.Array, y: pa.Array) -> pa.Array:
         labels = y.to_numpy(zero_copy_only=False).astype(np.float64)
-        return pa.array(adapter.apply(stacked(x), labels, inverse), from_pandas=True)
+
+        def compute(vectors: np.ndarray) -> pa.Array:
+            return pa.array(adapter.apply(vectors, labels, inverse), from_pandas=True)
+
+        return _of_batch(x, pa.float64(), compute)
 
     return adapted(col_of(vector), col_of(label).cast("double"))
 
@@ -125,10 +144,11 @@ def adapt_features(df: DataFrame, vector: str, adapter: FeatureAdapter, output:
     """Add the adapted vector, or window of vectors."""
     kind = df.schema[vector].dataType
     nested = isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType)
+    out = _lists(1 + nested)
 
     @F.arrow_udf("array<array<double>>" if nested else "array<double>")
     def adapted(x: pa.Array) -> pa.Array:
-        return as_lists(adapter.apply(stacked(x)))
+        return _of_batch(x, out, lambda vectors: as_lists(adapter.apply(vectors), like=x))
 
     return df.withColumn(output, adapted(F.col(vector)))
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,31 @@ def test_lists_and_arrays_round_trip():
     dense = stacked(column)
     assert dense.shape == (3, 2, 2) and np.isnan(dense[1]).all() and dense[2, 1, 0] == 7
     assert as_lists(dense[[0, 2]]).to_pylist() == [[[1, 2], [3, 4]], [[5, 6], [7, 8]]]
+
+
+@pytest.mark.parametrize(
+    "lists", [[[1.0, 2.0, 3.0], [4.0]], [[1.0], [2.0, 3.0]], [[], [1.0]], [[[1.0], [2.0, 3.0]]]]
+)
+def test_ragged_vectors_raise(lists):
+    with pytest.raises(ValueError, match="vectors of"):
+        stacked(pa.array(lists))
+
+
+def test_null_and_empty_vectors():
+    assert stacked(pa.array([None, [1.0, 2.0]]))[1].tolist() == [1.0, 2.0]
+    assert stacked(pa.array([], pa.list_(pa.float64()))).shape == (0, 0)
+    assert stacked(pa.array([[], []], pa.list_(pa.float64()))).shape == (2, 0)
+    with pytest.raises(ValueError, match="null"):
+        stacked(pa.array([[[1.0], None]]))
+
+
+def test_null_vectors_stay_null(table):
+    gate = adapters.Gate(np.array([[1.0, 0.0], [0.0, 1.0]]))
+    adapter = adapters.FeatureAdapter(gate, np.zeros((2, 2, 2)), np.ones((2, 2)))
+    df = table([(1, [1.0, 2.0]), (2, None)], "i int, x array<double>")
+    found = adapters.adapt_features(df, "x", adapter, "moved")
+    rows = {r["i"]: r for r in found.withColumn("g", adapters.gate_column("x", gate)).collect()}
+    assert rows[2]["moved"] is None and rows[2]["g"] is None
+    assert rows[1]["moved"] == [2.0, 3.0] and sum(rows[1]["g"]) == pytest.approx(1)
+    with pytest.raises(ValueError, match="more than 1 labels"):
+        adapters.centroids(df.withColumn("l", df.i), "x", "l", 2, max_heads=1)
