@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import CHUNK, EV_SQL, OR_SQL, TRAIN, VALID, ev, r6, read, register, sql_r6
+from catalog.base import (
+    CHUNK,
+    EV_SQL,
+    OR_SQL,
+    PREPARED_SQL,
+    TRAIN,
+    VALID,
+    ev,
+    r6,
+    read,
+    register,
+    sql_r6,
+)
 from catalog.labels import indexed_orders, prepared_ev
 from driftwalk.operators import splits
 from driftwalk.operators.joins import attach
@@ -105,7 +117,18 @@ def split_chunks(spark, folder):
     return splits.split_chunks(infos, TRAIN, VALID).select("chunk_id", "num_rows", "split")
 
 
-@register("split_chunks_shuffled")
+@register(
+    "split_chunks_shuffled",
+    f"""WITH {OR_SQL}, infos AS (SELECT row_idx // 100 AS chunk_id, count(*) AS num_rows FROM ori GROUP BY 1),
+        ranked AS (
+          SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(chunk_id AS BIGINT), 7)), chunk_id) - 1 AS rank,
+                 count(*) OVER () AS n FROM infos
+        )
+        SELECT CAST(chunk_id AS BIGINT) AS chunk_id, CAST(num_rows AS BIGINT) AS num_rows,
+               CASE WHEN rank < floor(n * {TRAIN}) THEN 'train'
+                    WHEN rank < floor(n * {TRAIN}) + floor(n * {VALID}) THEN 'valid' ELSE 'test' END AS split
+        FROM ranked""",
+)
 def split_chunks_shuffled(spark, folder):
     """Chunks of 100 rows split after a hashed shuffle."""
     infos = splits.chunk_infos(indexed_orders(spark, folder), 100)
@@ -170,10 +193,31 @@ def positional_attach(spark, folder):
     return attach(kept, other, ["user_id", "row_idx"])
 
 
-@register("run_summary")
+@register(
+    "run_summary",
+    f"""WITH RECURSIVE {PREPARED_SQL}
+        SELECT 'prepare' AS run, 'label_spread' AS metric, {sql_r6("stddev_pop(label)")} AS value FROM prepared""",
+)
 def run_summary(spark, folder):
     """One run recorded with the mean label spread as its metric."""
     path = new_path(spark, "runs")
     spread = prepared_ev(spark, folder).agg(F.stddev_pop("label")).first()[0]
     tables.append_run(spark, path, "prepare", "label_spread", spread, {"table": "prepared"})
-    return tables.read_runs(spark, path).select("run", "metric", "value")
+    return tables.read_runs(spark, path).select("run", "metric", r6("value").alias("value"))
+
+
+@register(
+    "feature_names",
+    """SELECT CAST(row_number() OVER (ORDER BY p_name) - 1 AS INTEGER) AS position, p_name AS name
+       FROM (SELECT DISTINCT p_name FROM part)""",
+)
+def feature_names(spark, folder):
+    """The distinct part names as a feature list: written with quotes, commas and blanks
+    around them, and a price among them; read back without either."""
+    names = read(spark, folder, "part").select("p_name").distinct().orderBy("p_name")
+    decorated = F.concat(F.lit("  '"), F.col("p_name"), F.lit('" , '))
+    lines = [r[0] for r in names.select(decorated).collect()]
+    path = new_path(spark, "features")
+    tables.write_feature_names(spark, [*lines, " 'mid_price',", "  "], path)
+    names = tables.read_feature_names(spark, path, "mid_price")
+    return spark.createDataFrame(list(enumerate(names)), "position int, name string")

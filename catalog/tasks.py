@@ -97,22 +97,25 @@ def exploded(found):
 
 
 def stride_sql(chunk: int, stride: int, where: str = "") -> str:
-    """All windows inside chunks of ``chunk`` rows (0: whole series)."""
+    """All windows inside chunks of ``chunk`` rows (0: whole series): one frame over the
+    prepared rows gathers a window, and only windows of full length start one."""
     local = f"row_idx % {chunk}" if chunk else "row_idx"
-    same = f"AND e.row_idx // {chunk} = s.row_idx // {chunk}" if chunk else ""
+    part = f"user_id, row_idx // {chunk}" if chunk else "user_id"
     return f"""{BASE_SQL},
-starts AS (
-  SELECT s.*, e.label AS last_label FROM prepared s
-  JOIN prepared e ON e.user_id = s.user_id AND e.row_idx = s.row_idx + {SEQ - 1} {same}
-  WHERE s.{local} % {stride} = 0
+fixed AS MATERIALIZED (SELECT user_id, row_idx, f1, f2, label FROM prepared),
+framed AS (
+  SELECT user_id, row_idx, count(*) OVER w AS n, last_value(label) OVER w AS label,
+         list(struct_pack(f1 := f1, f2 := f2)) OVER w AS steps
+  FROM fixed
+  WINDOW w AS (PARTITION BY {part} ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND {SEQ - 1} FOLLOWING)
 ),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY row_idx) - 1 AS window_id FROM starts
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY row_idx) - 1 AS window_id
+  FROM framed WHERE n = {SEQ} AND {local} % {stride} = 0
 )
-SELECT n.user_id, CAST(n.window_id AS BIGINT) AS window_id, CAST(n.row_idx AS BIGINT) AS window_start,
-       CAST(p.row_idx - n.row_idx AS INTEGER) AS pos, p.f1, p.f2, {sql_r6("n.last_label")} AS label
-FROM numbered n JOIN prepared p ON p.user_id = n.user_id
- AND p.row_idx BETWEEN n.row_idx AND n.row_idx + {SEQ - 1} {where}"""
+SELECT user_id, CAST(window_id AS BIGINT) AS window_id, CAST(row_idx AS BIGINT) AS window_start,
+       CAST(pos AS INTEGER) AS pos, steps[pos + 1].f1 AS f1, steps[pos + 1].f2 AS f2, {sql_r6("label")} AS label
+FROM numbered n, range({SEQ}) r(pos) {where}"""
 
 
 @register("sliding_windows", stride_sql(0, 1))
@@ -308,7 +311,15 @@ def task_windows(spark, folder):
     )
 
 
-@register("shuffled_tasks")
+@register(
+    "shuffled_tasks",
+    f"""WITH {OR_TASKS_SQL}
+        SELECT split, CAST(task_id AS BIGINT) AS task_id, CAST(s0 AS BIGINT) AS support_start,
+               CAST(s1 AS BIGINT) AS support_end, CAST(q0 AS BIGINT) AS query_start, CAST(q1 AS BIGINT) AS query_end,
+               row_number() OVER (ORDER BY md5(concat_ws('|', split, CAST(task_id AS BIGINT), 3, 11)), split, task_id) - 1
+                 AS position
+        FROM or_tasks""",
+)
 def shuffled_tasks(spark, folder):
     return splits.shuffled_order(order_tasks(spark, folder), ["split", "task_id"], 3, 11)
 

@@ -341,7 +341,35 @@ def metric_by_split(spark, folder):
     return found.select("split", r6("mean").alias("mean"), r6("spread").alias("spread"))
 
 
-@register("online_pass_long")
+@register(
+    "online_pass_long",
+    f"""{OR_SAMPLES_SQL}, parts AS (
+      SELECT split, task_id, part, count(*) AS n, sum(f1) AS sx, sum(label) AS sy, sum(f1 * f1) AS sxx, sum(f1 * label) AS sxy
+      FROM task_samples GROUP BY ALL
+    ), prior AS (
+      SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy
+      FROM parts WHERE split = 'train' AND part = 'query'
+    ), steps AS (
+      SELECT split, task_id, row_number() OVER (ORDER BY split = 'test', task_id) - 1 AS step
+      FROM (SELECT DISTINCT split, task_id FROM parts WHERE split <> 'train')
+    ), gathered AS (
+      SELECT s.split, s.task_id, CASE WHEN p.part = 'support' THEN 1 ELSE pow(0.9, s.step - 1 - o.step) END AS k,
+             p.n, p.sx, p.sy, p.sxx, p.sxy
+      FROM steps s JOIN steps o ON o.step <= s.step JOIN parts p ON p.split = o.split AND p.task_id = o.task_id
+      WHERE (p.part = 'support' AND o.step = s.step) OR (p.part = 'query' AND o.step < s.step)
+      UNION ALL SELECT s.split, s.task_id, pow(0.9, s.step), p.* FROM steps s, prior p
+    ), states AS (
+      SELECT split, task_id, sum(k * n) AS n, sum(k * sx) AS sx, sum(k * sy) AS sy, sum(k * sxx) AS sxx, sum(k * sxy) AS sxy
+      FROM gathered GROUP BY ALL
+    ), fits AS (
+      SELECT split, task_id, (sxy / n - sx / n * sy / n) / (sxx / n - sx / n * sx / n) AS slope, sx / n AS mx, sy / n AS my
+      FROM states
+    )
+    SELECT f.split, CAST(f.task_id AS BIGINT) AS task_id, {sql_r6("any_value(slope)")} AS slope,
+           {sql_r6("-avg(pow(slope * (f1 - mx) + my - label, 2))")} AS mse
+    FROM fits f JOIN task_samples s ON s.split = f.split AND s.task_id = f.task_id
+    WHERE part = 'query' GROUP BY f.split, f.task_id""",
+)
 def online_pass_long(spark, folder):
     """Valid then test tasks of one long series, starting from the train tasks."""
     found = order_moments(spark, folder)

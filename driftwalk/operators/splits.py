@@ -68,6 +68,11 @@ def _split_of(rank: Column, chunks: Column, train_ratio: float, valid_ratio: flo
     )
 
 
+def _mixed(keys: Sequence[str], *numbers: int) -> Column:
+    """A digest of keys and numbers joined by bars, which any engine can compute."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], *map(F.lit, map(str, numbers))))
+
+
 def split_chunks(
     chunks: DataFrame,
     train_ratio: float = 0.6,
@@ -87,7 +92,7 @@ def split_chunks(
     counts = counts.withColumn("num_rows", F.col("__chunks"))
     rank = CHUNK
     if seed is not None:
-        mixed = chunks.withColumn("__mixed", F.xxhash64(*series, CHUNK, F.lit(seed)))
+        mixed = chunks.withColumn("__mixed", _mixed([*series, CHUNK], seed))
         chunks = index_rows(mixed, ["__mixed", CHUNK], series, "__rank").drop("__mixed")
         rank = "__rank"
     split = _split_of(F.col(rank), F.col("__chunks"), train_ratio, valid_ratio)
@@ -198,5 +203,5 @@ def locate_rows(
 
 def shuffled_order(items: DataFrame, keys: Sequence[str], epoch: int, seed: int) -> DataFrame:
     """Items in a hashed order that changes with the epoch: adds ``position``."""
-    mixed = items.withColumn("__mixed", F.xxhash64(*keys, F.lit(epoch), F.lit(seed)))
+    mixed = items.withColumn("__mixed", _mixed(keys, epoch, seed))
     return index_rows(mixed, ["__mixed", *keys], [], "position").drop("__mixed")
