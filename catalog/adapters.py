@@ -574,18 +574,17 @@ def predicted_class_scores(spark, folder):
 MACRO = ["accuracy", "f1", "precision", "recall", "specificity", "cohen_kappa", "matthews_corr"]
 
 
-@register(
-    "multiclass_metrics",
-    f"""WITH {FOLD_SQL} SELECT fold,
+MACRO_SQL = f"""
         {sql_r6("avg(coalesce(tp / nullif(tt, 0), 0))")} AS accuracy,
         {sql_r6("avg(coalesce(2 * tp / nullif(pp + tt, 0), 0))")} AS f1,
         {sql_r6("avg(coalesce(tp / nullif(pp, 0), 0))")} AS precision,
         {sql_r6("avg(coalesce(tp / nullif(tt, 0), 0))")} AS recall,
         {sql_r6("avg(coalesce((n - pp - tt + tp) / nullif(n - tt, 0), 0))")} AS specificity,
         {sql_r6("(sum(tp) / any_value(n) - sum(pp * tt) / pow(any_value(n), 2)) / nullif(1 - sum(pp * tt) / pow(any_value(n), 2), 0)")} AS cohen_kappa,
-        {sql_r6("(sum(tp) * any_value(n) - sum(pp * tt)) / nullif(sqrt((pow(any_value(n), 2) - sum(pp * pp)) * (pow(any_value(n), 2) - sum(tt * tt))), 0)")} AS matthews_corr
-        FROM per_class GROUP BY fold""",
-)
+        {sql_r6("(sum(tp) * any_value(n) - sum(pp * tt)) / nullif(sqrt((pow(any_value(n), 2) - sum(pp * pp)) * (pow(any_value(n), 2) - sum(tt * tt))), 0)")} AS matthews_corr"""
+
+
+@register("multiclass_metrics", f"WITH {FOLD_SQL} SELECT fold, {MACRO_SQL} FROM per_class GROUP BY fold")
 def multiclass_metrics(spark, folder):
     found = metrics.multiclass_metrics(
         scored_vectors(spark, folder), "pred", "label", ["fold"], MACRO
@@ -593,6 +592,30 @@ def multiclass_metrics(spark, folder):
     return found.select("fold", *[r6(m).alias(m) for m in MACRO])
 
 
+GAPS_SQL = """picked AS (
+  SELECT fold, p, t FROM (
+    SELECT CAST(doc_id % 3 AS INTEGER) AS fold, CASE WHEN doc_id % 7 <> 0 THEN quality END AS p,
+           CASE WHEN doc_id % 5 <> 0 THEN toxic END AS t FROM labels
+  ) WHERE p IS NOT NULL AND t IS NOT NULL
+),
+""" + FOLD_SQL[FOLD_SQL.index("classes AS (") :]
+
+
+@register(
+    "multiclass_metrics_with_gaps",
+    f"WITH {GAPS_SQL} SELECT fold, {MACRO_SQL} FROM per_class GROUP BY fold",
+)
+def multiclass_metrics_with_gaps(spark, folder):
+    """Rows without a prediction or a target count nowhere."""
+    rows = read(spark, folder, "labels").select(
+        (F.col("doc_id") % 3).cast("int").alias("fold"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("quality")).alias("p"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("toxic")).alias("t"),
+    )
+    found = metrics.multiclass_metrics(rows, "p", "t", ["fold"], MACRO)
+    return found.select("fold", *[r6(m).alias(m) for m in MACRO])
+
+
 @register(
     "one_vs_rest_metrics",
     f"""WITH {gates_sql()}, hits AS (

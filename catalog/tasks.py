@@ -465,6 +465,30 @@ def metric_spearman_large_groups(spark, folder):
     return found.select("event_type", r6("spearman").alias("spearman"))
 
 
+HOT_SQL = """SELECT event_type, CASE WHEN event_id % 4 = 0 THEN value ELSE 0 END AS p,
+  CASE WHEN event_id % 4 = 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) ELSE 0 END AS t FROM events"""
+
+
+@register(
+    "metric_spearman_hot_pair",
+    f"""WITH e AS ({HOT_SQL}), {RANKS_SQL.format(by="event_type", source="e")}
+        SELECT event_type, {sql_r6("corr(rp, rt)")} AS spearman FROM ranked GROUP BY event_type""",
+)
+def metric_spearman_hot_pair(spark, folder):
+    """Three of four rows are the same pair (0, 0)."""
+    from catalog.base import read
+
+    quarter = F.col("event_id") % 4 == 0
+    k = F.get_json_object("props", "$.k").cast("double")
+    rows = read(spark, folder, "events").select(
+        "event_type",
+        F.when(quarter, F.col("value")).otherwise(F.lit(0.0)).alias("p"),
+        F.when(quarter, k).otherwise(F.lit(0.0)).alias("t"),
+    )
+    found = metrics.regression_metrics(rows, "p", "t", ["event_type"], ["spearman"])
+    return found.select("event_type", r6("spearman").alias("spearman"))
+
+
 def task_metric(spark, folder):
     """Mean absolute error of each task: a short metric history per user."""
     rows = task_samples(spark, folder).filter("part = 'query'")

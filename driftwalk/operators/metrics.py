@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftwalk.operators.joins import attach
 from driftwalk.operators.ordering import groups_are_bounded, running_sums
+from driftwalk.staging import stage
 
 # Fixed value: smallest magnitude a percentage error divides by.
 PERCENT_FLOOR = 1.17e-6
@@ -90,38 +91,66 @@ def regression_metrics(
     rows = df.select(*by, F.col(pred).cast("double").alias("p"), F.col(target).cast("double").alias("t"))
     rows = rows.filter(F.col("p").isNotNull() & F.col("t").isNotNull())
     columns = {m: REGRESSION[m](F.col("p"), F.col("t")) for m in metrics if m != RANKED}
-    if RANKED in metrics:
-        rows = _with_ranks(rows, by, bounded)
+    if RANKED not in metrics:
+        return rows.groupBy(*by).agg(*[columns[m].alias(m) for m in metrics])
+    if bounded:
+        rows = _with_ranks(rows, by)
         columns[RANKED] = _pearson(F.col("rank_p"), F.col("rank_t"))
-    return rows.groupBy(*by).agg(*[columns[m].alias(m) for m in metrics])
+        return rows.groupBy(*by).agg(*[columns[m].alias(m) for m in metrics])
+    ranked = _rank_correlation(rows, by)
+    if columns:
+        found = rows.groupBy(*by).agg(*[c.alias(m) for m, c in columns.items()])
+        if by:
+            ranked = attach(found, ranked, by)
+        else:
+            ranked = found.withColumn(RANKED, ranked.select(RANKED).scalar())
+    return ranked.select(*by, *metrics)
 
 
-def _with_ranks(rows: DataFrame, by: list[str], bounded: bool) -> DataFrame:
-    """Average ranks of both columns in their group."""
+def _with_ranks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Average ranks of both columns in their short group."""
     for name in ("p", "t"):
-        if bounded:
-            order = Window.partitionBy(*by).orderBy(name)
-            ties = Window.partitionBy(*by, name)
-            rank = F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
-            rows = rows.withColumn(f"rank_{name}", rank)
-        else:
-            rows = _attach_ranks(rows, by, name)
+        order = Window.partitionBy(*by).orderBy(name)
+        ties = Window.partitionBy(*by, name)
+        rank = F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
+        rows = rows.withColumn(f"rank_{name}", rank)
     return rows
 
 
-def _attach_ranks(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+def _rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``spearman`` per group from its distinct pairs, each counted once.
+
+    However many rows a pair has, it is one row from the first partial count on.
+    """
+    pairs = rows.groupBy(*by, "p", "t").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = stage(pairs, "pairs")
+    # Ranks of n rows have the mean (n + 1) / 2, about which they are summed.
+    middles = pairs.groupBy(*by).agg(((F.sum("rows") + 1) / 2).alias("__middle"))
+    for name in ("p", "t"):
+        pairs = _attach_ranks(pairs, by, name)
+    if by:
+        pairs = attach(pairs, middles, by)
+    else:
+        pairs = pairs.withColumn("__middle", middles.scalar())
+    n = F.col("rows").cast("double")
+    p, t = (F.col(f"rank_{c}") - F.col("__middle") for c in "pt")
+    spread = F.sqrt(F.sum(n * p * p)) * F.sqrt(F.sum(n * t * t))
+    return pairs.groupBy(*by).agg(_ratio(F.sum(n * p * t), spread).alias(RANKED))
+
+
+def _attach_ranks(pairs: DataFrame, by: list[str], name: str) -> DataFrame:
     """Ranks from counts of distinct values, joined back with salted keys.
 
-    A frequent value is one row of the rank table but many rows here; the salt
-    spreads those over several join keys.
+    A value with many partners is one row of the rank table but many rows here; the
+    salt, a hash of the partner, spreads those over several join keys.
     """
-    counts = rows.groupBy(*by, name).agg(F.count(F.lit(1)).alias("ties"))
+    counts = pairs.groupBy(*by, name).agg(F.sum("rows").alias("ties"))
     upto = running_sums(counts, by, [name], {"upto": F.col("ties")})
     rank = F.col("upto") - (F.col("ties") - 1) / 2
     salts = F.explode(F.sequence(F.lit(0), F.lit(_RANK_SALTS - 1)))
     ranks = upto.select(*by, name, rank.alias(f"rank_{name}"), salts.alias("__salt"))
     other = "t" if name == "p" else "p"
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(_RANK_SALTS)).cast("int"))
+    salted = pairs.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(_RANK_SALTS)).cast("int"))
     return attach(salted, ranks, [*by, name, "__salt"]).drop("__salt")
 
 
@@ -154,8 +183,9 @@ def is_binary(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def confusion(df: DataFrame, pred: str, target: str, by: Sequence[str]) -> DataFrame:
-    """Rows per group, predicted and true class."""
+    """Rows per group, predicted and true class; rows that lack either count nowhere."""
     pairs = df.select(*by, F.col(pred).cast("int").alias("pred"), F.col(target).cast("int").alias("target"))
+    pairs = pairs.filter(F.col("pred").isNotNull() & F.col("target").isNotNull())
     return pairs.groupBy(*by, "pred", "target").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -227,34 +257,32 @@ def multiclass_metrics(
             F.sum(F.when(~F.col("as_pred"), rows).otherwise(0)).alias("actual"),
         )
     )
+    # One row per class: a group's total beside each, and all counts as doubles, whose
+    # products cannot overflow.
+    total = F.sum("actual").over(Window.partitionBy(*by))
+    per_class = per_class.withColumns(
+        {c: v.cast("double") for c, v in (("n", total), *((c, F.col(c)) for c in ("tp", "predicted", "actual")))}
+    )
     tp, predicted, actual = F.col("tp"), F.col("predicted"), F.col("actual")
+    negatives = F.col("n") - actual
     sums = per_class.groupBy(*by).agg(
-        F.sum("actual").alias("n"),
+        F.max("n").alias("n"),
         F.sum("tp").alias("right"),
-        F.sum(predicted.cast("double") * actual).alias("cross"),
-        F.sum(predicted.cast("double") * predicted).alias("predicted_2"),
-        F.sum(actual.cast("double") * actual).alias("actual_2"),
+        F.sum(predicted * actual).alias("cross"),
+        F.sum(predicted * predicted).alias("predicted_2"),
+        F.sum(actual * actual).alias("actual_2"),
         F.avg(_zero(_ratio(tp, actual))).alias("recall"),
         F.avg(_zero(_ratio(tp, predicted))).alias("precision"),
         F.avg(_zero(_ratio(2 * tp, predicted + actual))).alias("f1"),
-        # 1 - FPR needs the group total, which is not known yet: keep pairs.
-        F.collect_list(F.struct("tp", "predicted", "actual")).alias("classes"),
+        F.avg(_zero(_ratio(negatives - predicted + tp, negatives))).alias("specificity"),
     )
     n, right, cross = F.col("n"), F.col("right"), F.col("cross")
-    negatives = F.transform(
-        "classes",
-        lambda c: _zero(
-            _ratio(
-                (n - c["predicted"] - c["actual"] + c["tp"]).cast("double"), n - c["actual"]
-            )
-        ),
-    )
     columns = {
         "accuracy": F.col("recall"),
         "recall": F.col("recall"),
         "precision": F.col("precision"),
         "f1": F.col("f1"),
-        "specificity": F.aggregate(negatives, F.lit(0.0), lambda a, s: a + s) / F.size("classes"),
+        "specificity": F.col("specificity"),
         "cohen_kappa": _ratio(right / n - cross / (n * n), 1 - cross / (n * n)),
         "matthews_corr": _ratio(
             right * n - cross,

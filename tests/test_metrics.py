@@ -201,3 +201,36 @@ def test_running_mean_and_summary(table, bounded):
     assert [r["running_mean"] for r in found] == [1.0, 1.0, 2.5, 4.0]
     row = metrics.metric_summary(df, "v", ["g"]).first()
     assert row["mean"] == 4.0 and row["spread"] == pytest.approx(np.std([1, 4, 7]))
+
+
+def test_more_rows_than_integers_multiply(spark, monkeypatch):
+    """Counts of billions: squares of them leave the range of a bigint."""
+    cells = [("g", 0, 0, 5_000_000_000), ("g", 0, 1, 1_000_000_000), ("g", 1, 1, 4_500_000_000)]
+    table = spark.createDataFrame(cells, "g string, pred int, target int, rows bigint")
+    monkeypatch.setattr(metrics, "confusion", lambda *_: table)
+    r = metrics.multiclass_metrics(table, "pred", "target", ["g"]).first()
+    n, right = 10.5, 9.5
+    cross = (6 * 5 + 4.5 * 5.5) / (n * n)
+    assert r["cohen_kappa"] == pytest.approx((right / n - cross) / (1 - cross))
+    spread = np.sqrt((n * n - 6**2 - 4.5**2) * (n * n - 5**2 - 5.5**2))
+    assert r["matthews_corr"] == pytest.approx((right * n - cross * n * n) / spread)
+    assert r["specificity"] == pytest.approx((4.5 / 5.5 + 1.0) / 2)
+
+
+def test_unknown_classes_count_nowhere(table):
+    rows = [("g", 0, 0), ("g", 1, 1), ("g", 1, 1), ("g", 1, None), ("g", None, 0), ("h", None, 1)]
+    df = table(rows, "g string, p int, t int")
+    (r,) = metrics.multiclass_metrics(df, "p", "t", ["g"]).collect()
+    assert r["g"] == "g" and all(r[m] == pytest.approx(1.0) for m in metrics.COUNTED)
+
+
+def test_rank_correlation_without_groups_and_of_constants(table):
+    rng = np.random.default_rng(8)
+    p, t = rng.integers(0, 4, 300) / 3, rng.normal(size=300).round(1)
+    df = table([(float(a), float(b)) for a, b in zip(p, t)], "p double, t double")
+    wanted = np.corrcoef(pd.Series(p).rank(), pd.Series(t).rank())[0, 1]
+    r = metrics.regression_metrics(df, "p", "t", [], ["spearman", "mse"]).first()
+    assert r["spearman"] == pytest.approx(wanted)
+    assert r["mse"] == pytest.approx(-((p - t) ** 2).mean())
+    flat = df.withColumn("p", df.p * 0 + 7)
+    assert metrics.regression_metrics(flat, "p", "t", [], ["spearman"]).first()["spearman"] is None
