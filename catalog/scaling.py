@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import OR_SQL, TRAIN, r6, read, register, sql_r6
+from catalog.base import (
+    EV_ORDER,
+    EV_SERIES,
+    EV_SQL,
+    OR_SQL,
+    TRAIN,
+    ev,
+    r6,
+    read,
+    register,
+    sql_r6,
+)
 from catalog.labels import indexed_orders
 from driftwalk.operators.joins import attach, broadcast_if_small
-from driftwalk.operators.scaling import RobustScaler, training_head
+from driftwalk.operators.ordering import index_rows
+from driftwalk.operators.scaling import RobustScaler, SeriesScaler, training_head
 from driftwalk.staging import new_path
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -119,3 +131,61 @@ def attach_parameters(spark, folder):
     rows = attach(rows, broadcast_if_small(fitted), ["l_returnflag"])
     centred = r6(F.col("l_quantity") - F.col("centre")).alias("centred")
     return rows.select(*KEYS, "l_returnflag", centred)
+
+
+EV_COLUMNS = ["f1", "f2", "f3"]
+
+
+def user_params_sql(source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT user_id, '{c}' AS feature, {sql_r6(f'median({c})')} AS median, {sql_r6(f'mad({c}) * 1.4826')} AS mad "
+        f"FROM {source} GROUP BY user_id"
+        for c in EV_COLUMNS
+    )
+
+
+def user_params(scaler):
+    return scaler.params.select(
+        "user_id", "feature", r6("median").alias("median"), r6("mad").alias("mad")
+    )
+
+
+@register("robust_fit_by_user", f"WITH {EV_SQL} {user_params_sql('ev')}")
+def robust_fit_by_user(spark, folder):
+    return user_params(SeriesScaler(EV_SERIES).fit(ev(spark, folder), EV_COLUMNS))
+
+
+@register("robust_fit_by_user_long", f"WITH {EV_SQL} {user_params_sql('ev')}")
+def robust_fit_by_user_long(spark, folder):
+    """The path for series of any length."""
+    return user_params(SeriesScaler(EV_SERIES).fit(ev(spark, folder), EV_COLUMNS, bounded=False))
+
+
+@register(
+    "robust_fit_head_by_user",
+    f"""WITH {EV_SQL}, head AS (
+          SELECT * FROM evi QUALIFY row_idx < floor(count(*) OVER (PARTITION BY user_id) * {TRAIN})
+        ) {user_params_sql('head')}""",
+)
+def robust_fit_head_by_user(spark, folder):
+    """The first rows of each user's own series."""
+    rows = index_rows(ev(spark, folder), EV_ORDER, EV_SERIES)
+    head = training_head(rows, TRAIN, series=EV_SERIES)
+    return user_params(SeriesScaler(EV_SERIES).fit(head, EV_COLUMNS))
+
+
+@register(
+    "robust_transform_by_user",
+    f"""WITH {EV_SQL}, stats AS (
+          SELECT user_id, {", ".join(f"median({c}) AS m_{c}, mad({c}) * 1.4826 AS d_{c}" for c in EV_COLUMNS)}
+          FROM ev GROUP BY user_id
+        )
+        SELECT event_id, {", ".join(f"{sql_r6(clipped_sql(c))} AS {c}" for c in EV_COLUMNS)}
+        FROM ev JOIN stats USING (user_id)""",
+)
+def robust_transform_by_user(spark, folder):
+    """Fitted, saved, loaded and applied."""
+    rows, path = ev(spark, folder), new_path(spark, "scalers")
+    SeriesScaler(EV_SERIES).fit(rows, EV_COLUMNS).save(path)
+    scaled = SeriesScaler.load(spark, path, EV_SERIES).transform(rows)
+    return scaled.select("event_id", *[r6(c).alias(c) for c in EV_COLUMNS])

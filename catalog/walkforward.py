@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import (
     CHUNK,
+    EV_ORDER,
     EV_SERIES,
     FILTER_LENGTH,
     OR_ORDER,
@@ -13,6 +14,7 @@ from catalog.base import (
     SHIFT,
     TRAIN,
     VALID,
+    ev,
     orders,
     r6,
     register,
@@ -31,7 +33,8 @@ from catalog.tasks import (
 from driftwalk.operators import metrics, moments, splits, tasks, windows
 from driftwalk.plans import walkforward
 from driftwalk.plans.prepare import prepare_features_and_labels
-from driftwalk.staging import stage
+from driftwalk.plans.run import walk_forward_run
+from driftwalk.staging import new_path, stage
 
 KEYS = ["user_id", "split", "task_id"]
 PAIR = ["f1", "f2"]
@@ -379,3 +382,90 @@ def online_pass_long(spark, folder):
     return scored.select(
         "split", "task_id", r6(F.col("coefficients")[0]).alias("slope"), r6("mse").alias("mse")
     )
+
+
+def summarised(run):
+    return run.summary.select("split", r6("mean").alias("mean"), r6("spread").alias("spread"))
+
+
+def with_scaled(sql: str, params: str, window: str) -> str:
+    """``sql`` with its windows laid over features scaled as ``params`` say."""
+    before, _, after = sql.partition("wins AS (")
+    return f"{before}{params},\nwins AS ({after.replace(window, window.replace('prepared', 'scaled'), 1)}"
+
+
+OR_SCALED_SQL = with_scaled(
+    OR_FITS_SQL,
+    f"""params AS (
+  SELECT median(f1) AS m, mad(f1) * 1.4826 AS d FROM prepared, n WHERE row_idx < floor(rows * {TRAIN})
+),
+scaled AS (
+  SELECT row_idx, label, least(greatest((f1 - params.m) / (d + 1e-8), -3.0), 3.0) AS f1 FROM prepared, params
+)""",
+    "FROM prepared WINDOW",
+)
+
+
+@register(
+    "run_orders",
+    f"""{OR_SCALED_SQL} SELECT split, {sql_r6("avg(mse)")} AS mean, {sql_r6("stddev_pop(mse)")} AS spread
+        FROM task_scores GROUP BY split""",
+)
+def run_orders(spark, folder):
+    """The whole run over one long series, split by chunks."""
+    rows = orders(spark, folder).withColumn("f1", F.col("o_totalprice") / 1e5)
+    return summarised(
+        walk_forward_run(
+            rows,
+            OR_ORDER,
+            "o_totalprice",
+            ["f1"],
+            OR_SHAPE,
+            new_path(spark, "run"),
+            ratios=(TRAIN, VALID),
+            chunk_rows=CHUNK,
+            filter_length=FILTER_LENGTH,
+            shift_length=SHIFT,
+            part_rows=4096,
+        )
+    )
+
+
+EV_SCALED_SQL = with_scaled(
+    f"{SAMPLES_SQL}, {FITS_SQL}",
+    """params AS (
+  SELECT user_id, median(f1) AS m, mad(f1) * 1.4826 AS d FROM prepared GROUP BY user_id
+),
+scaled AS (
+  SELECT user_id, row_idx, label, least(greatest((f1 - m) / (d + 1e-8), -3.0), 3.0) AS f1
+  FROM prepared JOIN params USING (user_id)
+)""",
+    "FROM prepared\n  WINDOW",
+)
+
+
+@register(
+    "run_events",
+    f"""{EV_SCALED_SQL}, task_scores AS (
+          SELECT f.user_id, f.task_id, -avg(pow(slope * f1 + intercept - label, 2)) AS mse
+          FROM fits f JOIN task_samples s ON s.user_id = f.user_id AND s.task_id = f.task_id
+          WHERE part = 'query' GROUP BY ALL
+        )
+        SELECT 'all' AS split, {sql_r6("avg(mse)")} AS mean, {sql_r6("stddev_pop(mse)")} AS spread FROM task_scores""",
+)
+def run_events(spark, folder):
+    """The whole run over many short series, each scaled by itself."""
+    return summarised(
+        walk_forward_run(
+            ev(spark, folder).drop("f2", "f3"),
+            EV_ORDER,
+            "value",
+            ["f1"],
+            SHAPE,
+            new_path(spark, "run"),
+            series=EV_SERIES,
+            ratios=None,
+            filter_length=FILTER_LENGTH,
+            shift_length=SHIFT,
+        )
+    )

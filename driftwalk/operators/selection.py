@@ -9,11 +9,15 @@ size cost nothing: values equal to a bracket end are counted, not kept.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwalk.functions.columns import known
+from driftwalk.operators.joins import attach, broadcast_if_small
+from driftwalk.operators.ordering import running_sums
+from driftwalk.staging import stage
 
 ACCURACY = 2_000
 SORT_LIMIT = 10_000
@@ -129,3 +133,34 @@ def medians(
         return exact_medians(df, values)
     row = df.agg(*[F.median(known(c.cast("double"))).alias(n) for n, c in values.items()]).first()
     return row.asDict()
+
+
+def series_medians(
+    df: DataFrame, values: dict[str, Column], series: Sequence[str], bounded: bool | None = None
+) -> DataFrame:
+    """Medians per series: the series columns, ``feature``, ``median``.
+
+    Null and NaN do not count; a feature without values has no row. All features are
+    counted by distinct value together, and running sums of these counts say which
+    values stand in the middle, so a series may hold any share of the rows.
+    """
+    by = [*series, "feature"]
+    cells = F.array(
+        *[
+            F.struct(F.lit(n).alias("feature"), known(v.cast("double")).alias("value"))
+            for n, v in values.items()
+        ]
+    )
+    long = df.select(*series, F.inline(cells)).filter(F.col("value").isNotNull())
+    counts = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("rows"))
+    counts = stage(counts, "counts")
+    upto = running_sums(counts, by, ["value"], {"upto": F.col("rows")}, bounded)
+    totals = counts.groupBy(*by).agg(F.sum("rows").alias("total"))
+    placed = attach(upto, broadcast_if_small(totals), by)
+
+    def at(rank: Column) -> Column:
+        here = (F.col("upto") > rank) & (F.col("upto") - F.col("rows") <= rank)
+        return F.max(F.when(here, F.col("value")))
+
+    middle = (at(F.expr("(total - 1) div 2")) + at(F.expr("total div 2"))) / 2
+    return placed.groupBy(*by).agg(middle.alias("median"))

@@ -106,9 +106,11 @@ def _cuts(
     ratios: tuple[float, float] | None,
     chunk_rows: int,
     index_col: str,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of each series and the first rows of its valid and test splits."""
-    lengths = series_lengths(df, series, index_col)
+    if lengths is None:
+        lengths = series_lengths(df, series, index_col)
     if ratios is None:
         return lengths
     check_ratios(*ratios)
@@ -154,12 +156,14 @@ def with_splits(
     chunk_rows: int = 0,
     index_col: str = ROW,
     part_rows: int = PART_ROWS,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Add split, row number inside the split and rows of the split to each row.
 
-    Needs only the length of each series, not the chunk table.
+    Needs only the length of each series, not the chunk table; ``lengths`` are its
+    ``series_lengths`` where they are known already.
     """
-    cuts = _cuts(df, series, ratios, chunk_rows, index_col)
+    cuts = _cuts(df, series, ratios, chunk_rows, index_col, lengths)
     cuts = cuts.withColumn("__rows", F.col("num_rows"))
     rows = attach_by_part(df, cuts, series, index_col, part_rows)
     i, end = F.col(index_col), F.col("__rows")

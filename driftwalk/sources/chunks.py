@@ -26,11 +26,13 @@ def write_chunks(
     """
     keys = [*series, CHUNK]
     # Range partitioning keeps neighbouring chunks together; a chunk has one
-    # range key and never spans two files.
+    # range key and never spans two files. Without chunks ranges are cut by row, so
+    # that a long series is no single task's.
+    ranged = keys if chunk_rows else [*keys, index_col]
     (
         with_chunks(df, chunk_rows, index_col)
         .withColumn("bucket", F.expr(f"{CHUNK} div 1000L"))
-        .repartitionByRange("bucket", *keys)
+        .repartitionByRange("bucket", *ranged)
         .sortWithinPartitions("bucket", *keys, index_col)
         .write.mode(mode)
         .partitionBy("bucket")

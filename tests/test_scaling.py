@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwalk.operators.scaling import RobustScaler, training_head
+from driftwalk.operators.scaling import MAD_SCALE, RobustScaler, SeriesScaler, training_head
 from driftwalk.operators.selection import exact_medians
 from driftwalk.staging import new_path
 
@@ -87,3 +87,41 @@ def test_training_head(table):
     assert training_head(df, 0.05, 10).count() == 10
     with pytest.raises(ValueError):
         training_head(df, 0.0, 10)
+
+
+def test_training_head_by_series(table):
+    df = table([(s, i) for s in "abcd" for i in range(10)], "s string, row_idx bigint")
+    assert training_head(df, 0.6, series=["s"]).groupBy("s").count().filter("count = 6").count() == 4
+    uneven = df.union(table([("e", i) for i in range(3)] + [(None, 0)], "s string, row_idx bigint"))
+    found = training_head(uneven, 0.3, series=["s"]).groupBy("s").count().collect()
+    # A series whose share is less than a row counts whole.
+    assert {r["s"]: r["count"] for r in found} == {"a": 3, "b": 3, "c": 3, "d": 3, "e": 3, None: 1}
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_series_scaler(table, bounded):
+    rng = np.random.default_rng(6)
+    data = [(s, i, float(v), None if i % 4 == 0 else float(v * 2)) for s, n in (("a", 31), (None, 40), ("c", 2))
+            for i, v in enumerate(rng.normal(5, 3, n).round(1))]
+    data += [("d", 0, float("nan"), 1.0)]
+    df = table(data, "s string, i int, x double, y double")
+    scaler = SeriesScaler(["s"], clip_outlier=False).fit(df, ["x", "y"], bounded)
+    got = {(r["s"], r["feature"]): (r["median"], r["mad"]) for r in scaler.params.collect()}
+    for s in ("a", None, "c"):
+        for c, k in (("x", 2), ("y", 3)):
+            values = np.array([r[k] for r in data if r[0] == s and r[k] is not None])
+            middle = np.median(values)
+            wanted = (middle, np.median(abs(values - middle)) * MAD_SCALE)
+            assert got[(s, c)] == pytest.approx(wanted)
+    assert ("d", "x") not in got
+    moved = scaler.transform(df)
+    assert moved.columns == df.columns
+    back = {(r["s"], r["i"]): r["x"] for r in scaler.inverse_transform(moved).collect()}
+    assert back[("a", 3)] == pytest.approx([r[2] for r in data if r[:2] == ("a", 3)][0], abs=1e-6)
+    assert back[("d", 0)] is None
+
+
+def test_series_scaler_must_be_fitted(spark, table):
+    df = table([("a", 1.0)], "s string, x double")
+    with pytest.raises(ValueError):
+        SeriesScaler(["s"]).transform(df)
