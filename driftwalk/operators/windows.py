@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from driftwalk.functions.columns import decay_weights, total, whole_div
+from driftwalk.functions.columns import decay_weights, whole_div
 from driftwalk.operators.ordering import (
     BOUNDED_ROWS,
     PART_ROWS,
@@ -134,22 +138,41 @@ def window_means(
     ``keep`` names columns taken from a window's first row.
     """
 
+    columns = {label: F.col("__window_label")}
+
     def ahead(window):
         frame = window.rowsBetween(0, length - 1)
-        values = {"__window_label": F.lead(label, length - 1).over(window)}
-        for f in features:
-            if decay is None:
-                values[f"__mean_{f}"] = F.avg(f).over(frame)
-            else:
-                weights = decay_weights(length, decay)
-                terms = [F.lead(f, k).over(window) * w for k, w in enumerate(weights)]
-                values[f"__mean_{f}"] = total(terms)
-        return values
-
-    columns = {f: F.col(f"__mean_{f}") for f in features} | {label: F.col("__window_label")}
-    return _frames(
+        found = {"__window_label": F.lead(label, length - 1).over(window)}
+        if decay is None:
+            return found | {f"__mean_{f}": F.avg(f).over(frame) for f in features}
+        step = F.array(*[F.col(f).cast("double") for f in features])
+        return found | {"__steps": F.collect_list(step).over(frame)}
+
+    if decay is None:
+        columns = {f: F.col(f"__mean_{f}") for f in features} | columns
+    else:
+        columns = {"__decayed": _weighted(F.col("__steps"), decay_weights(length, decay))} | columns
+    found = _frames(
         df, columns, length, stride, series, chunk_rows, index_col, part_rows, keep, ahead
     )
+    if decay is None:
+        return found
+    # One frame and one sum of vectors per window, however many features there are.
+    kept = [c for c in found.columns if c not in ("__decayed", label)]
+    means = [F.col("__decayed")[i].alias(f) for i, f in enumerate(features)]
+    return found.select(*kept, *means, label)
+
+
+def _weighted(steps: Column, weights: Sequence[float]) -> Column:
+    """Sum of vectors times weights, from the first on; null where a value is missing."""
+    scaled = F.zip_with(
+        steps, F.array(*map(F.lit, weights)), lambda v, w: F.transform(v, lambda x: x * w)
+    )
+    return F.reduce(
+        F.slice(scaled, 2, max(len(weights) - 1, 1)),
+        scaled[0],
+        lambda a, v: F.zip_with(a, v, lambda x, y: x + y),
+    )
 
 
 def count_windows(
@@ -240,3 +263,34 @@ def score_windows(
 
     kept = windows.drop("features").schema
     return windows.mapInPandas(score, kept.add(output, "double"))
+
+
+def score_arrays(
+    windows: DataFrame,
+    predict: Callable[[np.ndarray], np.ndarray],
+    output: str = "prediction",
+) -> DataFrame:
+    """Apply a predictor to dense batches: windows x rows x features, doubles.
+
+    Windows of one table are equally long; null values are NaN. Features stand in the
+    order of the ``features`` column.
+    """
+    kept = windows.drop("features").schema
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = batch.column("features")
+            width = pc.list_value_length(steps)
+            if len(width.unique()) > 1:
+                raise ValueError("windows of different lengths in one table")
+            inner = steps.flatten()
+            fields = [inner.field(i).to_numpy(zero_copy_only=False) for i in range(inner.type.num_fields)]
+            dense = np.stack([f.astype(float) for f in fields], axis=-1)
+            dense = dense.reshape(len(steps), -1, len(fields))
+            found = pa.array(np.asarray(predict(dense), float), from_pandas=True)
+            columns = [batch.column(n) for n in kept.names]
+            yield pa.RecordBatch.from_arrays([*columns, found], names=[*kept.names, output])
+
+    # ``add`` changes a schema in place.
+    schema = StructType([*kept.fields, StructField(output, DoubleType())])
+    return windows.mapInArrow(score, schema)

@@ -114,3 +114,23 @@ def test_attention_summaries(table):
         assert (r["max_weight"], r["max_key"]) == (row.max(), row.argmax())
     tied = df.withColumn("weight", F.lit(1.0))
     assert {r["max_key"] for r in normalise.attention_peaks(tied, ["head"]).collect()} == {0}
+
+
+def test_many_features_and_long_windows(spark):
+    """79 features over 60 rows: decayed means and dense batches, against numpy."""
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(130, 79))
+    names = [f"f{i}" for i in range(79)]
+    data = [(i, *map(float, v), float(i)) for i, v in enumerate(values)]
+    schema = "row_idx bigint, " + ", ".join(f"{n} double" for n in names) + ", y double"
+    df = spark.createDataFrame(data, schema).repartition(4)
+    weights = np.array(decay_weights(60, 0.9))
+    for r in windows.window_means(df, names, "y", 60, decay=0.9).collect():
+        start = r["window_start"]
+        np.testing.assert_allclose([r[n] for n in names], weights @ values[start : start + 60])
+    found = windows.sliding_windows(df, names, "y", 60)
+    shapes = windows.score_arrays(found, lambda b: b[:, -1, 78] + b.shape[1] * 1000 + b.shape[2])
+    for r in shapes.collect():
+        expected = values[r["window_start"] + 59, 78] + 60_079
+        assert r["prediction"] == pytest.approx(expected)
+    assert "features" not in shapes.columns and shapes.count() == 71
