@@ -37,7 +37,7 @@ def select_features(
     wanted = columns if features is None else [f for f in features if f in columns]
     chosen = [c for c in wanted if c not in taken]
     if not chosen:
-        raise ValueError("no feature columns selected")
+        raise ValueError("none of the columns can serve as a feature")
     return chosen
 
 
@@ -51,5 +51,5 @@ def slice_rows(df: DataFrame, start: int, length: int, index_col: str = ROW) ->
 def require_rows(df: DataFrame, what: str = "table") -> DataFrame:
     """Raise when ``df`` has no rows; runs a job that stops at the first row."""
     if df.isEmpty():
-        raise ValueError(f"{what} is empty after dropping nulls")
+        raise ValueError(f"{what}: no row without nulls is left")
     return df
