@@ -269,24 +269,34 @@ def merged_moments(df: DataFrame, group: list[str]) -> DataFrame:
     """
     schema = _moment_schema(df, group)
 
+    def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first, order, starts = _grouped(batch, group)
+        found = _merge_groups(
+            batch.column("n"), batch.column("sums"), batch.column("spreads"), order, starts
+        )
+        arrays = [first.column(c).combine_chunks() for c in group] + found
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (merged(b) for b in batches if b.num_rows)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows: the last group of a batch may go on in the next."""
+        open_group = None
         for batch in batches:
-            if batch.num_rows == 0:
+            if not batch.num_rows:
                 continue
-            first, order, starts = _grouped(batch, group)
-            found = _merge_groups(
-                batch.column("n"), batch.column("sums"), batch.column("spreads"), order, starts
-            )
-            arrays = [first.column(c).combine_chunks() for c in group] + found
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    def across(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).combine_chunks() for c in ("n", "sums", "spreads")]
-        every = np.arange(table.num_rows)
-        found = _merge_groups(*columns, every, np.zeros(1, int))
-        keys = table.select(group).slice(0, 1)
-        return pa.Table.from_arrays([*keys.columns, *found], names=schema.names)
+            if open_group is not None:
+                both = pa.Table.from_batches([open_group, batch.cast(open_group.schema)])
+                batch = both.combine_chunks().to_batches()[0]
+            found = merged(batch)
+            yield found.slice(0, found.num_rows - 1)
+            open_group = found.slice(found.num_rows - 1)
+        if open_group is not None:
+            yield open_group
 
     rows = df.filter("n > 0").select(*group, F.col("n").cast("long").alias("n"), *MOMENTS)
     partial = rows.mapInArrow(within, schema)
-    return partial.groupBy(*group).applyInArrow(across, schema)
+    if not group:
+        return partial.repartition(1).mapInArrow(across, schema)
+    return partial.repartition(*group).sortWithinPartitions(*group).mapInArrow(across, schema)
