@@ -21,6 +21,7 @@ from driftwalk.llm.base import (
     sha256,
     text_or_empty,
 )
+from driftwalk.staging import stage
 
 MIN_CHARS, MIN_DOCS = 10, 2
 
@@ -90,7 +91,8 @@ def dedup_lines(
     gives an empty table.
     """
     gone, rows, lines = f"{HELPER}gone", f"{HELPER}row", f"{HELPER}lines"
-    found = dropped_positions(keyed_lines(docs, text, doc_id, min_chars), min_docs)
+    keyed = stage(keyed_lines(docs, text, doc_id, min_chars), "lines")  # read twice
+    found = dropped_positions(keyed, min_docs)
     found = found.select(F.col("row_key").alias(rows), F.col("gone").alias(gone))
     joined = (
         docs.withColumn(rows, _row_key(doc_id, text))
