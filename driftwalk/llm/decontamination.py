@@ -37,7 +37,7 @@ UNITS = (
 
 def words_of(text: Column) -> Column:
     """Runs of letters and digits."""
-    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
 
 
 def template_word(word: Column, lowered: Column) -> Column:
@@ -50,59 +50,56 @@ def template_word(word: Column, lowered: Column) -> Column:
     )
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    """Hashes of all windows of ``width`` words (a power of two), by doubling."""
+def _with_windows(rows: DataFrame, width: int) -> DataFrame:
+    """(key, lower, template, literal, typed) of (key, text): words, and window hashes.
+
+    Windows of a power of two words are hashed by doubling. Every array is a column of
+    its own before it is used twice, so that none is computed again per use. A text of
+    fewer words than a window has one window of all its words.
+    """
+    made = rows.select("key", words_of(F.col("text")).alias("words"))
+    made = made.select("key", "words", F.transform("words", F.lower).alias("lower"))
+    made = made.select("key", "lower", F.zip_with("words", "lower", template_word).alias("template"))
+    kept, kinds = ["key", "lower", "template"], {"literal": "lower", "typed": "template"}
+    made = made.select(
+        *kept, *(F.transform(of, lambda w: F.xxhash64(w)).alias(kind) for kind, of in kinds.items())
+    )
     step = 1
     while step < width:
-        ahead = F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0)))
-        here = F.slice(hashes, 1, F.greatest(F.size(hashes) - step, F.lit(0)))
-        hashes = F.zip_with(here, ahead, lambda a, b: F.xxhash64(a, b))
+        made = made.select(*kept, *(_doubled(kind, step).alias(kind) for kind in kinds))
         step *= 2
-    return hashes
 
+    def whole(kind: str, of: str) -> Column:
+        n = F.size(of)
+        return (
+            F.when(n >= width, F.slice(kind, 1, F.greatest(n - width + 1, F.lit(0))))
+            .when(n > 0, F.array(F.xxhash64(F.array_join(of, " "))))
+            .otherwise(F.array().cast("array<bigint>"))
+            .alias(kind)
+        )
 
-def _with_windows(rows: DataFrame, width: int) -> DataFrame:
-    """(key, words, template, literal windows, template windows) of (key, text).
+    return made.select(*kept, *(whole(kind, of) for kind, of in kinds.items()))
 
-    A text of fewer words than a window has one window of all its words.
-    """
-    worded = rows.select("key", words_of(F.col("text")).alias("words"))
-    lowered = worded.withColumn("lower", F.transform("words", F.lower))
-    typed = lowered.withColumn("template", F.zip_with("words", "lower", template_word))
 
-    def hashed(name: str) -> Column:
-        return F.transform(name, lambda w: F.xxhash64(w))
-
-    return typed.select(
-        "key",
-        "lower",
-        "template",
-        _windows(hashed("lower"), width).alias("literal"),
-        _windows(hashed("template"), width).alias("typed"),
-    )
+def _doubled(hashes: str, step: int) -> Column:
+    """Hashes of windows twice as long; those that run over the end are cut off later."""
+    ahead = F.slice(hashes, step + 1, F.size(hashes))
+    return F.zip_with(hashes, ahead, lambda a, b: F.xxhash64(a, b))
 
 
 def _occurrences(rows: DataFrame, width: int) -> DataFrame:
-    """(key, pos, hash, slots): every window once per kind of hash it has.
-
-    ``slots`` are the words under placeholders, null for a literal window.
-    """
+    """(key, lower, template, pos, literal, hash): every window, by both its hashes."""
     made = _with_windows(rows, width)
-    short = F.size("lower") < width
-    whole = F.array(F.xxhash64(F.array_join("lower", " ")))
-    whole_typed = F.array(F.xxhash64(F.array_join("template", " ")))
-    empty = F.size("lower") == 0
-    none = F.array().cast("array<bigint>")
-    made = made.select(
+    both = F.posexplode(F.concat("literal", "typed")).alias("at", "hash")
+    found = made.select("key", "lower", "template", F.size("literal").alias("n"), both)
+    return found.select(
         "key",
         "lower",
         "template",
-        F.when(empty, none).when(short, whole).otherwise(F.col("literal")).alias("literal"),
-        F.when(empty, none).when(short, whole_typed).otherwise(F.col("typed")).alias("typed"),
+        F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("pos"),
+        (F.col("at") < F.col("n")).alias("literal"),
+        "hash",
     )
-    return made.select(
-        "key", "lower", "template", F.posexplode(F.arrays_zip("literal", "typed")).alias("pos", "w")
-    ).select("key", "lower", "template", "pos", F.col("w.literal").alias("a"), F.col("w.typed").alias("b"))
 
 
 def _slots(width: int) -> Column:
@@ -116,8 +113,8 @@ def _slots(width: int) -> Column:
 def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFrame:
     """(hash, item, i_pos, i_slots, windows): what documents are compared with.
 
-    Windows with too few words beside placeholders are no evidence, unless the item
-    is shorter than that itself; they do not count among the item's ``windows``.
+    Template windows with too few words beside placeholders are no evidence; their
+    words themselves are.
     """
     found = _occurrences(items, width)
     plain = F.size(
@@ -126,19 +123,12 @@ def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFra
             lambda t: ~t.isin(NUMBER, NAME, UNIT),
         )
     )
-    slots = _slots(width)
-    found = found.select("key", "pos", "a", "b", plain.alias("plain"), slots.alias("slots"))
-    typed = found.where(F.col("plain") >= plain_words).select(
-        "key", "pos", F.col("b").alias("hash"), "slots"
-    )
-    literal = found.select(
-        "key", "pos", F.col("a").alias("hash"), F.lit(None).cast("array<string>").alias("slots")
-    )
-    sizes = found.groupBy("key").agg(F.count("*").alias("windows"))
+    slots = F.when(~F.col("literal"), _slots(width)).alias("slots")
+    known = found.where(F.col("literal") | (plain >= plain_words))
+    known = known.select("key", "pos", "hash", slots).distinct()
+    sizes = known.groupBy("key").agg(F.count_distinct("pos").alias("windows"))
     return (
-        typed.unionAll(literal)
-        .distinct()
-        .join(sizes, "key")
+        known.join(sizes.withColumnRenamed("key", "of"), known["key"].eqNullSafe(F.col("of")))
         .select(
             "hash",
             F.col("key").alias("item"),
@@ -174,16 +164,15 @@ def find_leaks(
     rows = docs.select(column(doc_id).alias("key"), text_or_empty(text).alias("text"))
     items = benchmark.select(column(item_id).alias("key"), text_or_empty(item_text).alias("text"))
     known = stage(benchmark_windows(items.distinct(), window, PLAIN_WORDS), "benchmark")
-    made = _occurrences(rows, window)
-    # One row per window and kind of hash; equal hashes of a window are one.
-    kinds = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
-    made = made.select("key", "lower", "template", "pos", F.explode(kinds).alias("hash"))
+    made = _occurrences(rows, window).drop("literal")
     slots = _slots(window).alias("slots")
     if known.count() <= BROADCAST_WINDOWS:
         met = made.join(F.broadcast(known), "hash").select("*", slots)
     else:  # windows move, so they leave their texts behind
         met = made.select("key", "pos", "hash", slots).join(known, "hash")
-    aligned = met.select(
+    # Equal words of which other ones are placeholders say nothing about values.
+    alike = F.col("i_slots").isNull() | (F.size("i_slots") == F.size("slots"))
+    aligned = met.where(alike).select(
         "key",
         "item",
         "i_pos",
@@ -249,7 +238,65 @@ def drop_leaking(
     return docs.join(gone, column(doc_id).eqNullSafe(F.col(key)), "left_anti")
 
 
-@register("op2_benchmark_decontamination")
+def _windows_sql(source: str, key: str, name: str) -> str:
+    """CTE ``name`` (key, pos, kind, win, slots, plain) of all windows of a table."""
+    units = ", ".join(f"'{unit}'" for unit in UNITS)
+    return f"""
+{name}_words AS (
+  SELECT key, words, list_transform(words, lambda w: lower(w)) AS low,
+         list_transform(words, lambda w: CASE WHEN w >= '0' AND w < ':' THEN '{NUMBER}'
+           WHEN lower(w) IN ({units}) THEN '{UNIT}' WHEN w <> lower(w) THEN '{NAME}' ELSE w END) AS typed
+  FROM (SELECT {key} AS key, list_filter(string_split_regex(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+'),
+                                         lambda w: w <> '') AS words FROM {source})
+  WHERE len(words) > 0
+),
+{name}_cut AS (
+  SELECT key, pos, low[pos + 1 : pos + {WINDOW}] AS low, typed[pos + 1 : pos + {WINDOW}] AS typed
+  FROM (SELECT *, unnest(range(greatest(len(words) - {WINDOW - 1}, 1))) AS pos FROM {name}_words)
+),
+{name} AS (
+  SELECT DISTINCT * FROM (
+    SELECT key, pos, kind, array_to_string(CASE kind WHEN 'literal' THEN low ELSE typed END, ' ') AS win,
+           list_transform(list_filter(range(1, len(low) + 1), lambda i: low[i] <> typed[i]), lambda i: low[i]) AS slots,
+           len(list_filter(typed, lambda t: t NOT IN ('{NUMBER}', '{NAME}', '{UNIT}'))) AS plain
+    FROM {name}_cut, (VALUES ('literal'), ('typed')) kinds(kind)
+  )
+)"""
+
+
+@register(
+    "op2_benchmark_decontamination",
+    f"""
+WITH {_windows_sql("documents", "doc_id", "doc")},
+{_windows_sql("benchmark", "item_id", "item")},
+sizes AS (SELECT key, count(DISTINCT pos) AS windows FROM item GROUP BY key),
+met AS (
+  SELECT d.key, i.key AS item, i.pos AS i_pos, d.pos - i.pos AS shift, i.kind = 'literal' AS literal,
+         i.slots AS i_slots, d.slots
+  FROM doc d JOIN item i ON d.win = i.win
+  WHERE i.kind = 'literal' OR (i.plain >= {PLAIN_WORDS} AND len(i.slots) = len(d.slots))
+),
+broken AS (
+  SELECT DISTINCT key, item, shift FROM (
+    SELECT key, item, shift, i_slots[n] AS value, slots[n] AS stands
+    FROM (SELECT *, unnest(range(1, len(slots) + 1)) AS n FROM met WHERE NOT literal)
+  ) GROUP BY key, item, shift, value HAVING min(stands) <> max(stands)
+),
+found AS (
+  SELECT key, item, i_pos, bool_or(literal) AS literal FROM met
+  WHERE literal OR NOT EXISTS (
+    SELECT 1 FROM broken b WHERE b.key = met.key AND b.item = met.item AND b.shift = met.shift)
+  GROUP BY key, item, i_pos
+),
+counted AS (
+  SELECT f.key, item, any_value(windows) AS windows, count(*) AS matched, count(*) FILTER (WHERE literal) AS words
+  FROM found f JOIN sizes s ON s.key = f.item GROUP BY f.key, item
+)
+SELECT key AS doc_id, item AS item_id, matched, windows,
+       words >= {MIN_WINDOWS} OR words >= windows * {MIN_SHARE} AS literal
+FROM counted WHERE matched >= {MIN_WINDOWS} OR matched >= windows * {MIN_SHARE}
+""",
+)
 def op2_benchmark_decontamination(spark, sf_dir):
     found = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "windows", "literal")
