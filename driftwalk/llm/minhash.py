@@ -1,15 +1,20 @@
 """Near duplicates by MinHash with tensored banding, links confirmed on full sets.
 
-Two collections of ``COLLECTIONS`` short bands are computed per text. Every pair of a
-left and a right band forms a table key, so 2 x 10 bands of 2 values give 100 tables
-for 40 hash values instead of 400. Texts of similarity s share a table with
-probability (1 - (1 - s^2)^10)^2: 0.99993 at 0.8, and more above.
-
-Texts of equal shingle sets are one node from the start. In a table, all nodes are
-compared with one pivot instead of with each other; once the components of the links
-found are known, only members of other components than most of the table's are left,
-and these are compared with all the rest. No pair of different components that share
-a table stays unchecked, and a table of one component costs no pairs of its own.
+Two collections of ``COLLECTIONS`` bands are computed per text. Every pair of a left
+and a right band forms a table key, so 2 x 20 bands of 4 values give 400 tables for
+160 hash values instead of 3200. Texts of similarity s share a table with probability
+(1 - (1 - s^4)^20)^2: 0.99995 at 0.8, more above, 0.02 at 0.3. A band that only one
+text has can meet nobody, so keys are formed from the bands that several texts have,
+and tables with the same members count once.
+
+Texts of equal shingle sets are one node from the start. The nodes of a left band are
+first compared with one of them, a pivot, instead of with each other. That joins most
+copies, and only tables that still hold several components are looked at. There, only
+members of other components than most of the table's are left, and these are compared
+with all the rest, again through pivots while that would be too many pairs. No pair of
+different components that share a table stays unchecked, and a table of one component
+costs no pairs of its own. Pairs are formed by left band, with a right band in common,
+rather than once per table.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ from driftwalk.llm.components import connected_components
 from driftwalk.staging import stage
 
 WORDS, PERCENT = 5, 80
-COLLECTIONS, BAND = 10, 2
+COLLECTIONS, BAND = 20, 4
 # Pivots are taken in turns while comparing all pairs left would make more than this
 # many pairs a node, for at most so many turns; then all pairs left are compared.
-PAIRS_PER_NODE, TURNS = 8, 12
+PAIRS_PER_NODE, TURNS = 4, 12
 # Word hashes kept per Python worker; shingles hashed together.
 KEPT_WORDS, CHUNK = 400_000, 4096
 
@@ -169,14 +174,64 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat(owner, F.lit("\n"), text_or_empty(text))))
 
 
-def _tables(nodes: DataFrame) -> DataFrame:
-    """(key, nid, n): the nodes of every table that holds at least two."""
+def _shared_bands(nodes: DataFrame, side: str) -> DataFrame:
+    """(nid, side): the bands of each node that other nodes have too."""
+    bands_of = nodes.select("nid", F.explode(side).alias("band"))
+    several = bands_of.groupBy("band").agg(F.min("nid").alias("a"), F.max("nid").alias("b"))
+    several = several.where("a < b").select("band")
+    return bands_of.join(several, "band").groupBy("nid").agg(F.collect_list("band").alias(side))
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(nid, n, text_key, left, right, met) of the nodes that share bands on both sides.
+
+    ``met`` counts the nodes in all its left bands: the text that others are copies of
+    meets more of them than its copies do, so it is the better pivot.
+    """
+    shared = _shared_bands(nodes, "left").join(_shared_bands(nodes, "right"), "nid")
+    bands_of = shared.select("nid", F.explode("left").alias("band"))
+    sizes = bands_of.groupBy("band").agg(F.count("*").alias("size"))
+    met = bands_of.join(sizes, "band").groupBy("nid").agg(F.sum("size").alias("met"))
+    return nodes.select("nid", "n", "text_key").join(shared, "nid").join(met, "nid")
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """(key, nid): of the members of each band, the one that meets most nodes."""
+    best = members.groupBy("key").agg(F.max(F.struct("met", "nid")).alias("best"))
+    return best.select("key", F.col("best.nid").alias("nid"))
+
+
+def _pivot_pairs(candidates: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the nodes of each left band beside its pivot."""
+    members = candidates.select("nid", "n", "met", F.explode("left").alias("key"))
+    pivots = members.join(_pivots(members), ["key", "nid"])
+    pivots = pivots.select("key", F.col("nid").alias("p"), F.col("n").alias("n_p"))
+    met = members.join(pivots, "key").where(F.col("nid") != F.col("p"))
+    return met.where(_may_link(F.col("n"), F.col("n_p"), percent)).select(
+        F.least("nid", "p").alias("u"), F.greatest("nid", "p").alias("v")
+    )
+
+
+def _undecided(candidates: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, nid, n, right, met): left bands, as ``key``, of the members of every table that
+    holds several components.
+
+    A table's key combines a left and a right band. Nodes that share a table share its
+    left band and some right band, which is how pairs are found again without meeting
+    in every one of their tables.
+    """
     keys = F.flatten(
         F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b)))
     )
-    held = nodes.select("nid", "n", F.explode(keys).alias("key"))
-    shared = held.groupBy("key").agg(F.min("nid").alias("a"), F.max("nid").alias("b"))
-    return held.join(shared.where("a < b").select("key"), "key")
+    rooted = candidates.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "nid"))
+    held = stage(rooted.select("nid", "root", F.explode(keys).alias("key")), "keys")
+    several = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    several = several.where("a < b").select("key")
+    members = held.join(several, "key").select("nid").distinct()
+    return candidates.join(members, "nid").select(
+        F.explode("left").alias("key"), "nid", "n", "right", "met"
+    )
 
 
 def _may_link(n: Column, other: Column, percent: int) -> Column:
@@ -184,41 +239,34 @@ def _may_link(n: Column, other: Column, percent: int) -> Column:
     return F.least(n, other) * 100 >= F.greatest(n, other) * percent
 
 
-def _linked(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int
-) -> DataFrame:
-    """The distinct ``pairs`` (u, v) whose full sets are similar enough.
-
-    Texts of the nodes that occur in a pair are fetched once each; pairs carry one
-    text to the other.
-    """
-    pairs = stage(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("u").alias("nid")).unionAll(pairs.select("v")).distinct()
-    texts = (
-        nodes.join(wanted, "nid")
-        .select("nid", "n", "text_key")
-        .join(docs, "text_key")
+def _texts(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """(nid, n, text) of every candidate, one of its documents' texts each."""
+    return (
+        docs.join(candidates.select("nid", "n", "text_key"), "text_key")
         .groupBy("nid")
         .agg(F.first("n").alias("n"), F.first("text").alias("text"))
     )
-    texts = stage(texts, "texts")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The distinct ``pairs`` (u, v) whose full sets are similar enough."""
 
     def side(name: str) -> DataFrame:
         return texts.select(
             F.col("nid").alias(name), F.col("n").alias(f"n_{name}"), F.col("text").alias(f"t_{name}")
         )
 
-    met = pairs.join(side("u"), "u").join(side("v"), "v")
+    met = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
     met = met.withColumn("common", common_shingles(F.col("t_u"), F.col("t_v"), words))
     union = F.col("n_u") + F.col("n_v") - F.col("common")
     return met.where(F.col("common") * 100 >= union * percent).select("u", "v")
 
 
 def _rest(tables: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of tables that hold several components; ``odd`` marks those outside the
-    component that most rows of their table belong to."""
+    """Rows of bands that hold several components; ``odd`` marks those outside the
+    component that most rows of their band belong to."""
     labelled = tables.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select(
-        "key", "nid", "n", F.coalesce("root", "nid").alias("root")
+        "key", "nid", "n", "right", "met", F.coalesce("root", "nid").alias("root")
     )
     shares = labelled.groupBy("key", "root").agg(F.count("*").alias("rows"))
     most = shares.groupBy("key").agg(
@@ -226,17 +274,30 @@ def _rest(tables: DataFrame, roots: DataFrame) -> DataFrame:
     )
     most = most.where("roots > 1").select("key", F.col("most.root").alias("main"))
     return labelled.join(most, "key").select(
-        "key", "nid", "n", "root", (F.col("root") != F.col("main")).alias("odd")
+        "key", "nid", "n", "right", "met", "root", (F.col("root") != F.col("main")).alias("odd")
     )
 
 
-def links_between(
-    nodes: DataFrame, docs: DataFrame, words: int, percent: int
-) -> tuple[DataFrame, DataFrame]:
-    """Links found, and (node, root) of the components they form."""
-    tables = stage(_tables(nodes), "tables")
-    total, links = nodes.count(), None
-    roots = tables.select(F.col("nid").alias("node"), F.col("nid").alias("root")).limit(0)
+def _star_roots(links: DataFrame) -> DataFrame:
+    """(node, root) with a root in the node's component, but not always the same one.
+
+    The least neighbour's least neighbour: enough to see that nodes of one root need
+    not be compared, for two joins instead of a search for components.
+    """
+    both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy("u").agg(F.min("v").alias("v"))
+    near = stage(near.select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "stars")
+    further = near.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return near.join(further, "root").select("node", F.col("top").alias("root"))
+
+
+def links_between(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): confirmed links, enough of them to connect every component."""
+    candidates = stage(_candidates(nodes), "candidates")
+    texts = stage(_texts(candidates, docs), "texts")
+    links = stage(_linked(_pivot_pairs(candidates, percent), texts, words, percent), "confirmed")
+    roots = stage(_star_roots(links), "roots")
+    tables, total = stage(_undecided(candidates, roots), "tables"), nodes.count()
     for turn in range(TURNS + 1):
         rest = stage(_rest(tables, roots), "rest")
         odd = rest.where("odd")
@@ -250,26 +311,25 @@ def links_between(
         if last:
             ones = odd
         else:
-            pivots = odd.groupBy("key").agg(F.min("nid").alias("nid"))
+            pivots = _pivots(odd)
             ones = odd.join(pivots, ["key", "nid"])
-        one = ones.select(
-            "key", F.col("nid").alias("p"), F.col("n").alias("n_p"), F.col("root").alias("root_p")
-        )
+        one = ones.select("key", *(F.col(c).alias(f"{c}_p") for c in ("nid", "n", "root", "right")))
+        one = one.withColumnRenamed("nid_p", "p")
         pairs = (
             rest.join(one, "key")
             .where((F.col("root") != F.col("root_p")) & _may_link(F.col("n"), F.col("n_p"), percent))
+            .where(F.arrays_overlap("right", "right_p"))
             .select(F.least("nid", "p").alias("u"), F.greatest("nid", "p").alias("v"))
         )
-        found = _linked(pairs, nodes, docs, words, percent)
-        links = stage(found if links is None else links.unionAll(found), "confirmed")
-        roots = stage(connected_components(links), "roots")
+        links = stage(links.unionAll(_linked(pairs, texts, words, percent)), "confirmed")
         if last:
             break
-        # A pivot has met all others of its table, so it leaves the table.
+        roots = stage(_star_roots(links), "roots")
+        # A pivot has met all others of its band, so it leaves the band.
         tables = stage(
-            rest.select("key", "nid", "n").join(pivots, ["key", "nid"], "left_anti"), "tables"
+            rest.select("key", "nid", "n", "right", "met").join(pivots, ["key", "nid"], "left_anti"), "tables"
         )
-    return links, roots
+    return links
 
 
 def near_duplicates(
@@ -306,7 +366,7 @@ def near_duplicates(
     )
     nodes = stage(nodes, "nodes")
     texts = docs.select(_text_key(text).alias("text_key"), text_or_empty(text).alias("text"))
-    _, roots = links_between(nodes, texts, words, percent)
+    roots = connected_components(links_between(nodes, texts, words, percent))
     labelled = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select(
         "node", "owner", F.coalesce("root", "nid").alias("root")
     )
