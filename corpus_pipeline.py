@@ -33,7 +33,8 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no item of ``benchmark`` leaks."""
-    return decontamination.drop_leaking(docs, read(spark, sf_dir, "benchmark"))
+    items = read(spark, sf_dir, "benchmark")
+    return decontamination.drop_leaking(docs, items, short_inside=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ lowered, are joined too, so that a copy in other case is found.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwalk.llm.base import HELPER, column, read, register, text_or_empty
@@ -81,37 +83,64 @@ def _with_windows(rows: DataFrame, width: int) -> DataFrame:
     return made.select(*kept, *(whole(kind, of) for kind, of in kinds.items()))
 
 
+def _short_windows(made: DataFrame, widths: Sequence[int]) -> DataFrame:
+    """Rows of ``_with_windows`` once per width, with their windows of that many words.
+
+    A text of just that many words has such a window already.
+    """
+    made = made.select("*", F.explode(F.array(*map(F.lit, widths))).alias("width"))
+    made = made.where(F.size("lower") > F.col("width"))
+
+    def cut(of: str) -> Column:
+        starts = F.sequence(F.lit(1), F.size(of) - F.col("width") + 1)
+        return F.transform(
+            starts, lambda i: F.xxhash64(F.array_join(F.slice(of, i, F.col("width")), " "))
+        )
+
+    return made.withColumns({"literal": cut("lower"), "typed": cut("template")})
+
+
 def _doubled(hashes: str, step: int) -> Column:
     """Hashes of windows twice as long; those that run over the end are cut off later."""
     ahead = F.slice(hashes, step + 1, F.size(hashes))
     return F.zip_with(hashes, ahead, lambda a, b: F.xxhash64(a, b))
 
 
-def _occurrences(rows: DataFrame, width: int) -> DataFrame:
-    """(key, lower, template, pos, literal, hash): every window, by both its hashes."""
+def _occurrences(rows: DataFrame, width: int, short: Sequence[int] = ()) -> DataFrame:
+    """(key, lower, template, width, pos, literal, hash): every window, by both its hashes.
+
+    Windows of the widths ``short`` come beside those of ``width`` words.
+    """
     made = _with_windows(rows, width)
+    whole = made.withColumn("width", F.least(F.size("lower"), F.lit(width)))
+    found = _exploded(whole)
+    return found.unionByName(_exploded(_short_windows(made, short))) if short else found
+
+
+def _exploded(made: DataFrame) -> DataFrame:
     both = F.posexplode(F.concat("literal", "typed")).alias("at", "hash")
-    found = made.select("key", "lower", "template", F.size("literal").alias("n"), both)
+    found = made.select("key", "lower", "template", "width", F.size("literal").alias("n"), both)
     return found.select(
         "key",
         "lower",
         "template",
+        "width",
         F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("pos"),
         (F.col("at") < F.col("n")).alias("literal"),
         "hash",
     )
 
 
-def _slots(width: int) -> Column:
+def _slots() -> Column:
     """Words of the window at ``pos`` that placeholders stand for, in order."""
-    lower = F.slice("lower", F.col("pos") + 1, width)
-    template = F.slice("template", F.col("pos") + 1, width)
+    lower = F.slice("lower", F.col("pos") + 1, F.col("width"))
+    template = F.slice("template", F.col("pos") + 1, F.col("width"))
     under = F.zip_with(lower, template, lambda word, typed: F.when(word != typed, word))
     return F.filter(under, lambda word: word.isNotNull())
 
 
 def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFrame:
-    """(hash, item, i_pos, i_slots, windows): what documents are compared with.
+    """(hash, item, width, i_pos, i_slots, windows): what documents are compared with.
 
     Template windows with too few words beside placeholders are no evidence; their
     words themselves are.
@@ -119,18 +148,19 @@ def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFra
     found = _occurrences(items, width)
     plain = F.size(
         F.filter(
-            F.slice("template", F.col("pos") + 1, width),
+            F.slice("template", F.col("pos") + 1, F.col("width")),
             lambda t: ~t.isin(NUMBER, NAME, UNIT),
         )
     )
-    slots = F.when(~F.col("literal"), _slots(width)).alias("slots")
+    slots = F.when(~F.col("literal"), _slots()).alias("slots")
     known = found.where(F.col("literal") | (plain >= plain_words))
-    known = known.select("key", "pos", "hash", slots).distinct()
+    known = known.select("key", "width", "pos", "hash", slots).distinct()
     sizes = known.groupBy("key").agg(F.count_distinct("pos").alias("windows"))
     return (
         known.join(sizes.withColumnRenamed("key", "of"), known["key"].eqNullSafe(F.col("of")))
         .select(
             "hash",
+            "width",
             F.col("key").alias("item"),
             F.col("pos").alias("i_pos"),
             F.col("slots").alias("i_slots"),
@@ -149,12 +179,15 @@ def find_leaks(
     window: int = WINDOW,
     min_windows: int = MIN_WINDOWS,
     min_share: float = MIN_SHARE,
+    short_inside: bool = False,
 ) -> DataFrame:
     """Leaked items: doc_id, item_id, matched, windows, literal.
 
     An item leaks into a document that holds ``min_windows`` of its windows, or
     ``min_share`` of them. Windows count once per item position. ``literal`` says that
     the words themselves reach that too; else the item came with other values.
+    An item of fewer words than a window is one window. With ``short_inside`` it is
+    found anywhere in a document, else only in one that consists of it.
     Null and empty texts hold nothing; rows of equal id and text are one row here; rows
     of one id and different texts are counted together; null ids are one document.
     Empty tables give an empty table. Documents are exploded to windows and joined
@@ -164,12 +197,16 @@ def find_leaks(
     rows = docs.select(column(doc_id).alias("key"), text_or_empty(text).alias("text"))
     items = benchmark.select(column(item_id).alias("key"), text_or_empty(item_text).alias("text"))
     known = stage(benchmark_windows(items.distinct(), window, PLAIN_WORDS), "benchmark")
-    made = _occurrences(rows, window).drop("literal")
-    slots = _slots(window).alias("slots")
+    short = []
+    if short_inside:  # at most ``window`` - 1 widths
+        widths = known.select("width").where(F.col("width") < window).distinct()
+        short = sorted(r["width"] for r in widths.collect())
+    made = _occurrences(rows, window, short).drop("literal")
+    slots = _slots().alias("slots")
     if known.count() <= BROADCAST_WINDOWS:
-        met = made.join(F.broadcast(known), "hash").select("*", slots)
+        met = made.join(F.broadcast(known), ["width", "hash"]).select("*", slots)
     else:  # windows move, so they leave their texts behind
-        met = made.select("key", "pos", "hash", slots).join(known, "hash")
+        met = made.select("key", "width", "pos", "hash", slots).join(known, ["width", "hash"])
     # Equal words of which other ones are placeholders say nothing about values.
     alike = F.col("i_slots").isNull() | (F.size("i_slots") == F.size("slots"))
     aligned = met.where(alike).select(
@@ -298,5 +335,6 @@ FROM counted WHERE matched >= {MIN_WINDOWS} OR matched >= windows * {MIN_SHARE}
 """,
 )
 def op2_benchmark_decontamination(spark, sf_dir):
-    found = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = find_leaks(docs, items, short_inside=True)
     return found.select("doc_id", "item_id", "matched", "windows", "literal")

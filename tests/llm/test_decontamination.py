@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from driftwalk.llm import decontamination as dec
 from made import sentences
 
@@ -102,3 +103,18 @@ def test_short_items_match_whole_texts_only(rows, n):
     item = " ".join(f"word{chr(97 + i)}" for i in range(n))
     docs = [(1, item), (2, f"{item} and much more text that goes on for a long while after it")]
     assert leaks(rows, docs, [(1, item)]) == {(1, 1, True)}
+
+
+def test_short_items_inside_texts(spark, rows, tmp_path):
+    item = "What is the capital of Australia?"
+    before, after = "We were asked a thing today.", "Nobody in the room knew it."
+    docs = [(1, item), (2, f"{before} {item} {after}"), (3, f"{before} {after}"), (4, f"So: {item}")]
+    items = [(1, item), (2, "mc squared")]
+    assert leaks(rows, docs, items, short_inside=True) == {(1, 1, True), (2, 1, True), (4, 1, True)}
+    folder = str(tmp_path)
+    rows(docs, DOCS).write.parquet(f"{folder}/documents.parquet")
+    rows(items, BENCH).write.parquet(f"{folder}/benchmark.parquet")
+    found = dec.op2_benchmark_decontamination(spark, folder)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (4, 1)}
+    kept = corpus_pipeline.keep_uncontaminated(spark, rows(docs, DOCS), folder)
+    assert [r.doc_id for r in kept.collect()] == [3]
