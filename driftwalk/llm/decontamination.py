@@ -3,8 +3,9 @@
 Texts are canonicalised to templates: numbers, names and units become typed
 placeholders, all other words are lowered. Windows of template words are hashed and
 joined with those of the benchmark. Where they meet, what fills the placeholders must
-agree along an alignment: a value of the item always stands for one and the same
-value of the document. That finds questions asked again with other numbers or names,
+agree along an alignment: a value of the item stands for one and the same value of the
+document, but for a quarter of the values at most, as an item may hold two quantities
+that happen to be equal. That finds questions asked again with other numbers or names,
 and leaves alone texts that merely share a pattern. Windows of the words themselves,
 lowered, are joined too, so that a copy in other case is found.
 """
@@ -22,6 +23,8 @@ from driftwalk.staging import stage
 # a leak: this many windows of an item (8 + 5 words in a row) or this share of them.
 WINDOW, PLAIN_WORDS = 8, 4
 MIN_WINDOWS, MIN_SHARE = 6, 0.5
+# Share of an alignment's item values that may stand for several document values.
+MAX_CONFLICTS = 0.25
 # Benchmark windows up to this many are broadcast (24 bytes each); more are shuffled.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -244,19 +247,21 @@ def find_leaks(
 
 
 def _consistent(aligned: DataFrame, by: list[str]) -> DataFrame:
-    """Template windows whose alignment gives every item value one document value.
+    """Template windows whose alignment gives item values one document value each.
 
-    Values of an alignment are compared as distinct pairs; an alignment in which a
-    value of the item stands for two different ones is no copy of the item.
+    Values of an alignment are compared as distinct pairs. Where more than
+    ``MAX_CONFLICTS`` of the item's values stand for two different ones, the alignment
+    is no copy of the item; else all its windows count.
     """
     place = [*by, "shift"]
     broken = (
         aligned.select(*place, F.explode("filled").alias("f"))
         .groupBy(*place, F.col("f.i_slots").alias("value"))
-        .agg(F.min("f.slots").alias("a"), F.max("f.slots").alias("b"))
-        .where("a <> b")
+        .agg((F.min("f.slots") != F.max("f.slots")).alias("conflict"))
+        .groupBy(*place)
+        .agg(F.count_if("conflict").alias("conflicts"), F.count("*").alias("values"))
+        .where(F.col("conflicts") > F.col("values") * MAX_CONFLICTS)
         .select(*place)
-        .distinct()
     )
     conditions = [aligned[c].eqNullSafe(broken[c]) for c in place]
     return aligned.join(broken, conditions, "left_anti")

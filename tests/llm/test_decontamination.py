@@ -118,3 +118,15 @@ def test_short_items_inside_texts(spark, rows, tmp_path):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (4, 1)}
     kept = corpus_pipeline.keep_uncontaminated(spark, rows(docs, DOCS), folder)
     assert [r.doc_id for r in kept.collect()] == [3]
+
+
+def test_equal_quantities_may_part(rows):
+    item = (
+        "A shop sells 12 red pens for 3 dollars and 12 blue pens for 5 dollars. How many pens "
+        "must it sell until it earns 60 dollars on a rainy day?"
+    )
+    changed = item.replace("12 red", "14 red").replace("12 blue", "9 blue").replace(" 3 ", " 4 ")
+    short = "Tom has 12 apples and Ann has 12 pears. How many fruits do they have together?"
+    parted = short.replace("12 apples", "14 apples").replace("12 pears", "9 pears")
+    docs = [(1, changed.replace(" 5 ", " 7 ").replace("60", "90")), (2, parted)]
+    assert leaks(rows, docs, [(1, item), (2, short)]) == {(1, 1, False), (2, 2, False)}
