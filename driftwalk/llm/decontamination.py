@@ -143,10 +143,10 @@ def _slots() -> Column:
 
 
 def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFrame:
-    """(hash, item, width, i_pos, i_slots, windows): what documents are compared with.
+    """(hash, item, width, i_pos, i_slots, windows, typed): what documents are compared with.
 
     Template windows with too few words beside placeholders are no evidence; their
-    words themselves are.
+    words themselves are. ``typed`` is the number of those with enough.
     """
     found = _occurrences(items, width)
     plain = F.size(
@@ -158,7 +158,10 @@ def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFra
     slots = F.when(~F.col("literal"), _slots()).alias("slots")
     known = found.where(F.col("literal") | (plain >= plain_words))
     known = known.select("key", "width", "pos", "hash", slots).distinct()
-    sizes = known.groupBy("key").agg(F.count_distinct("pos").alias("windows"))
+    sizes = known.groupBy("key").agg(
+        F.count_distinct("pos").alias("windows"),
+        F.count_distinct(F.when(F.col("slots").isNotNull(), F.col("pos"))).alias("typed"),
+    )
     return (
         known.join(sizes.withColumnRenamed("key", "of"), known["key"].eqNullSafe(F.col("of")))
         .select(
@@ -168,6 +171,7 @@ def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFra
             F.col("pos").alias("i_pos"),
             F.col("slots").alias("i_slots"),
             "windows",
+            "typed",
         )
     )
 
@@ -187,7 +191,8 @@ def find_leaks(
     """Leaked items: doc_id, item_id, matched, windows, literal.
 
     An item leaks into a document that holds ``min_windows`` of its windows, or
-    ``min_share`` of them. Windows count once per item position. ``literal`` says that
+    ``min_share`` of them, or that share of its template windows with enough words
+    beside placeholders, which are all that other values leave of an item. Windows count once per item position. ``literal`` says that
     the words themselves reach that too; else the item came with other values.
     An item of fewer words than a window is one window. With ``short_inside`` it is
     found anywhere in a document, else only in one that consists of it.
@@ -217,27 +222,33 @@ def find_leaks(
         "item",
         "i_pos",
         "windows",
+        "typed",
         (F.col("pos") - F.col("i_pos")).alias("shift"),
         F.col("i_slots").isNull().alias("literal"),
         F.when(F.col("i_slots").isNotNull(), F.arrays_zip("i_slots", "slots")).alias("filled"),
     )
     aligned = stage(aligned, "aligned")
-    by = ["key", "item", "windows"]
+    by = ["key", "item", "windows", "typed"]
     consistent = _consistent(aligned.where(~F.col("literal")), by)
     counted = (
         aligned.where("literal")
         .select(*by, "i_pos", "literal")
         .unionAll(consistent.select(*by, "i_pos", F.lit(False).alias("literal")))
         .groupBy(*by, "i_pos")
-        .agg(F.max("literal").alias("literal"))
+        .agg(F.max("literal").alias("literal"), F.min("literal").alias("no_template"))
         .groupBy(*by)
-        .agg(F.count("*").alias("matched"), F.count_if("literal").alias("literal"))
+        .agg(
+            F.count("*").alias("matched"),
+            F.count_if("literal").alias("literal"),
+            F.count_if(~F.col("no_template")).alias("alike"),
+        )
     )
 
     def enough(n: Column) -> Column:
         return (n >= min_windows) | (n >= F.col("windows") * min_share)
 
-    return counted.where(enough(F.col("matched"))).select(
+    by_template = (F.col("alike") > 0) & (F.col("alike") >= F.col("typed") * min_share)
+    return counted.where(enough(F.col("matched")) | by_template).select(
         F.col("key").alias(doc_id),
         F.col("item").alias(item_id),
         "matched",

@@ -130,3 +130,10 @@ def test_equal_quantities_may_part(rows):
     parted = short.replace("12 apples", "14 apples").replace("12 pears", "9 pears")
     docs = [(1, changed.replace(" 5 ", " 7 ").replace("60", "90")), (2, parted)]
     assert leaks(rows, docs, [(1, item), (2, short)]) == {(1, 1, False), (2, 2, False)}
+
+
+def test_items_dense_in_values(rows):
+    item = "Tom, Ann and Bob have 3, 4 and 5 coins. Tom gives Ann 2 coins."
+    changed = "Mia, Eve and Joe have 6, 7 and 8 coins. Mia gives Eve 9 coins."
+    docs = [(1, f"it was asked of us {changed}"), (2, "we have 3 and 4 coins and gives them 2 of 5")]
+    assert leaks(rows, docs, [(1, item)]) == {(1, 1, False)}
