@@ -7,7 +7,9 @@ agree along an alignment: a value of the item stands for one and the same value
 document, but for a quarter of the values at most, as an item may hold two quantities
 that happen to be equal. That finds questions asked again with other numbers or names,
 and leaves alone texts that merely share a pattern. Windows of the words themselves,
-lowered, are joined too, so that a copy in other case is found.
+lowered, are joined too, so that a copy in other case is found. All that is done for
+texts cut at every sign, and once more for texts in which a number with its sign,
+separators and decimals, or a run of words with capitals, is one value.
 """
 
 from __future__ import annotations
@@ -30,6 +32,14 @@ BROADCAST_WINDOWS = 1_000_000
 
 NUMBER, NAME, UNIT = "#", "@", "%"  # no word holds these
 
+# Words in which a value is whole: numbers, runs of up to 8 words with capitals, others.
+_CAPITAL = r"(?=[\p{L}\p{N}]*\p{Lu})\p{L}[\p{L}\p{N}]*+"
+VALUES = (
+    r"(?:(?<![\p{L}\p{N}])[+-])?[0-9]++(?:,[0-9]{3}(?![0-9]))*(?:\.[0-9]++)?[\p{L}\p{N}]*"
+    rf"|{_CAPITAL}(?:(?:\s{{1,3}}|[-'’]){_CAPITAL}){{0,7}}"
+    r"|[\p{L}\p{N}]++"
+)
+
 # Unit words that are hardly anything else.
 UNITS = (
     "mm cm km kg mg lb lbs oz ft mph kmh ml meter meters metre metres kilometer kilometers "
@@ -45,10 +55,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
 
 
+def values_of(text: Column) -> Column:
+    """Words, where a number or a name of several words is one of them."""
+    return F.regexp_extract_all(text, F.lit(VALUES), F.lit(0))
+
+
 def template_word(word: Column, lowered: Column) -> Column:
     """A placeholder for numbers, units and words with a capital; else the word."""
     return (
-        F.when((word >= "0") & (word < ":"), F.lit(NUMBER))
+        F.when(word < ":", F.lit(NUMBER))  # a digit or a sign comes first
         .when(lowered.isin(UNITS), F.lit(UNIT))
         .when(word != lowered, F.lit(NAME))
         .otherwise(word)
@@ -56,19 +71,26 @@ def template_word(word: Column, lowered: Column) -> Column:
 
 
 def _with_windows(rows: DataFrame, width: int) -> DataFrame:
-    """(key, lower, template, literal, typed) of (key, text): words, and window hashes.
+    """(key, valued, lower, template, literal, typed) of (key, text): words, window hashes.
 
+    Every text is two rows: cut into words, and ``valued`` into words with whole values.
+    The second has template windows only.
     Windows of a power of two words are hashed by doubling. Every array is a column of
     its own before it is used twice, so that none is computed again per use. A text of
     fewer words than a window has one window of all its words.
     """
-    made = rows.select("key", words_of(F.col("text")).alias("words"))
-    made = made.select("key", "words", F.transform("words", F.lower).alias("lower"))
-    made = made.select("key", "lower", F.zip_with("words", "lower", template_word).alias("template"))
-    kept, kinds = ["key", "lower", "template"], {"literal": "lower", "typed": "template"}
+    text = F.col("text")
+    forms = ((False, words_of(text)), (True, values_of(text)))
+    both = F.array(*(F.struct(F.lit(v).alias("valued"), ws.alias("words")) for v, ws in forms))
+    made = rows.select("key", F.inline(both))
+    at = ["key", "valued"]
+    made = made.select(*at, "words", F.transform("words", F.lower).alias("lower"))
+    made = made.select(*at, "lower", F.zip_with("words", "lower", template_word).alias("template"))
+    kept, kinds = [*at, "lower", "template"], {"literal": "lower", "typed": "template"}
     made = made.select(
         *kept, *(F.transform(of, lambda w: F.xxhash64(w)).alias(kind) for kind, of in kinds.items())
     )
+    made = made.withColumn("literal", _unless_valued("literal"))
     step = 1
     while step < width:
         made = made.select(*kept, *(_doubled(kind, step).alias(kind) for kind in kinds))
@@ -83,7 +105,13 @@ def _with_windows(rows: DataFrame, width: int) -> DataFrame:
             .alias(kind)
         )
 
-    return made.select(*kept, *(whole(kind, of) for kind, of in kinds.items()))
+    made = made.select(*kept, *(whole(kind, of) for kind, of in kinds.items()))
+    return made.withColumn("literal", _unless_valued("literal"))
+
+
+def _unless_valued(hashes: str | Column) -> Column:
+    hashes = F.col(hashes) if isinstance(hashes, str) else hashes
+    return F.when(F.col("valued"), F.array().cast("array<bigint>")).otherwise(hashes)
 
 
 def _short_windows(made: DataFrame, widths: Sequence[int]) -> DataFrame:
@@ -100,7 +128,7 @@ def _short_windows(made: DataFrame, widths: Sequence[int]) -> DataFrame:
             starts, lambda i: F.xxhash64(F.array_join(F.slice(of, i, F.col("width")), " "))
         )
 
-    return made.withColumns({"literal": cut("lower"), "typed": cut("template")})
+    return made.withColumns({"literal": _unless_valued(cut("lower")), "typed": cut("template")})
 
 
 def _doubled(hashes: str, step: int) -> Column:
@@ -110,7 +138,7 @@ def _doubled(hashes: str, step: int) -> Column:
 
 
 def _occurrences(rows: DataFrame, width: int, short: Sequence[int] = ()) -> DataFrame:
-    """(key, lower, template, width, pos, literal, hash): every window, by both its hashes.
+    """(key, valued, lower, template, width, pos, literal, hash): every window, by both its hashes.
 
     Windows of the widths ``short`` come beside those of ``width`` words.
     """
@@ -122,9 +150,11 @@ def _occurrences(rows: DataFrame, width: int, short: Sequence[int] = ()) -> Data
 
 def _exploded(made: DataFrame) -> DataFrame:
     both = F.posexplode(F.concat("literal", "typed")).alias("at", "hash")
-    found = made.select("key", "lower", "template", "width", F.size("literal").alias("n"), both)
+    n = F.size("literal").alias("n")
+    found = made.select("key", "valued", "lower", "template", "width", n, both)
     return found.select(
         "key",
+        "valued",
         "lower",
         "template",
         "width",
@@ -143,7 +173,7 @@ def _slots() -> Column:
 
 
 def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFrame:
-    """(hash, item, width, i_pos, i_slots, windows, typed): what documents are compared with.
+    """(hash, width, valued, item, i_pos, i_slots, windows, typed): what is looked for.
 
     Template windows with too few words beside placeholders are no evidence; their
     words themselves are. ``typed`` is the number of those with enough.
@@ -157,16 +187,17 @@ def benchmark_windows(items: DataFrame, width: int, plain_words: int) -> DataFra
     )
     slots = F.when(~F.col("literal"), _slots()).alias("slots")
     known = found.where(F.col("literal") | (plain >= plain_words))
-    known = known.select("key", "width", "pos", "hash", slots).distinct()
-    sizes = known.groupBy("key").agg(
+    known = known.select("key", "valued", "width", "pos", "hash", slots).distinct()
+    sizes = known.groupBy(F.col("key").alias("of"), F.col("valued").alias("form")).agg(
         F.count_distinct("pos").alias("windows"),
         F.count_distinct(F.when(F.col("slots").isNotNull(), F.col("pos"))).alias("typed"),
     )
     return (
-        known.join(sizes.withColumnRenamed("key", "of"), known["key"].eqNullSafe(F.col("of")))
+        known.join(sizes, F.col("key").eqNullSafe(F.col("of")) & (F.col("valued") == F.col("form")))
         .select(
             "hash",
             "width",
+            "valued",
             F.col("key").alias("item"),
             F.col("pos").alias("i_pos"),
             F.col("slots").alias("i_slots"),
@@ -194,6 +225,8 @@ def find_leaks(
     ``min_share`` of them, or that share of its template windows with enough words
     beside placeholders, which are all that other values leave of an item. Windows count once per item position. ``literal`` says that
     the words themselves reach that too; else the item came with other values.
+    Windows of words come first; where they make no leak, ``matched`` and ``windows``
+    are template windows of texts with whole values.
     An item of fewer words than a window is one window. With ``short_inside`` it is
     found anywhere in a document, else only in one that consists of it.
     Null and empty texts hold nothing; rows of equal id and text are one row here; rows
@@ -210,16 +243,17 @@ def find_leaks(
         widths = known.select("width").where(F.col("width") < window).distinct()
         short = sorted(r["width"] for r in widths.collect())
     made = _occurrences(rows, window, short).drop("literal")
-    slots = _slots().alias("slots")
+    slots, on = _slots().alias("slots"), ["width", "valued", "hash"]
     if known.count() <= BROADCAST_WINDOWS:
-        met = made.join(F.broadcast(known), ["width", "hash"]).select("*", slots)
+        met = made.join(F.broadcast(known), on).select("*", slots)
     else:  # windows move, so they leave their texts behind
-        met = made.select("key", "width", "pos", "hash", slots).join(known, ["width", "hash"])
+        met = made.select("key", "pos", *on, slots).join(known, on)
     # Equal words of which other ones are placeholders say nothing about values.
     alike = F.col("i_slots").isNull() | (F.size("i_slots") == F.size("slots"))
     aligned = met.where(alike).select(
         "key",
         "item",
+        "valued",
         "i_pos",
         "windows",
         "typed",
@@ -228,7 +262,7 @@ def find_leaks(
         F.when(F.col("i_slots").isNotNull(), F.arrays_zip("i_slots", "slots")).alias("filled"),
     )
     aligned = stage(aligned, "aligned")
-    by = ["key", "item", "windows", "typed"]
+    by = ["key", "item", "valued", "windows", "typed"]
     consistent = _consistent(aligned.where(~F.col("literal")), by)
     counted = (
         aligned.where("literal")
@@ -248,12 +282,12 @@ def find_leaks(
         return (n >= min_windows) | (n >= F.col("windows") * min_share)
 
     by_template = (F.col("alike") > 0) & (F.col("alike") >= F.col("typed") * min_share)
-    return counted.where(enough(F.col("matched")) | by_template).select(
-        F.col("key").alias(doc_id),
-        F.col("item").alias(item_id),
-        "matched",
-        "windows",
-        enough(F.col("literal")).alias("literal"),
+    leaking = counted.where(enough(F.col("matched")) | by_template)
+    figures = F.struct("matched", "windows", enough(F.col("literal")).alias("literal"))
+    return (
+        leaking.groupBy("key", "item")
+        .agg(F.min_by(figures, "valued").alias("of"))
+        .select(F.col("key").alias(doc_id), F.col("item").alias(item_id), "of.*")
     )
 
 

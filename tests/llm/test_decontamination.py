@@ -137,3 +137,25 @@ def test_items_dense_in_values(rows):
     changed = "Mia, Eve and Joe have 6, 7 and 8 coins. Mia gives Eve 9 coins."
     docs = [(1, f"it was asked of us {changed}"), (2, "we have 3 and 4 coins and gives them 2 of 5")]
     assert leaks(rows, docs, [(1, item)]) == {(1, 1, False)}
+
+
+def test_values_of_other_lengths(rows):
+    item = "Tom has 12 apples and gives 5 to Ann. How many apples are left with Tom?"
+    place = "He moved to Paris for a while and then came back to work in the old bakery."
+    docs = [
+        (1, item.replace("12", "1,400").replace("5", "6.5")),
+        (2, item.replace("12", "14").replace("5", "-6").replace("Tom", "Mary Jane Smith")),
+        (3, "We say: " + place.replace("Paris", "New York")),
+        (4, "Tom has apples, and gives many to Ann. How are you with Tom?"),
+    ]
+    got = leaks(rows, docs, [(1, item), (2, place)])
+    assert {(1, 1, False), (2, 1, False)} <= got and {d for d, _, _ in got} == {1, 2, 3}
+
+
+def test_whole_values(rows):
+    text = "At -1,400.5 km, New York's 3rd O'Neil Street: 3,4 or 1-2 iPhone x2.5é ÉCOLE d'Été"
+    got = rows([(text,)], "text string").select(dec.values_of(dec.F.col("text"))).first()[0]
+    assert got == [
+        "At", "-1,400.5", "km", "New York", "s", "3rd", "O'Neil Street", "3", "4", "or", "1", "2",
+        "iPhone", "x2", "5é", "ÉCOLE", "d", "Été",
+    ]
