@@ -185,7 +185,8 @@ def fit_quality(
 ) -> Attention | float:
     """A model of ``label`` from at most ``limit`` labelled documents not held out.
 
-    Of repeated labels of a document the smallest counts, null labels do not. The
+    Of repeated labels of a document the smallest counts, null labels do not. Of several
+    texts of one id the one of smallest digest is taken. The
     sample's features come to the driver, their number bounded by ``limit``. Where the
     labels found are all equal the result is that share instead of a model, and 0.5
     where there are none.
@@ -201,6 +202,8 @@ def fit_quality(
     texts = docs.select(column(doc_id).alias("id"), text_or_empty(text).alias("text"))
     rows = (
         texts.join(F.broadcast(chosen), "id")  # at most ``limit`` rows
+        .groupBy("id", "label")
+        .agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
         .select("id", "label", _features(F.col("text")).alias("features"))
         .collect()
     )

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -67,3 +68,24 @@ def test_held_out_accuracy(spark):
     )
     held = scored.where("held_out").toPandas()
     assert (held.predicted == held.quality).mean() >= 0.95
+
+
+def test_repeated_ids_are_one_document_of_the_fit(rows, monkeypatch):
+    free = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % quality.FOLDS]
+    first, second = free[:2]
+    many = [(first, f"text number {i} of one id") for i in range(50)]
+    smallest = min((t for _, t in many), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    other = (second, "another text")
+    seen = []
+    start = quality.Attention.start
+
+    def spy(features, share):
+        seen.append((features.copy(), share))
+        return start(features, share)
+
+    monkeypatch.setattr(quality.Attention, "start", spy)
+    labels = rows([(first, 1), (second, 0)], "doc_id long, quality int")
+    for docs in ([*many, other], [(first, smallest), other]):
+        quality.fit_quality(rows(docs, "doc_id long, text string"), labels)
+    assert [s for _, s in seen] == [0.5, 0.5]
+    assert (seen[0][0] == seen[1][0]).all() and len(seen[0][0]) == 2
