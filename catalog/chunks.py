@@ -20,6 +20,7 @@ from catalog.base import (
 from catalog.labels import indexed_orders, prepared_ev
 from driftwalk.operators import splits
 from driftwalk.operators.joins import attach
+from driftwalk.operators.ordering import index_rows
 from driftwalk.sources import chunks as chunk_files, tables
 from driftwalk.staging import new_path
 
@@ -214,10 +215,12 @@ def run_summary(spark, folder):
 def feature_names(spark, folder):
     """The distinct part names as a feature list: written with quotes, commas and blanks
     around them, and a price among them; read back without either."""
-    names = read(spark, folder, "part").select("p_name").distinct().orderBy("p_name")
-    decorated = F.concat(F.lit("  '"), F.col("p_name"), F.lit('" , '))
-    lines = [r[0] for r in names.select(decorated).collect()]
+    names = read(spark, folder, "part").select("p_name").distinct()
+    decorated = names.select(F.concat(F.lit("  '"), F.col("p_name"), F.lit('" , ')).alias("value"))
+    more = spark.createDataFrame([(" 'mid_price',",), ("  ",)], "value string")
     path = new_path(spark, "features")
-    tables.write_feature_names(spark, [*lines, " 'mid_price',", "  "], path)
-    names = tables.read_feature_names(spark, path, "mid_price")
-    return spark.createDataFrame(list(enumerate(names)), "position int, name string")
+    decorated.unionAll(more).write.text(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    cleaned = lines.select(tables.clean_feature_name(F.col("value")).alias("name"))
+    kept = index_rows(cleaned.where(F.col("name") != "mid_price"), ["name"], index_col="position")
+    return kept.select(F.col("position").cast("int").alias("position"), "name")

@@ -121,3 +121,17 @@ def test_runs_are_appended(spark):
     found = {r["run"]: r for r in tables.read_runs(spark, path).collect()}
     assert found["first"]["value"] == -0.5 and found["first"]["artifacts"] == {"scaler": "a"}
     assert found["second"]["value"] is None and found["second"]["finished"] is not None
+
+
+def test_feature_names_query_stays_off_the_driver(spark, monkeypatch):
+    from catalog import chunks as queries
+
+    def never(*_):
+        raise AssertionError("a list of all names on the driver")
+
+    monkeypatch.setattr(tables, "read_feature_names", never)
+    monkeypatch.setattr(tables, "write_feature_names", never)
+    folder = "/root/testdata/sf0.001"
+    got = queries.feature_names(spark, folder).orderBy("position").collect()
+    parts = spark.read.parquet(f"{folder}/part.parquet").select("p_name").distinct().collect()
+    assert [tuple(r) for r in got] == list(enumerate(sorted(r[0] for r in parts)))
