@@ -44,7 +44,7 @@ def test_shuffled_side(rows, monkeypatch):
     changed = other(Alice="Carol", Bob="Dave", _12="7", _30="41", Paris="Rome")
     docs = [(1, ITEM), (4, changed)]
     few = leaks(rows, docs, [(1, ITEM)])
-    monkeypatch.setattr(dec, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(dec, "BROADCAST_BYTES", 0)
     assert leaks(rows, docs, [(1, ITEM)]) == few == {(1, 1, True), (4, 1, False)}
 
 
@@ -159,3 +159,71 @@ def test_whole_values(rows):
         "At", "-1,400.5", "km", "New York", "s", "3rd", "O'Neil Street", "3", "4", "or", "1", "2",
         "iPhone", "x2", "5é", "ÉCOLE", "d", "Été",
     ]
+
+
+def test_values_stand_for_each_other_one_to_one(rows):
+    item = (
+        "When Alice met Bob and Carol met Dave near the old mill, Alice gave Bob some bread while "
+        "Carol gave Dave some milk, so who of Alice or Carol has more left than Dave or Bob in the end?"
+    )
+    one_for_all = re.sub("Alice|Bob|Carol|Dave", "Erin", item)
+    others = item.replace("Alice", "Gina").replace("Bob", "Hugo").replace("Carol", "Ivy")
+    docs = [(1, one_for_all), (2, others.replace("Dave", "Jack"))]
+    assert leaks(rows, docs, [(1, item)]) == {(2, 1, False)}
+    assert leaks(rows, docs, [(1, item)], max_conflicts=9) == {(1, 1, False), (2, 1, False)}
+
+
+def test_names_of_any_length(rows):
+    item = "He moved to Paris for a while and then came back to work in the old bakery."
+    name = " ".join(f"Name{chr(97 + i)}" for i in range(11))
+    got = rows([(item.replace("Paris", name),)], "text string")
+    assert name in got.select(dec.values_of(dec.F.col("text"))).first()[0]
+    docs = [(1, item.replace("Paris", name))]
+    texts = rows([(1, docs[0][1])], 'key long, text string')
+    whole = dec._occurrences(texts, 8).where('valued').count()
+    assert whole == len(item.split()) - 7
+
+
+def test_very_long_texts(rows):
+    """Windows over the cuts between pieces, in a text of 200,000 words."""
+    filler = [f"w{i % 977}x" for i in range(200_000)]
+    item = " ".join(f"item{chr(97 + i)}" for i in range(13))
+    docs = []
+    for d, at in enumerate([0, dec.PIECE - 4, dec.PIECE * 7 - 12, dec.PIECE * 20, 199_987]):
+        docs.append((d, " ".join([*filler[:at], *item.split(), *filler[at + 13 :]])))
+    docs.append((9, " ".join(filler)))
+    short = "itemd iteme itemf"
+    got = leaks(rows, docs, [(1, item), (2, short)], short_inside=True)
+    assert got == {(d, i, True) for d in range(5) for i in (1, 2)}
+
+
+def test_sql_has_the_same_rules(spark, rows, tmp_path):
+    """Short items inside texts, whole values, conflicts and shares, held against the SQL."""
+    import duckdb
+
+    swap = other(Alice="Carol", Bob="Dave", _12="1,407", _30="-4.5", Paris="New York City")
+    items = [
+        (1, ITEM), (2, "What is the capital of Australia?"), (3, "mc squared"),
+        (4, "Tom, Ann and Bob have 3, 4 and 5 coins. Tom gives Ann 2 coins."),
+        (5, "Tom has 12 apples and Ann has 12 pears. How many fruits do they have together?"),
+        (6, " ".join(sentences(3, 1, 40))), (7, None),
+    ]
+    docs = [
+        (1, ITEM), (2, swap), (3, f"we ask: what is the capital of australia? it is e=mc squared. {swap}"),
+        (4, "Mia, Eve and Joe have 6, 7 and 8 coins. Mia gives Eve 9 coins."),
+        (5, "Tom has 14 apples and Ann has 9 pears. How many fruits do they have together?"),
+        (6, "Tom has 1,234,567 apples and Mary-Jane O'Neil has 3-4 pears. How many fruits do they have together?"),
+        (7, re.sub("Alice|Bob|Paris", "Erin", ITEM)), (8, None), (9, ""),
+        *((20 + i, t) for i, t in enumerate(sentences(3, 30, 40))),
+    ]
+    folder = str(tmp_path)
+    rows(docs, DOCS).write.parquet(f"{folder}/documents.parquet")
+    rows(items, BENCH).write.parquet(f"{folder}/benchmark.parquet")
+    base = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    names = ["doc_id", "item_id", "matched", "windows", "literal"]
+    sql = base.execute(f"SELECT {', '.join(names)} FROM ({dec.ORACLES['op2_benchmark_decontamination']})").fetchall()
+    ours = dec.op2_benchmark_decontamination(spark, folder).select(names).collect()
+    assert sorted(map(tuple, ours)) == sorted(sql)
+    assert {1, 2, 3, 4, 5} <= {r.doc_id for r in ours}
