@@ -4,6 +4,7 @@ from driftwalk.llm import (  # noqa: F401  (each registers its query)
     bpe,
     chat_format,
     decontamination,
+    filter_audit,
     line_dedup,
     minhash,
     nearest,
