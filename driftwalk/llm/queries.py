@@ -1,6 +1,7 @@
 """All queries of this subpackage, with the SQL that checks them."""
 
 from driftwalk.llm import (  # noqa: F401  (each registers its query)
+    alignment,
     bpe,
     chat_format,
     decontamination,
@@ -8,6 +9,7 @@ from driftwalk.llm import (  # noqa: F401  (each registers its query)
     line_dedup,
     minhash,
     nearest,
+    personal,
     quality,
     sharding,
     token_counts,
