@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwalk.llm.base import UPPER, column, read, register, sha256, text_or_empty
+from driftwalk.staging import stage
 
 FILTERS = "ABCDE"
 SIGNS = "#$%&*|"
@@ -95,7 +96,8 @@ def contingency(
         F.min("id").alias("least"),
         F.min_by(F.struct(*MEASURES), "id").alias("first"),
     )
-    # A text has a row per part by now.
+    # A text has a row per part by now. Written once, or every text would be cut twice.
+    per_text = stage(per_text, "texts")
     firsts = per_text.groupBy("digest").agg(F.min("least").alias("smallest"))
     firsts = firsts.withColumnRenamed("digest", "of")
     found = per_text.join(firsts, F.col("digest") == F.col("of"))
