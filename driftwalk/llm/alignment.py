@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -27,6 +28,16 @@ from driftwalk.staging import stage
 
 # Pairs held by the most texts are broadcast, so many at most (24 bytes each).
 BROADCAST_PAIRS = 500_000
+# Words kept with their ids of A by a worker, and the longest worth it.
+KEPT_WORDS, KEPT_LENGTH = 300_000, 64
+
+# Characters whose classes are the same in every engine, and words of them as A cuts them.
+_LETTER, _NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u20ac]*+")
+WORDS = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)|\x20?[{_LETTER}]+|\x20?[{_NUMBER}]+"
+    rf"|\x20?[^\t\n\r\x20{_LETTER}{_NUMBER}]+|[\t\n\r\x20]+(?![^\t\n\r\x20])|[\t\n\r\x20]+"
+)
 # Texts aligned before a batch of results is handed on, and linked ids formed at once.
 TEXTS, LINKS = 64, 1 << 20
 
@@ -87,21 +98,64 @@ class Aligner:
         pieces = [_bytes_b(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes = entries, pieces
         self.sizes = tuple(np.array([len(x) for x in side], dtype=np.int64) for side in self.bytes)
-        self.names = tuple([str(i) for i in range(len(side))] for side in self.bytes)
+        # Every id with a comma behind it, then with the sign that ends its side of a group.
+        self.names = [
+            f"{i}{sign}"
+            for side, end in zip(self.bytes, "|;")
+            for sign in (",", end)
+            for i in range(len(side))
+        ]
         self.span = len(pieces)
+        self.words: dict[str, list[int]] = {}
+
+    def encode_a(self, text: str) -> list[int]:
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def ids_a(self, text: str) -> list[int]:
+        """Ids of A, by way of words that were met before where a text is plain.
+
+        The encoder cuts a text into words and encodes each by itself. Of plain
+        characters every engine's classes are the same, so words are cut here too.
+        """
+        if not PLAIN.fullmatch(text):
+            return self.encode_a(text)
+        words, known = WORDS.findall(text), self.words
+        new = {word for word in words if word not in known}
+        if new:
+            self._learn(new)
+        found = list(itertools.chain.from_iterable(map(known.__getitem__, words)))
+        for word in new:
+            if len(word) > KEPT_LENGTH:
+                del known[word]
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        return found
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode words not met yet; those of a blank and letters together, as one text.
+
+        No token reaches over two of these, so the sizes of the tokens part them again.
+        """
+        blank = [word for word in new if word[0] == " " and word[1:].isalpha()]
+        for word in new.difference(blank):
+            self.words[word] = self.encode_a(word)
+        ids = self.encode_a("".join(blank))
+        ends = np.cumsum(self.sizes[0][ids]) if ids else np.zeros(0, dtype=np.int64)
+        stops = np.searchsorted(ends, np.cumsum([len(word.encode()) for word in blank])) + 1
+        start = 0
+        for word, stop in zip(blank, stops.tolist()):
+            self.words[word] = ids[start:stop]
+            start = stop
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A and B; None where the bytes of either are not a blank and the text."""
         if not text:
             return None
         whole = " " + text
-        ids = (
-            self.a.encode(whole, add_special_tokens=False).ids,
-            self.b.encode(text, num_threads=1),
-        )
+        ids = self.ids_a(whole), self.b.encode(text, num_threads=1)
         wanted = whole.encode()
         for side, bytes_of in zip(ids, self.bytes):
-            if b"".join([bytes_of[i] for i in side]) != wanted:
+            if b"".join(map(bytes_of.__getitem__, side)) != wanted:
                 return None
         a, b = (np.array(side, dtype=np.int64) for side in ids)
         return a, b
@@ -109,19 +163,25 @@ class Aligner:
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The group of every token: the number of common ends before its own end."""
         ends = [np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a, b))]
-        common = np.intersect1d(*ends)
-        return tuple(np.searchsorted(common, end) for end in ends)
+        ended = [np.zeros(ends[0][-1] + 1, dtype=bool) for _ in ends]
+        for marks, end in zip(ended, ends):
+            marks[end] = True
+        common = [marks[end] for marks, end in zip(reversed(ended), ends)]
+        return tuple(np.cumsum(shared) - shared for shared in common)
 
     def written(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``: the groups with the ids of A and B in order."""
-        place = np.concatenate([in_a * 2, in_b * 2 + 1])
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        step = np.diff(place, append=place[-1])
-        signs = np.where(step == 0, ",", np.where(place % 2 == 0, "|", ";")).tolist()
-        signs[-1] = ""
-        names = [self.names[0][i] for i in a.tolist()] + [self.names[1][i] for i in b.tolist()]
-        return "".join([names[i] + sign for i, sign in zip(order.tolist(), signs)])
+        ends_a = np.append(np.flatnonzero(np.diff(in_a)), len(a) - 1)
+        ends_b = np.append(np.flatnonzero(np.diff(in_b)), len(b) - 1)
+        n_a, n_b = (len(side) for side in self.bytes)
+        code_a, code_b = a.copy(), b + 2 * n_a
+        code_a[ends_a] += n_a
+        code_b[ends_b] += n_b
+        # Before a token stand all of its side, and of the other those of earlier groups.
+        codes = np.empty(len(a) + len(b), dtype=np.int64)
+        codes[np.arange(len(a)) + np.append(0, ends_b + 1)[in_a]] = code_a
+        codes[np.arange(len(b)) + (ends_a + 1)[in_b]] = code_b
+        return "".join(map(self.names.__getitem__, codes.tolist()))[:-1]
 
     def links(
         self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray

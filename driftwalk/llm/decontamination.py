@@ -102,13 +102,14 @@ def _pieces(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _occurrences(rows: DataFrame, window: int, short: Sequence[int] = ()) -> DataFrame:
-    """(key, valued, width, pos, literal, hash, slots): every window, by both its hashes.
-
-    ``slots`` are the words of a template window that placeholders stand for, in order;
-    null where the words themselves are hashed. Texts with whole values have template
-    windows only. A text of fewer words than a window has one window of all its words;
-    windows of the widths ``short`` come beside whole ones in longer texts. A window is
-    a row with nothing of its text but the words under its placeholders.
+    """(key, valued, width, pos, literal, hash, at, under): every window, by both its hashes.
+
+    ``under`` has the words that placeholders stand for in the whole piece, where the
+    window begins at ``at``; ``_slots`` cuts the window's own. That is done after a join,
+    in the code that explodes windows, so that most windows are never made into rows and
+    no row carries ``under``. Texts with whole values have template windows only. A text
+    of fewer words than a window has one window of all its words; windows of the widths
+    ``short`` come beside whole ones in longer texts.
     """
     made = _pieces(rows, window)
     place = ["key", "valued", "start", "n"]
@@ -123,35 +124,41 @@ def _occurrences(rows: DataFrame, window: int, short: Sequence[int] = ()) -> Dat
     whole, n = F.col("width") == window, F.col("n")
     made = made.where((n > 0) & (whole | (n > F.col("width"))))
     made = made.withColumn("width", F.least(n, F.col("width")))
-    count = F.least(n - F.col("start") - F.col("width") + 1, F.lit(PIECE))
-    at = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-
-    def cut(of: str, i: Column) -> Column:
-        return F.slice(of, i, F.col("width"))
-
-    def row(i: Column, of: str, slots: Column) -> Column:
-        pos, hash_ = F.col("start") + i - 1, F.xxhash64(cut(of, i))
-        return F.struct(pos.alias("pos"), hash_.alias("hash"), slots.alias("slots"))
-
-    none = F.lit(None).cast("array<string>")
-    words = F.transform(at, lambda i: row(i, "lower", none))
-    values = F.transform(
-        at, lambda i: row(i, "template", F.filter(cut("under", i), lambda w: w.isNotNull()))
+    made = made.withColumn("count", F.least(n - F.col("start") - F.col("width") + 1, F.lit(PIECE)))
+    made = made.where(F.col("count") > 0)
+    # First the windows of words, then those of the template.
+    kinds = F.when(F.col("valued"), 1).otherwise(2)
+    made = made.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("count") * kinds - 1)).alias("i"))
+    made = made.withColumn("literal", ~F.col("valued") & (F.col("i") < F.col("count")))
+    made = made.withColumn("at", F.col("i") % F.col("count") + 1)
+    hash_ = F.xxhash64(
+        F.when(F.col("literal"), F.slice("lower", F.col("at"), F.col("width"))).otherwise(
+            F.slice("template", F.col("at"), F.col("width"))
+        )
     )
-    both = F.when(F.col("valued"), values).otherwise(F.concat(words, values))
-    made = made.where(count > 0).select("key", "valued", "width", F.inline_outer(both))
+    pos = F.col("start") + F.col("at") - 1
     return made.select(
-        "key", "valued", "width", "pos", F.col("slots").isNull().alias("literal"), "hash", "slots"
+        "key", "valued", "width", pos.alias("pos"), "literal", hash_.alias("hash"), "at", "under"
     )
 
 
+def _slots() -> Column:
+    """The words under a window, nulls for words that stand for themselves."""
+    return F.when(~F.col("literal"), F.slice("under", F.col("at"), F.col("width")))
+
+
+def _values(slots: str) -> Column:
+    return F.filter(slots, lambda word: word.isNotNull())
+
+
 def benchmark_windows(items: DataFrame, window: int, plain_words: int) -> DataFrame:
     """(hash, width, valued, item, i_pos, i_slots, windows, typed): what is looked for.
 
     Template windows with too few words beside placeholders are no evidence; their
     words themselves are. ``typed`` is the number of those with enough.
     """
-    found = _occurrences(items, window)
+    found = _occurrences(items, window).withColumn("slots", _slots()).drop("at", "under")
+    found = found.withColumn("slots", _values("slots"))
     plain = F.col("width") - F.size("slots")
     known = found.where(F.col("literal") | (plain >= plain_words))
     known = known.select("key", "valued", "width", "pos", "hash", "slots").distinct()
@@ -222,15 +229,13 @@ def find_leaks(
     if short_inside:  # at most ``window`` - 1 widths
         widths = known.select("width").where(F.col("width") < window).distinct()
         short = sorted(r["width"] for r in widths.collect())
-    made = _occurrences(rows, window, short).drop("literal")
-    few = _bytes(known) <= BROADCAST_BYTES
-    met = made.join(F.broadcast(known) if few else known, ["width", "valued", "hash"])
-    # Equal words of which other ones are placeholders say nothing about values. A hash
-    # of words and one of a template are the same only where the template has no value.
-    alike = F.col("i_slots").isNull() | (
-        F.size("i_slots") == F.coalesce(F.size("slots"), F.lit(0))
-    )
-    aligned = met.where(alike).select(
+    made = _occurrences(rows, window, short)
+    few, on = _bytes(known) <= BROADCAST_BYTES, ["width", "valued", "hash"]
+    if few:
+        met = made.join(F.broadcast(known), on).withColumn("slots", _slots())
+    else:  # windows move, so they leave their texts behind
+        met = made.withColumn("slots", _slots()).drop("at", "under", "literal").join(known, on)
+    met = met.select(
         "key",
         "item",
         "valued",
@@ -238,10 +243,20 @@ def find_leaks(
         "windows",
         "typed",
         (F.col("pos") - F.col("i_pos")).alias("shift"),
-        F.col("i_slots").isNull().alias("literal"),
-        F.when(F.col("i_slots").isNotNull(), F.arrays_zip("i_slots", "slots")).alias("filled"),
+        "i_slots",
+        "slots",
+    )
+    met = stage(met, "met").withColumn("slots", _values("slots"))
+    # Equal words of which other ones are placeholders say nothing about values. A hash
+    # of words and one of a template are the same only where the template has no value.
+    alike = F.col("i_slots").isNull() | (
+        F.size("i_slots") == F.coalesce(F.size("slots"), F.lit(0))
+    )
+    literal = F.col("i_slots").isNull()
+    filled = F.when(~literal, F.arrays_zip("i_slots", "slots"))
+    aligned = met.where(alike).select(
+        *met.columns[:-2], literal.alias("literal"), filled.alias("filled")
     )
-    aligned = stage(aligned, "aligned")
     by = ["key", "item", "valued", "windows", "typed"]
     consistent = _consistent(aligned.where(~F.col("literal")), by, max_conflicts)
     counted = (

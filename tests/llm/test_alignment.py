@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from driftwalk.llm import alignment as al
 from made import sentences
@@ -103,3 +104,14 @@ def test_odd_tables(odd_docs, rows):
     )
     row = al.align_tokens(clash, al.public()).first()
     assert (row.doc_id, row.n_a, row.n_groups) == (1, 2, 2)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(
+    [" ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "'S", "don't", "A", "word", "É", "ʼ", "ß", "²", "½", "12", "_",
+     "…", "“", "€", "- ", "\xad", "¡", "´", "×", "ǅ", "ƻ", "~", "<|endoftext|>", "(", "x" * 70]
+), max_size=12).map("".join))
+def test_words_met_before_give_the_same_ids(text):
+    aligner = al._aligner(al.public())
+    whole = " " + text
+    assert aligner.ids_a(whole) == aligner.encode_a(whole)
