@@ -8,6 +8,7 @@ from catalog import (  # noqa: F401  (each registers its queries)
     scaling,
     streams,
     tasks,
+    training,
     walkforward,
 )
 
