@@ -9,7 +9,7 @@ series like the filter does.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ from driftwalk.operators.moments import (
     with_spreads,
 )
 from driftwalk.operators.ordering import index_rows
-from driftwalk.operators.recurrence import decayed_sums
 from driftwalk.operators.splits import SPLIT
 from driftwalk.operators.tasks import QUERY, SUPPORT, TASK
+from driftwalk.staging import stage
 
 SCORES = ("corr_loss", "mse", "concordance", "pearson")
 
@@ -106,50 +106,6 @@ def score_columns(scores: Column, suffix: str = "") -> list[Column]:
     return [_null_if_nan(scores[i]).alias(f"{n}{suffix}") for i, n in enumerate(SCORES)]
 
 
-def _entries(moments: Column, origin: Column, variables: int) -> Column:
-    """A moment row about ``origin`` as one array that adds up: the count, the sums and
-    the sums of products of differences from it; zeros where the row is missing."""
-    size = 1 + variables + variables * (variables + 1) // 2
-
-    @F.arrow_udf("array<double>")
-    def about(n: pa.Array, sums: pa.Array, spreads: pa.Array, origin: pa.Array) -> pa.Array:
-        counts = np.nan_to_num(n.to_numpy(zero_copy_only=False).astype(np.float64))
-        some = counts > 0
-        out = np.zeros((len(counts), size))
-        if some.any():
-            upper = np.triu_indices(variables)
-            count = counts[some, None]
-            apart = stacked(sums)[some] / count - stacked(origin)[some]
-            products = apart[:, upper[0]] * apart[:, upper[1]]
-            out[some] = np.hstack([count, apart * count, stacked(spreads)[some] + products * count])
-        return as_lists(out)
-
-    return about(*_moment_columns(moments), origin)
-
-
-def _from_entries(entries: Column, origin: Column, variables: int) -> Column:
-    """The moment row of summed entries."""
-    kind = "n double, sums array<double>, spreads array<double>"
-
-    @F.arrow_udf(kind)
-    def row(entries: pa.Array, origin: pa.Array) -> pa.Array:
-        values = stacked(entries)
-        n, sums, products = np.split(values, [1, 1 + variables], axis=1)
-        upper = np.triu_indices(variables)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            spreads = products - sums[:, upper[0]] * sums[:, upper[1]] / n
-        found = [pa.array(n[:, 0]), as_lists(sums + n * stacked(origin)), as_lists(spreads)]
-        return pa.StructArray.from_arrays(found, ["n", "sums", "spreads"])
-
-    return row(entries, origin)
-
-
-def _collected(position: str, value: str) -> Column:
-    """Entries of one moment row, gathered in order."""
-    pairs = F.array_sort(F.collect_list(F.struct(position, value)))
-    return F.transform(pairs, lambda p: p[value])
-
-
 def merge_moments(moments: DataFrame, variables: int, by: Sequence[str] = ()) -> DataFrame:
     """Add moment rows up per group (``variables`` counts the target)."""
     return merged_moments(with_spreads(moments), list(by))
@@ -244,6 +200,105 @@ def predict_queries(
     return joined.withColumn("prediction", value).drop("coefficients")
 
 
+State = tuple[float, np.ndarray, np.ndarray]
+
+
+def _together(a: State, b: State) -> State:
+    """Moments of both: spreads grow by how the means differ."""
+    if a[0] <= 0 or b[0] <= 0:
+        return a if b[0] <= 0 else b
+    total = a[0] + b[0]
+    apart = b[1] / b[0] - a[1] / a[0]
+    upper = np.triu_indices(len(apart))
+    between = apart[upper[0]] * apart[upper[1]] * (a[0] * b[0] / total)
+    return total, a[1] + b[1], a[2] + b[2] + between
+
+
+def _faded(state: State, share: float) -> State:
+    return state[0] * share, state[1] * share, state[2] * share
+
+
+def _read_states(batch: pa.RecordBatch, side: str) -> list[State]:
+    counts = batch.column(f"{side}_n").to_numpy(zero_copy_only=False)
+    return list(zip(counts, stacked(batch.column(f"{side}_sums")), stacked(batch.column(f"{side}_spreads"))))
+
+
+def _state_arrays(states: Sequence[State]) -> list[pa.Array]:
+    counts, sums, spreads = zip(*states)
+    return [pa.array(counts, pa.float64()), as_lists(np.array(sums)), as_lists(np.array(spreads))]
+
+
+def _flat(moments: str, side: str, variables: int) -> list[Column]:
+    """A moment struct as three columns, zeros where it is missing."""
+    pairs = variables * (variables + 1) // 2
+    n = F.coalesce(F.col(moments)["n"].cast("double"), F.lit(0.0))
+    arrays = (
+        F.coalesce(F.col(moments)[c], F.array_repeat(F.lit(0.0), size)).alias(f"{side}_{c}")
+        for c, size in (("sums", variables), ("spreads", pairs))
+    )
+    return [n.alias(f"{side}_n"), *arrays]
+
+
+# Tasks of a series that are folded one after the other.
+PART_TASKS = 1024
+_KEPT = "kept_n double, kept_sums array<double>, kept_spreads array<double>"
+
+
+def _folds(
+    rows: DataFrame, keys: Sequence[str], start: State, keep: float, every: bool
+) -> DataFrame:
+    """Fold ``own`` moments per (keys, part) in order of ``step``.
+
+    The state after a row is ``keep`` times the state before it plus the row's own
+    moments. With ``every`` each row gets the state before it, else each part the one
+    after its last row. Parts begin with ``start``, or with the own moments of a row of
+    step -1, which is no row of the result. Rows stream through sorted, so that a task
+    holds one state and one batch however long a part is.
+    """
+    group = [*keys, "part"]
+    given = [c for c in rows.columns if not c.startswith("own_")] if every else group
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in given)
+    names = [*given, "kept_n", "kept_sums", "kept_spreads"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, kinds = None, start, []
+        ended: list[tuple[tuple, State]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(c).type for c in group]
+            columns = [batch.column(c).to_pylist() for c in (*group, "step")]
+            shown, states = [], []
+            for i, ((*key, step), own) in enumerate(zip(zip(*columns), _read_states(batch, "own"))):
+                if key != current:
+                    if current is not None:
+                        ended.append((current, state))
+                    current, state = key, start
+                if step < 0:
+                    state = own
+                    continue
+                shown.append(i)
+                states.append(state)
+                state = _together(_faded(state, keep), own)
+            if every and shown:
+                kept = batch.select(given).take(pa.array(shown))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *_state_arrays(states)], names)
+            elif not every:
+                yield from parts(ended, kinds)
+            ended.clear()
+        if not every and current is not None:
+            yield from parts([(current, state)], kinds)
+
+    def parts(ended: list[tuple[tuple, State]], kinds: list) -> Iterator[pa.RecordBatch]:
+        if ended:
+            found, states = zip(*ended)
+            arrays = [pa.array(c, kind) for c, kind in zip(zip(*found), kinds)]
+            yield pa.RecordBatch.from_arrays([*arrays, *_state_arrays(states)], names)
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, "step")
+    return dealt.mapInArrow(fold, f"{schema}, {_KEPT}")
+
+
 def online_pass(
     moments: DataFrame,
     variables: int,
@@ -253,6 +308,7 @@ def online_pass(
     penalty: float = 0.0,
     prior: DataFrame | None = None,
     bounded: bool | None = None,
+    part_tasks: int = PART_TASKS,
 ) -> DataFrame:
     """Tasks in time order, each fitted with what earlier tasks left behind.
 
@@ -260,49 +316,60 @@ def online_pass(
     query moments; a task is fitted to the state before it plus its support
     moments. ``prior`` (one moment row, such as the mean train task) is the
     state at the start.
+
+    States are whole moment rows, merged about their means. A series is folded in parts
+    of ``part_tasks`` tasks side by side: first the sum of every part, then what is
+    carried into each part (a fold over the sums), then the tasks from there. Where no
+    series has more than one part, that is one pass.
     """
     series = list(series)
     phase = F.array_position(F.array(*[F.lit(p) for p in phases]), F.col(SPLIT))
-    levels = merge_moments(moments.filter(phase > 0), variables, series)
-    levels = levels.select(*series, F.transform("sums", lambda s: s / F.col("n")).alias("origin"))
-    tasks = by_task(moments, series).withColumn("phase", phase).filter("phase > 0")
+    tasks = by_task(moments.filter(phase > 0), series).withColumn("phase", phase)
     tasks = index_rows(tasks, ["phase", TASK], series, "step", bounded=bounded)
-    if series:
-        tasks = attach(tasks, broadcast_if_small(levels), series)
-    else:
-        tasks = tasks.withColumn("origin", levels.select("origin").scalar())
-    origin = F.col("origin")
-    if prior is None:
-        start = F.lit(None).cast("struct<n:bigint,sums:array<double>,spreads:array<double>>")
-    else:
-        start = with_spreads(prior).select(F.struct("n", "sums", "spreads")).scalar()
-    entries = F.arrays_zip(
-        _entries(F.col(QUERY), origin, variables).alias("query"),
-        _entries(F.col(SUPPORT), origin, variables).alias("support"),
-        _entries(start, origin, variables).alias("prior"),
-    )
-    long = tasks.select(*series, "step", F.posexplode(entries).alias("entry", "of"))
-    long = long.select(
-        *series,
-        "step",
-        "entry",
-        F.col("of.query").alias("own"),
-        F.col("of.query").alias("kept"),
-        F.col("of.support").alias("support"),
-        F.col("of.prior").alias("prior"),
-    )
-    long = decayed_sums(long, ["kept"], keep, [*series, "entry"], "step")
-    # The state before a task: what the task itself added is taken off again.
-    before = (F.col("kept") - F.col("own")) / keep
-    before = before + F.pow(F.lit(keep), F.col("step")) * F.col("prior")
-    states = (
-        long.withColumn("value", before + F.col("support"))
-        .groupBy(*series, "step")
-        .agg(_collected("entry", "value").alias("entries"))
-    )
-    fits = attach(tasks, states, [*series, "step"]).withColumn(
-        "state", _from_entries(F.col("entries"), origin, variables)
+    tasks = tasks.withColumn("part", F.expr(f"step div {part_tasks}L"))
+    tasks = tasks.select(
+        *series, "part", "step", SPLIT, TASK, *_flat(QUERY, "own", variables), SUPPORT, QUERY
     )
+    tasks = stage(tasks, "tasks")
+    pairs = variables * (variables + 1) // 2
+    nothing = start = (0.0, np.zeros(variables), np.zeros(pairs))
+    row = None if prior is None else with_spreads(prior).first()
+    if row is not None and row["n"]:
+        start = float(row["n"]), np.array(row["sums"]), np.array(row["spreads"])
+    last = tasks.agg(F.max("part")).first()[0]
+    if last:
+        own = ["own_n", "own_sums", "own_spreads"]
+        sums = _folds(tasks.select(*series, "part", "step", *own), series, nothing, keep, every=False)
+        sums = sums.withColumnsRenamed({f"kept_{c}": f"own_{c}" for c in ("n", "sums", "spreads")})
+        whole = F.lit(0).cast("long").alias("part")
+        ahead = sums.select(*series, whole, F.col("part").alias("step"), *own)
+        carried = _folds(ahead, series, start, keep**part_tasks, every=True)
+        carried = carried.select(
+            *series,
+            F.col("step").alias("part"),
+            F.lit(-1).cast("long").alias("step"),
+            *(F.col(f"kept_{c}").alias(f"own_{c}") for c in ("n", "sums", "spreads")),
+        )
+        tasks = tasks.unionByName(carried, allowMissingColumns=True)
+    fits = _folds(tasks, series, start, keep, every=True)
+    fits = fits.withColumn("state", _added(*(f"kept_{c}" for c in ("n", "sums", "spreads")), variables))
     fits = fits.withColumn("coefficients", fitted(F.col("state"), penalty))
     fits = fits.withColumn("scores", scored(F.col("coefficients"), F.col(QUERY)))
     return fits.select(*series, SPLIT, TASK, "coefficients", *score_columns(F.col("scores")))
+
+
+def _added(n: str, sums: str, spreads: str, variables: int) -> Column:
+    """The state with a task's support moments."""
+
+    @F.arrow_udf("n double, sums array<double>, spreads array<double>")
+    def add(
+        n: pa.Array, sums: pa.Array, spreads: pa.Array, m: pa.Array, more: pa.Array, wider: pa.Array
+    ) -> pa.Array:
+        first, second = (
+            zip(c.to_numpy(zero_copy_only=False), stacked(a), stacked(b))
+            for c, a, b in ((n, sums, spreads), (m, more, wider))
+        )
+        arrays = _state_arrays([_together(a, b) for a, b in zip(first, second)])
+        return pa.StructArray.from_arrays(arrays, ["n", "sums", "spreads"])
+
+    return add(n, sums, spreads, *_flat(SUPPORT, "support", variables))

@@ -138,6 +138,30 @@ def test_online_pass_equals_fold(found, keep, with_prior):
             state = keep * state + gram(x[query], y[query])
 
 
+@pytest.mark.parametrize("keep", [0.0, 0.4, 1.0])
+def test_series_of_many_parts(found, keep):
+    """States carried from part to part are those of one part."""
+
+    def states(series, part_tasks):
+        rows = found.filter("s = 'a'") if not series else found
+        train = found.filter("task_id < 2 and part = 'query'")
+        prior = walkforward.merge_moments(train, 4)
+        fits = walkforward.online_pass(
+            rows, 4, keep, series, ["all"], prior=prior, part_tasks=part_tasks
+        )
+        keys = [*series, "task_id"]
+        return {tuple(r[k] for k in keys): r["coefficients"] for r in fits.collect()}
+
+    for series in (["s"], []):
+        whole = states(series, 1000)
+        assert len(whole) == COUNT * max(1, 2 * len(series))
+        for part_tasks in (1, 2, 5):
+            parts = states(series, part_tasks)
+            assert parts.keys() == whole.keys()
+            for key, weights in parts.items():
+                np.testing.assert_allclose(weights, whole[key], atol=1e-9)
+
+
 def test_collinear_and_missing_support(spark):
     rows = [
         ("all", 0, "support", 4, [10.0, 20.0, 10.0], [30.0, 60.0, 30.0, 120.0, 60.0, 30.0]),
