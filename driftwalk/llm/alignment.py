@@ -28,8 +28,8 @@ from driftwalk.staging import stage
 
 # Pairs held by the most texts are broadcast, so many at most (24 bytes each).
 BROADCAST_PAIRS = 500_000
-# Words kept with their ids of A by a worker, and the longest worth it.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 64
+# Words of a kind kept with their ids of A by a worker, and the longest worth it.
+KEPT_WORDS, KEPT_LENGTH = 200_000, 64
 
 # Characters whose classes are the same in every engine, and words of them as A cuts them.
 _LETTER, _NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -106,59 +106,71 @@ class Aligner:
             for i in range(len(side))
         ]
         self.span = len(pieces)
+        # Words met lately and those before; what is still in use moves over.
         self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def encode_a(self, text: str) -> list[int]:
         return self.a.encode(text, add_special_tokens=False).ids
 
-    def ids_a(self, text: str) -> list[int]:
-        """Ids of A, by way of words that were met before where a text is plain.
+    def bytes_of(self, side: int, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes[side].__getitem__, ids))
+
+    def ids_a(self, text: str) -> list[int] | None:
+        """Ids of A, by way of words met before in plain texts; None if they do not come back.
 
         The encoder cuts a text into words and encodes each by itself. Of plain
         characters every engine's classes are the same, so words are cut here too.
         """
-        if not PLAIN.fullmatch(text):
-            return self.encode_a(text)
-        words, known = WORDS.findall(text), self.words
-        new = {word for word in words if word not in known}
-        if new:
-            self._learn(new)
-        found = list(itertools.chain.from_iterable(map(known.__getitem__, words)))
-        for word in new:
-            if len(word) > KEPT_LENGTH:
-                del known[word]
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        return found
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode words not met yet; those of a blank and letters together, as one text.
-
-        No token reaches over two of these, so the sizes of the tokens part them again.
+        known = self.words
+        if PLAIN.fullmatch(text):
+            words = WORDS.findall(text)
+            new = {word for word in words if word not in known}
+            again = {word: self.older[word] for word in new if word in self.older}
+            known.update(again)
+            new.difference_update(again)
+            if not new or self._learn(new):
+                found = list(itertools.chain.from_iterable(map(known.__getitem__, words)))
+                for word in new:
+                    if len(word) > KEPT_LENGTH:
+                        del known[word]
+                if len(known) > KEPT_WORDS:
+                    self.older, self.words = known, {}
+                return found
+        found = self.encode_a(text)
+        return found if self.bytes_of(0, found) == text.encode() else None
+
+    def _learn(self, new: set[str]) -> bool:
+        """Encode words not met yet; false if one does not come back.
+
+        Those of a blank and letters are one text: no token reaches over two of them,
+        so the sizes of the tokens part them again.
         """
         blank = [word for word in new if word[0] == " " and word[1:].isalpha()]
-        for word in new.difference(blank):
-            self.words[word] = self.encode_a(word)
-        ids = self.encode_a("".join(blank))
-        ends = np.cumsum(self.sizes[0][ids]) if ids else np.zeros(0, dtype=np.int64)
-        stops = np.searchsorted(ends, np.cumsum([len(word.encode()) for word in blank])) + 1
-        start = 0
-        for word, stop in zip(blank, stops.tolist()):
-            self.words[word] = ids[start:stop]
-            start = stop
+        made = {word: self.encode_a(word) for word in new.difference(blank)}
+        if any(self.bytes_of(0, ids) != word.encode() for word, ids in made.items()):
+            return False
+        if blank:
+            ids, whole = self.encode_a("".join(blank)), [word.encode() for word in blank]
+            if self.bytes_of(0, ids) != b"".join(whole):
+                return False
+            stops = np.cumsum([len(word) for word in whole])
+            stops = np.searchsorted(np.cumsum(self.sizes[0][ids]), stops) + 1
+            start = 0
+            for word, stop in zip(blank, stops.tolist()):
+                made[word] = ids[start:stop]
+                start = stop
+        self.words.update(made)
+        return True
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A and B; None where the bytes of either are not a blank and the text."""
-        if not text:
+        if not text or (a := self.ids_a(" " + text)) is None:
+            return None
+        b = self.b.encode(text, num_threads=1)
+        if self.bytes_of(1, b) != b" " + text.encode():
             return None
-        whole = " " + text
-        ids = self.ids_a(whole), self.b.encode(text, num_threads=1)
-        wanted = whole.encode()
-        for side, bytes_of in zip(ids, self.bytes):
-            if b"".join(map(bytes_of.__getitem__, side)) != wanted:
-                return None
-        a, b = (np.array(side, dtype=np.int64) for side in ids)
-        return a, b
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The group of every token: the number of common ends before its own end."""

@@ -109,9 +109,18 @@ def test_odd_tables(odd_docs, rows):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(
     [" ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "'S", "don't", "A", "word", "É", "ʼ", "ß", "²", "½", "12", "_",
-     "…", "“", "€", "- ", "\xad", "¡", "´", "×", "ǅ", "ƻ", "~", "<|endoftext|>", "(", "x" * 70]
+     "\n\n x", " \n", "\x7e", "ab\ncd ef", "…", "“", "€", "- ", "\xad", "¡", "´", "×", "ǅ", "ƻ", "~", "<|endoftext|>", "(", "x" * 70]
 ), max_size=12).map("".join))
 def test_words_met_before_give_the_same_ids(text):
     aligner = al._aligner(al.public())
     whole = " " + text
     assert aligner.ids_a(whole) == aligner.encode_a(whole)
+    assert aligner.bytes_of(0, aligner.encode_a(whole)) == whole.encode()
+
+
+def test_words_kept_change_nothing(monkeypatch):
+    monkeypatch.setattr(al, "KEPT_WORDS", 5)
+    aligner = al.Aligner(al.public())
+    for text in sentences(9, 30):
+        assert aligner.ids_a(" " + text) == aligner.encode_a(" " + text)
+        assert len(aligner.words) + len(aligner.older) < 300
