@@ -21,7 +21,7 @@ from catalog.labels import indexed_orders, prepared_ev
 from driftwalk.operators import splits
 from driftwalk.operators.joins import attach
 from driftwalk.operators.ordering import index_rows
-from driftwalk.sources import chunks as chunk_files, tables
+from driftwalk.sources import chunks as chunk_files, files, tables
 from driftwalk.staging import new_path
 
 EVENT_COLUMNS = "event_id, user_id, event_type, value"
@@ -224,3 +224,37 @@ def feature_names(spark, folder):
     cleaned = lines.select(tables.clean_feature_name(F.col("value")).alias("name"))
     kept = index_rows(cleaned.where(F.col("name") != "mid_price"), ["name"], index_col="position")
     return kept.select(F.col("position").cast("int").alias("position"), "name")
+
+
+def stored_chunks(spark, folder, path):
+    """Orders in a file per chunk, whose rows are in order and whose names are too."""
+    rows = indexed_orders(spark, folder).withColumn(
+        "chunk", F.lpad(F.expr(f"row_idx div {CHUNK}").cast("string"), 9, "0")
+    )
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk", "row_idx")
+    dealt.write.partitionBy("chunk").parquet(path)
+
+
+@register(
+    "file_infos",
+    f"""WITH {OR_SQL} SELECT CAST(row_idx // {CHUNK} AS BIGINT) AS chunk_id, count(*) AS length, CAST(1 AS INT) AS row_groups
+        FROM ori GROUP BY 1""",
+)
+def file_infos(spark, folder):
+    """Rows and row groups of files on storage, read from their footers."""
+    path = new_path(spark, "files")
+    stored_chunks(spark, folder, path)
+    found = files.file_infos(spark, [path])
+    chunk = F.regexp_extract("filename", "chunk=([0-9]+)/", 1).cast("bigint")
+    return found.select(chunk.alias("chunk_id"), "length", "row_groups")
+
+
+@register(
+    "row_index_by_files",
+    f"WITH {OR_SQL} SELECT o_orderkey, CAST(row_idx AS BIGINT) AS row_idx FROM ori",
+)
+def row_index_by_files(spark, folder):
+    """The index of rows that carry no order but that of their files."""
+    path = new_path(spark, "files")
+    stored_chunks(spark, folder, path)
+    return files.index_by_files(spark, [path], columns=["o_orderkey"])

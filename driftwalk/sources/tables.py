@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from driftwalk.sources.files import checked_columns
+
 RUNS_SCHEMA = "run string, finished timestamp, metric string, value double, artifacts map<string,string>"
 
 
@@ -40,21 +42,15 @@ def read_files(
 ) -> DataFrame:
     """Several Parquet files as one table of keys, features and label.
 
-    Every file's columns are checked, from its footer. Without a feature list
-    all columns of the first file but label and keys are features.
+    Every file's columns are checked by a job that reads footers only. Without a
+    feature list all columns of the first file but label and keys are features.
     """
     if not paths:
         raise ValueError("no files given")
-    names = [spark.read.parquet(path).columns for path in paths]
-    if features is None:
-        features = [c for c in names[0] if c != label and c not in keys]
-    if label in features:
+    if features is not None and label in features:
         raise ValueError(f"label column {label!r} must not be a feature")
+    features = checked_columns(spark, paths, features, [*keys, label])
     wanted = [*keys, *features, label]
-    for path, columns in zip(paths, names):
-        missing = [c for c in wanted if c not in columns]
-        if missing:
-            raise ValueError(f"columns {missing} not found in {path}")
     return spark.read.parquet(*paths).select(*wanted)
 
 
