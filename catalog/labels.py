@@ -286,3 +286,13 @@ def prepare_features(spark, folder):
     return prepared_ev(spark, folder).select(
         "user_id", "row_idx", "f1", "f2", "f3", r6("label").alias("label")
     )
+
+
+@register(
+    "row_index_in_levels",
+    f"WITH {OR_SQL} SELECT o_orderkey, CAST(row_idx AS BIGINT) AS row_idx FROM ori",
+)
+def row_index_in_levels(spark, folder):
+    """The index of one long series whose slices are summed in blocks of blocks."""
+    rows = ordering.index_rows(orders(spark, folder), OR_ORDER, slices=30, block_slices=4)
+    return rows.select("o_orderkey", "row_idx")

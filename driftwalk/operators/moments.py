@@ -35,6 +35,9 @@ MOMENTS = ("sums", "products", "spreads")
 # gives the same moments.
 WIDE = 8
 
+# Keys by which the rows of a whole table are merged before they become one.
+FAN = 256
+
 
 def correlation_loss(
     n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column
@@ -265,7 +268,8 @@ def merged_moments(df: DataFrame, group: list[str]) -> DataFrame:
     """One moment row per group of moment rows.
 
     Rows are merged within each Arrow batch before they move, so a group of very many
-    rows reaches its task as one row per batch.
+    rows reaches its task as one row per batch. Without a group they are merged in three
+    levels: a row per task, a row per ``FAN`` of keys dealt to tasks, and these.
     """
     schema = _moment_schema(df, group)
 
@@ -296,7 +300,30 @@ def merged_moments(df: DataFrame, group: list[str]) -> DataFrame:
             yield open_group
 
     rows = df.filter("n > 0").select(*group, F.col("n").cast("long").alias("n"), *MOMENTS)
-    partial = rows.mapInArrow(within, schema)
     if not group:
-        return partial.repartition(1).mapInArrow(across, schema)
+        return _merged_as_tree(rows.mapInArrow(across, schema), schema)
+    partial = rows.mapInArrow(within, schema)
     return partial.repartition(*group).sortWithinPartitions(*group).mapInArrow(across, schema)
+
+
+def _merged_as_tree(rows: DataFrame, schema: StructType) -> DataFrame:
+    """One row of moment rows, of which each task has made one: by key, then all keys."""
+    dealt = rows.withColumn("__deal", F.spark_partition_id() % FAN)
+    few = merged_moments(dealt, ["__deal"]).drop("__deal")
+    # As many rows as there are keys at most.
+    gathered = few.agg(*(F.collect_list(c).alias(c) for c in ("n", "sums", "spreads")))
+
+    @F.arrow_udf(schema)
+    def whole(n: pa.Array, sums: pa.Array, spreads: pa.Array) -> pa.Array:
+        columns = (
+            n.flatten().to_numpy().astype(float),
+            stacked(sums.flatten()),
+            stacked(spreads.flatten()),
+        )
+        total, added, between = _merge(*columns)
+        return pa.StructArray.from_arrays(
+            _as_arrays([total], added[None], between[None]), names=schema.names
+        )
+
+    some = gathered.where(F.size("n") > 0)
+    return some.select(whole("n", "sums", "spreads").alias("of")).select("of.*")

@@ -20,6 +20,10 @@ ROW = "row_idx"
 PART = "__part"
 PART_ROWS = 65_536
 BOUNDED_ROWS = 1_000_000
+# Bytes from which a table is cut into more slices than the session shuffles to, and
+# slices whose totals one window sums up.
+SLICE_BYTES = 256 << 20
+BLOCK_SLICES = 1024
 
 _SLICE = "__slice"
 _POSITION = "__position"
@@ -37,6 +41,23 @@ def groups_are_bounded(
     return (largest or 0) <= row_limit
 
 
+def _plain_bytes(df: DataFrame) -> int | None:
+    """Estimated size of a table that is read and filtered; None where joins or the like
+    make the estimate a guess."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(word in plan.toString() for word in ("Join", "Generate", "Aggregate", "Expand")):
+        return None
+    return int(str(plan.stats().sizeInBytes()))
+
+
+def _slice_count(df: DataFrame, slices: int | None) -> tuple[int | None, int]:
+    """Slices to ask for (None: as many as the session shuffles to), and their number."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None and (size := _plain_bytes(df)) and size > usual * SLICE_BYTES:
+        slices = -(-size // SLICE_BYTES)
+    return slices, slices or usual
+
+
 def _sliced(df: DataFrame, keys: Sequence[str], slices: int | None) -> DataFrame:
     """Range-partition by ``keys``, sort, and store slice number and position."""
     spread = (
@@ -52,17 +73,37 @@ def _sliced(df: DataFrame, keys: Sequence[str], slices: int | None) -> DataFrame
     )
 
 
-def _before_slice(per_slice: DataFrame, group: Sequence[str], names: list[str]) -> DataFrame:
-    """Totals of all earlier slices of the group; one small row per slice."""
-    earlier = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy(_SLICE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    kept = [c for c in per_slice.columns if c not in names]
-    return per_slice.select(
-        *kept,
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}__before") for n in names],
+def _totals_before(
+    rows: DataFrame,
+    group: Sequence[str],
+    names: list[str],
+    count: int,
+    block: int,
+    at: str = _SLICE,
+) -> DataFrame:
+    """Totals of all earlier rows of the group, one small row per place ``at``.
+
+    Up to ``block`` places of a group are one window. More are summed up in blocks of
+    that many, whose own totals before are found in the same way, so that no task ever
+    orders more than a block, however many slices a table has.
+    """
+    kept = [c for c in rows.columns if c not in names]
+    if count <= block:
+        earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy(at)
+    else:
+        rows = rows.withColumn(f"{at}_block", F.expr(f"{at} div {block}"))
+        earlier = Window.partitionBy(*group, f"{at}_block").orderBy(at)
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    inside = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}__before") for n in names]
+    if count <= block:
+        return rows.select(*kept, *inside)
+    keys = [*group, f"{at}_block"]
+    blocks = rows.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    blocks = _totals_before(blocks, group, names, -(-count // block), block, f"{at}_block")
+    blocks = blocks.withColumnsRenamed({f"{n}__before": f"{n}__ahead" for n in names})
+    both = attach(rows.select(*kept, f"{at}_block", *inside), blocks, keys)
+    return both.select(
+        *kept, *[(F.col(f"{n}__before") + F.col(f"{n}__ahead")).alias(f"{n}__before") for n in names]
     )
 
 
@@ -73,6 +114,7 @@ def running_sums(
     sums: dict[str, Column],
     bounded: bool | None = None,
     slices: int | None = None,
+    block_slices: int = BLOCK_SLICES,
 ) -> DataFrame:
     """Inclusive running sums in order within each group.
 
@@ -90,9 +132,10 @@ def running_sums(
         )
         return df.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
     names = list(sums)
+    slices, count = _slice_count(df, slices)
     laid = _sliced(df.withColumns(sums), [*group, *order], slices)
     per_slice = laid.groupBy(*group, _SLICE).agg(*[F.sum(n).alias(n) for n in names])
-    before = broadcast_if_small(_before_slice(per_slice, group, names))
+    before = broadcast_if_small(_totals_before(per_slice, group, names, count, block_slices))
     inside = (
         Window.partitionBy(*group, _SLICE)
         .orderBy(_POSITION)
@@ -113,6 +156,7 @@ def index_rows(
     index_col: str = ROW,
     bounded: bool | None = None,
     slices: int | None = None,
+    block_slices: int = BLOCK_SLICES,
 ) -> DataFrame:
     """Add a contiguous 0-based row index per series; keep an existing one.
 
@@ -127,12 +171,15 @@ def index_rows(
     if bounded and series:
         ordered = Window.partitionBy(*series).orderBy(*order)
         return df.withColumn(index_col, F.row_number().over(ordered).cast("bigint") - 1)
+    slices, count = _slice_count(df, slices)
     laid = _sliced(df, [*series, *order], slices)
     per_slice = laid.groupBy(*series, _SLICE).agg(
         F.min(_POSITION).alias("__first_position"),
         F.count(F.lit(1)).alias("__rows"),
     )
-    before = broadcast_if_small(_before_slice(per_slice, series, ["__rows"]))
+    before = broadcast_if_small(
+        _totals_before(per_slice, series, ["__rows"], count, block_slices)
+    )
     return (
         attach(laid, before, [*series, _SLICE])
         .withColumn(
@@ -201,7 +248,10 @@ def number_across_parts(
     series = list(series)
     per_part = df.groupBy(*series, PART).agg(F.count(F.lit(1)).alias("__rows"))
     per_part = per_part.withColumnRenamed(PART, _SLICE)
-    before = _before_slice(per_part, series, ["__rows"]).withColumnRenamed(_SLICE, PART)
+    # A bound on the parts that the rows can have, at eight rows to a byte.
+    parts = (_plain_bytes(df) or BLOCK_SLICES * PART_ROWS) * 8 // PART_ROWS
+    before = _totals_before(per_part, series, ["__rows"], parts, BLOCK_SLICES)
+    before = before.withColumnRenamed(_SLICE, PART)
     return (
         attach(df, broadcast_if_small(before), [*series, PART])
         .withColumn(index_col, F.col(_LOCAL) + F.col("__rows__before"))

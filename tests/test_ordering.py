@@ -88,3 +88,26 @@ def test_attach_by_part_small_and_large(table, monkeypatch, limit):
     found = ordering.attach_by_part(df, stats, ["s"], part_rows=8).collect()
     assert len(found) == 100
     assert {(r["s"], r["v"]) for r in found} == {("a", 1.0), ("b", 2.0)}
+
+
+@pytest.mark.parametrize("series", [[], ["s"]])
+def test_totals_of_blocks_of_blocks(spark, series):
+    """Slices summed in blocks of two, over several levels, give the same order."""
+    rows = spark.range(3000).selectExpr("id", "id % 3 AS s", "(id * 7919) % 3000 AS k")
+    options = dict(bounded=False, slices=23)
+    expected = {r.id: r.row_idx for r in ordering.index_rows(rows, ["k"], series, **options).collect()}
+    deep = ordering.index_rows(rows, ["k"], series, block_slices=2, **options)
+    assert {r.id: r.row_idx for r in deep.collect()} == expected
+    sums = {"total": F.col("k")}
+    flat = ordering.running_sums(rows, series, ["k"], sums, **options)
+    tree = ordering.running_sums(rows, series, ["k"], sums, block_slices=3, **options)
+    assert {r.id: r.total for r in tree.collect()} == {r.id: r.total for r in flat.collect()}
+
+
+def test_slices_follow_the_input(spark, monkeypatch):
+    rows = spark.range(4000)
+    assert ordering._slice_count(rows, None)[0] is None
+    monkeypatch.setattr(ordering, "SLICE_BYTES", 1000)
+    assert ordering._slice_count(rows, None) == (32, 32)
+    assert ordering._slice_count(rows, 5) == (5, 5)
+    assert ordering._slice_count(rows.join(rows, "id"), None)[0] is None

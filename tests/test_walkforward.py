@@ -196,3 +196,30 @@ def test_fit_needs_no_like_scales(table, wide, shape):
     support = found.filter("part = 'support' AND task_id = 0").first()
     kept = sum(i % 11 > 0 and i % 13 > 0 for i in range(shape.support - 1))
     assert support["n"] == kept
+
+
+def test_moments_of_a_whole_table_merge_as_a_tree(spark):
+    """Many tasks, more than one of each key, equal the one product of all rows."""
+    from driftwalk.operators import moments
+
+    rolls = np.random.default_rng(2)
+    values = rolls.normal(size=(900, 3)) + [1e6, 0, 5]
+    upper = np.triu_indices(3)
+    rows = []
+    for part in values.reshape(300, 3, 3):
+        apart = part - part.mean(0)
+        rows.append(
+            (3, part.sum(0).tolist(), (part.T @ part)[upper].tolist(), (apart.T @ apart)[upper].tolist())
+        )
+    schema = "n long, sums array<double>, products array<double>, spreads array<double>"
+    table = spark.createDataFrame(rows, schema).repartition(40)
+    monkey, moments.FAN = moments.FAN, 7
+    try:
+        found = walkforward.merge_moments(table, 3).collect()
+        assert walkforward.merge_moments(table.limit(0), 3).count() == 0
+    finally:
+        moments.FAN = monkey
+    apart = values - values.mean(0)
+    assert len(found) == 1 and found[0]["n"] == 900
+    np.testing.assert_allclose(found[0]["spreads"], (apart.T @ apart)[upper], atol=1e-7)
+    np.testing.assert_allclose(found[0]["sums"], values.sum(0), rtol=1e-12)
