@@ -9,18 +9,22 @@ and tables with the same members count once.
 
 Texts of equal shingle sets are one node from the start. The nodes of a left band are
 first compared with one of them, a pivot, instead of with each other. That joins most
-copies, and only tables that still hold several components are looked at. There, only
-members of other components than most of the table's are left, and these are compared
-with all the rest, again through pivots while that would be too many pairs. No pair of
-different components that share a table stays unchecked, and a table of one component
-costs no pairs of its own. Pairs are formed by left band, with a right band in common,
-rather than once per table.
+copies into components, and only pairs of different components are looked at after it.
+Such pairs meet by left band and by the size class of their sets, with a right band in
+common, which is a table of theirs; so they meet per left band, not once per table.
+
+Before any text is fetched, a pair must look similar enough by all its hash values: four
+bits of each are kept, laid out in planes, and the positions at which two texts differ
+are counted by built-in bit functions. The number allowed lies ``DEVIATIONS`` standard
+deviations above what a pair of just the wanted similarity differs by, which loses such
+a pair with probability 2e-5.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +38,10 @@ from driftwalk.staging import stage
 
 WORDS, PERCENT = 5, 80
 COLLECTIONS, BAND = 20, 4
-# Pivots are taken in turns while comparing all pairs left would make more than this
-# many pairs a node, for at most so many turns; then all pairs left are compared.
-PAIRS_PER_NODE, TURNS = 4, 12
+# Bits kept of every hash value, and how far above the mean a pair may differ.
+BITS, DEVIATIONS = 4, 4.2
+# Size classes are wider than the sizes of a pair can differ, against rounding.
+CLASS_SLACK = 1.001
 # Word hashes kept per Python worker; shingles hashed together.
 KEPT_WORDS, CHUNK = 400_000, 4096
 
@@ -109,6 +114,15 @@ def bands(least: np.ndarray) -> np.ndarray:
     return found
 
 
+def planes(least: np.ndarray) -> np.ndarray:
+    """The lowest ``BITS`` bits of each hash value, one run of 64-bit words per bit."""
+    found = _mixed(least)
+    padded = np.zeros((BITS, -(-len(found) // 64) * 64), np.uint8)
+    for bit in range(BITS):
+        padded[bit, : len(found)] = (found >> np.uint64(bit)) & np.uint64(1)
+    return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
+
+
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, arrays)])
     values = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -118,30 +132,34 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(text: Column, words: int) -> Column:
-    """Struct of ``n`` shingles, 16-byte ``node`` of the set, ``left`` and ``right`` bands."""
+    """Struct of ``n`` shingles, 16-byte ``node`` of the set, ``left`` and ``right`` bands,
+    and the ``planes`` of the hash values."""
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         none = np.empty(0, np.uint64)
         for batch in slices(texts):
-            sizes, nodes, left, right = [], [], [], []
+            sizes, nodes, left, right, bits = [], [], [], [], []
             for one in batch:
                 found = shingles(one.as_py(), words)
                 sizes.append(len(found))
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                keys = bands(min_hashes(found, 2 * COLLECTIONS * BAND)) if len(found) else none
+                least = min_hashes(found, 2 * COLLECTIONS * BAND) if len(found) else none
+                keys = bands(least) if len(found) else none
                 left.append(keys[:COLLECTIONS])
                 right.append(keys[COLLECTIONS:])
+                bits.append(planes(least))
             yield pa.StructArray.from_arrays(
                 [
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.binary()),
                     _longs(left),
                     _longs(right),
+                    _longs(bits),
                 ],
-                ["n", "node", "left", "right"],
+                ["n", "node", "left", "right", "planes"],
             )
 
-    kind = "n long, node binary, left array<long>, right array<long>"
+    kind = "n long, node binary, left array<long>, right array<long>, planes array<long>"
     return F.arrow_udf(batches, kind)(text)
 
 
@@ -183,7 +201,7 @@ def _shared_bands(nodes: DataFrame, side: str) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(nid, n, text_key, left, right, met) of the nodes that share bands on both sides.
+    """(nid, n, text_key, planes, left, right, met) of the nodes that share bands on both sides.
 
     ``met`` counts the nodes in all its left bands: the text that others are copies of
     meets more of them than its copies do, so it is the better pivot.
@@ -192,7 +210,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     bands_of = shared.select("nid", F.explode("left").alias("band"))
     sizes = bands_of.groupBy("band").agg(F.count("*").alias("size"))
     met = bands_of.join(sizes, "band").groupBy("nid").agg(F.sum("size").alias("met"))
-    return nodes.select("nid", "n", "text_key").join(shared, "nid").join(met, "nid")
+    return nodes.select("nid", "n", "text_key", "planes").join(shared, "nid").join(met, "nid")
 
 
 def _pivots(members: DataFrame) -> DataFrame:
@@ -203,42 +221,72 @@ def _pivots(members: DataFrame) -> DataFrame:
 
 def _pivot_pairs(candidates: DataFrame, percent: int) -> DataFrame:
     """(u, v): the nodes of each left band beside its pivot."""
-    members = candidates.select("nid", "n", "met", F.explode("left").alias("key"))
+    members = candidates.select("nid", "n", "met", "planes", F.explode("left").alias("key"))
     pivots = members.join(_pivots(members), ["key", "nid"])
-    pivots = pivots.select("key", F.col("nid").alias("p"), F.col("n").alias("n_p"))
-    met = members.join(pivots, "key").where(F.col("nid") != F.col("p"))
-    return met.where(_may_link(F.col("n"), F.col("n_p"), percent)).select(
-        F.least("nid", "p").alias("u"), F.greatest("nid", "p").alias("v")
+    pivots = pivots.select("key", *(F.col(c).alias(f"{c}_p") for c in ("nid", "n", "planes")))
+    met = members.join(pivots, "key").where(F.col("nid") != F.col("nid_p"))
+    return met.where(_may_link("n", "n_p", percent) & _look_alike("planes", "planes_p", percent)).select(
+        F.least("nid", "nid_p").alias("u"), F.greatest("nid", "nid_p").alias("v")
     )
 
 
-def _undecided(candidates: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, nid, n, right, met): left bands, as ``key``, of the members of every table that
-    holds several components.
+def _pairs_between(candidates: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(u, v): nodes of different components that share a table and look similar enough.
 
-    A table's key combines a left and a right band. Nodes that share a table share its
-    left band and some right band, which is how pairs are found again without meeting
-    in every one of their tables.
+    A table's key combines a left and a right band. A pair shares one if it shares a left
+    band, by which it is joined, and some right band. Sets that can be similar are of the
+    same size class or of neighbouring ones: the smaller set of a pair looks in its own
+    class and in the next. Bands of a single component leave before the join.
     """
-    keys = F.flatten(
-        F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b)))
-    )
     rooted = candidates.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "nid"))
-    held = stage(rooted.select("nid", "root", F.explode(keys).alias("key")), "keys")
+    rooted = rooted.select(
+        "nid", "n", "planes", "right", "left", F.coalesce("root", "nid").alias("root"),
+        F.floor(F.log("n") / math.log(CLASS_SLACK * 100 / percent)).alias("class"),
+    )
+    held = rooted.select("nid", "root", F.explode("left").alias("key"))
     several = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     several = several.where("a < b").select("key")
-    members = held.join(several, "key").select("nid").distinct()
-    return candidates.join(members, "nid").select(
-        F.explode("left").alias("key"), "nid", "n", "right", "met"
+    members = held.select("nid", "key").join(several, "key").join(rooted.drop("left"), "nid")
+    members = stage(members, "members")
+    larger = members.select(*(F.col(c).alias(f"{c}_p") for c in members.columns))
+    smaller = members.withColumn("looks_in", F.explode(F.array("class", F.col("class") + 1)))
+    ordered = F.struct("n", "nid") < F.struct("n_p", "nid_p")
+    met = smaller.join(
+        larger,
+        (F.col("key") == F.col("key_p"))
+        & (F.col("looks_in") == F.col("class_p"))
+        & (F.col("root") != F.col("root_p"))
+        & ordered
+        & _may_link("n", "n_p", percent)
+        & _look_alike("planes", "planes_p", percent)
+        & F.arrays_overlap("right", "right_p"),
     )
+    return met.select(F.least("nid", "nid_p").alias("u"), F.greatest("nid", "nid_p").alias("v"))
 
 
-def _may_link(n: Column, other: Column, percent: int) -> Column:
+def _may_link(n: str, other: str, percent: int) -> Column:
     """Sets of these sizes can be similar enough: the smaller is a large enough share."""
     return F.least(n, other) * 100 >= F.greatest(n, other) * percent
 
 
+def allowed_differences(percent: int) -> int:
+    """Hash values, by their kept bits, in which a pair of this similarity may differ."""
+    count, share = 2 * COLLECTIONS * BAND, (1 - percent / 100) * (1 - 0.5**BITS)
+    return math.ceil(count * share + DEVIATIONS * math.sqrt(count * share * (1 - share)))
+
+
+def _look_alike(one: str, other: str, percent: int) -> Column:
+    """The hash values of two nodes differ in few enough positions."""
+    words = -(-2 * COLLECTIONS * BAND // 64)
+
+    def differs(word: int) -> Column:
+        planes_of = [bit * words + word for bit in range(BITS)]
+        apart = [F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i))) for i in planes_of]
+        return F.bit_count(functools.reduce(lambda a, b: a.bitwiseOR(b), apart))
+
+    return sum(map(differs, range(words)), F.lit(0)) <= allowed_differences(percent)
+
+
 def _texts(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """(nid, n, text) of every candidate, one of its documents' texts each."""
     return (
@@ -262,74 +310,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return met.where(F.col("common") * 100 >= union * percent).select("u", "v")
 
 
-def _rest(tables: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of bands that hold several components; ``odd`` marks those outside the
-    component that most rows of their band belong to."""
-    labelled = tables.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select(
-        "key", "nid", "n", "right", "met", F.coalesce("root", "nid").alias("root")
-    )
-    shares = labelled.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    most = shares.groupBy("key").agg(
-        F.max(F.struct("rows", "root")).alias("most"), F.count("*").alias("roots")
-    )
-    most = most.where("roots > 1").select("key", F.col("most.root").alias("main"))
-    return labelled.join(most, "key").select(
-        "key", "nid", "n", "right", "met", "root", (F.col("root") != F.col("main")).alias("odd")
-    )
-
-
-def _star_roots(links: DataFrame) -> DataFrame:
-    """(node, root) with a root in the node's component, but not always the same one.
-
-    The least neighbour's least neighbour: enough to see that nodes of one root need
-    not be compared, for two joins instead of a search for components.
-    """
-    both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.groupBy("u").agg(F.min("v").alias("v"))
-    near = stage(near.select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "stars")
-    further = near.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return near.join(further, "root").select("node", F.col("top").alias("root"))
-
-
 def links_between(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v): confirmed links, enough of them to connect every component."""
     candidates = stage(_candidates(nodes), "candidates")
     texts = stage(_texts(candidates, docs), "texts")
     links = stage(_linked(_pivot_pairs(candidates, percent), texts, words, percent), "confirmed")
-    roots = stage(_star_roots(links), "roots")
-    tables, total = stage(_undecided(candidates, roots), "tables"), nodes.count()
-    for turn in range(TURNS + 1):
-        rest = stage(_rest(tables, roots), "rest")
-        odd = rest.where("odd")
-        sizes = rest.groupBy("key").agg(
-            F.count("*").alias("rows"), F.count_if("odd").alias("odds")
-        )
-        left = sizes.agg(F.sum(F.col("rows") * F.col("odds")).alias("pairs")).first()["pairs"] or 0
-        if not left:
-            break
-        last = left <= PAIRS_PER_NODE * total or turn == TURNS
-        if last:
-            ones = odd
-        else:
-            pivots = _pivots(odd)
-            ones = odd.join(pivots, ["key", "nid"])
-        one = ones.select("key", *(F.col(c).alias(f"{c}_p") for c in ("nid", "n", "root", "right")))
-        one = one.withColumnRenamed("nid_p", "p")
-        pairs = (
-            rest.join(one, "key")
-            .where((F.col("root") != F.col("root_p")) & _may_link(F.col("n"), F.col("n_p"), percent))
-            .where(F.arrays_overlap("right", "right_p"))
-            .select(F.least("nid", "p").alias("u"), F.greatest("nid", "p").alias("v"))
-        )
-        links = stage(links.unionAll(_linked(pairs, texts, words, percent)), "confirmed")
-        if last:
-            break
-        roots = stage(_star_roots(links), "roots")
-        # A pivot has met all others of its band, so it leaves the band.
-        tables = stage(
-            rest.select("key", "nid", "n", "right", "met").join(pivots, ["key", "nid"], "left_anti"), "tables"
-        )
-    return links
+    roots = connected_components(links)
+    further = _pairs_between(candidates, roots, percent)
+    return links.unionAll(_linked(further, texts, words, percent))
 
 
 def near_duplicates(
@@ -360,7 +348,7 @@ def near_duplicates(
         .groupBy("node")
         .agg(
             F.min("owner").alias("owner"),
-            *(F.first(c).alias(c) for c in ("n", "text_key", "left", "right")),
+            *(F.first(c).alias(c) for c in ("n", "text_key", "left", "right", "planes")),
         )
         .withColumn("nid", F.monotonically_increasing_id())
     )

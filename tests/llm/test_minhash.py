@@ -56,11 +56,8 @@ def test_equals_brute_force(rows, k):
     assert found(rows(docs, "doc_id long, text string"), words=k) == brute(docs, k)
 
 
-@pytest.mark.parametrize("turns", [0, 3])
-def test_group_without_a_centre(rows, monkeypatch, turns):
-    """Copies of one text that are like their neighbours only, through pivots or not."""
-    monkeypatch.setattr(minhash, "PAIRS_PER_NODE", 0)
-    monkeypatch.setattr(minhash, "TURNS", turns)
+def test_group_without_a_centre(rows):
+    """Copies of one text that are like their neighbours only."""
     rolls = random.Random(2)
     words = [f"w{i}" for i in range(200)]
     docs = []
@@ -114,3 +111,36 @@ def test_components(rows):
     assert {r.node: r.root for r in got} == classes(nodes, [x for x in links if x[0] != x[1]])
     assert len(got) == len(nodes)
     assert connected_components(rows(links, "u long, v long").limit(0)).count() == 0
+
+
+def test_common_passage_and_copies(rows):
+    """Texts that share a passage meet in its bands without being links; copies are."""
+    rolls = random.Random(8)
+    passage, docs = [f"p{i}" for i in range(60)], []
+    for i in range(120):
+        words = passage + [f"w{rolls.randrange(5000)}" for _ in range(rolls.choice([20, 60, 140]))]
+        docs.append((i, " ".join(words)))
+        if i % 3 == 0:
+            words[rolls.randrange(len(words))] = "changed"
+            docs.append((1000 + i, " ".join(words)))
+    assert found(rows(docs, "doc_id long, text string"), words=4) == brute(docs, 4)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_differences_allowed_keep_links(percent):
+    """Pairs of just the wanted similarity look alike by the kept bits of their values."""
+    rolls = np.random.default_rng(percent)
+    count, lost, far = 2 * minhash.COLLECTIONS * minhash.BAND, 0, 0
+
+    def differ(one, other):
+        a, b = (minhash.planes(minhash.min_hashes(np.unique(s), count)) for s in (one, other))
+        apart = np.bitwise_or.reduce((a ^ b).reshape(minhash.BITS, -1))
+        return int(np.unpackbits(apart.view(np.uint8)).sum())
+
+    allowed = minhash.allowed_differences(percent)
+    for _ in range(300):
+        base = rolls.integers(0, 2**63, 1000).astype(np.uint64)
+        alone = (1000 - 10 * percent) // 2
+        lost += differ(base[: 1000 - alone], base[alone:]) > allowed
+        far += differ(base[:600], base[500:]) > allowed  # similarity 0.1
+    assert lost <= 1 and far >= 299
