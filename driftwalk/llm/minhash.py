@@ -11,7 +11,7 @@ Texts of equal shingle sets are one node from the start. The nodes of a left ban
 first compared with one of them, a pivot, instead of with each other. That joins most
 copies into components, and only pairs of different components are looked at after it.
 Such pairs meet by left band and by the size class of their sets, with a right band in
-common, which is a table of theirs; so they meet per left band, not once per table.
+common, which is a table of theirs; a pair is formed once, not once per table.
 
 Before any text is fetched, a pair must look similar enough by all its hash values: four
 bits of each are kept, laid out in planes, and the positions at which two texts differ
@@ -234,7 +234,8 @@ def _pairs_between(candidates: DataFrame, roots: DataFrame, percent: int) -> Dat
     """(u, v): nodes of different components that share a table and look similar enough.
 
     A table's key combines a left and a right band. A pair shares one if it shares a left
-    band, by which it is joined, and some right band. Sets that can be similar are of the
+    band, by which it is joined, and some right band; it is formed in the least left band
+    that it shares. Sets that can be similar are of the
     same size class or of neighbouring ones: the smaller set of a pair looks in its own
     class and in the next. Bands of a single component leave before the join.
     """
@@ -246,7 +247,7 @@ def _pairs_between(candidates: DataFrame, roots: DataFrame, percent: int) -> Dat
     held = rooted.select("nid", "root", F.explode("left").alias("key"))
     several = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     several = several.where("a < b").select("key")
-    members = held.select("nid", "key").join(several, "key").join(rooted.drop("left"), "nid")
+    members = held.select("nid", "key").join(several, "key").join(rooted, "nid")
     members = stage(members, "members")
     larger = members.select(*(F.col(c).alias(f"{c}_p") for c in members.columns))
     smaller = members.withColumn("looks_in", F.explode(F.array("class", F.col("class") + 1)))
@@ -259,7 +260,8 @@ def _pairs_between(candidates: DataFrame, roots: DataFrame, percent: int) -> Dat
         & ordered
         & _may_link("n", "n_p", percent)
         & _look_alike("planes", "planes_p", percent)
-        & F.arrays_overlap("right", "right_p"),
+        & F.arrays_overlap("right", "right_p")
+        & (F.array_min(F.array_intersect("left", "left_p")) == F.col("key")),
     )
     return met.select(F.least("nid", "nid_p").alias("u"), F.greatest("nid", "nid_p").alias("v"))
 
