@@ -50,6 +50,13 @@ _SCHEMA = pa.schema(
 )
 
 
+def _utc(time: str) -> Column:
+    """ISO text of an instant in UTC, whatever the session's zone."""
+    plain = f"TIMESTAMP_NTZ'1970-01-01' + make_dt_interval(0, 0, 0, unix_seconds({time}))"
+    shown = F.substring(F.expr(plain).cast("string"), 1, 19)
+    return F.concat(F.replace(shown, F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def _records(pages: DataFrame, page_id: str, url: str, html: str, captured: str | None) -> DataFrame:
     """(head, payload) of every page's record; revisits have an empty payload."""
     time = column(captured).cast("timestamp") if captured else F.lit(None).cast("timestamp")
@@ -60,7 +67,7 @@ def _records(pages: DataFrame, page_id: str, url: str, html: str, captured: str
         F.coalesce(
             time,
             F.timestamp_seconds(
-                F.unix_timestamp(F.lit(FIRST_CAPTURE)) + F.coalesce(column(page_id), F.lit(0))
+                F.unix_seconds(F.lit(f"{FIRST_CAPTURE}Z").cast("timestamp")) + F.coalesce(column(page_id), F.lit(0))
             ),
         ).alias("captured"),
     ).withColumns(
@@ -93,7 +100,7 @@ def _records(pages: DataFrame, page_id: str, url: str, html: str, captured: str
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", identifier(F.col("page_id"))),
-        line("WARC-Date", F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", _utc("captured")),
         line("WARC-Target-URI", safe_url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(

@@ -55,6 +55,22 @@ def test_empty_table(spark, rows):
     assert captures.count() == 0 and warc.merge_captures(captures).count() == 0
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_are_utc_in_every_zone(spark, rows, zone):
+    pages = rows([(1, "u", "x", 1_710_037_800), (2, "v", "y", 1_730_611_800), (3, "w", "z", None)],
+                 f"{PAGES}, at long").selectExpr("*", "timestamp_seconds(at) AS time")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        found = round_trip(spark, pages, captured="time").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    first = f"{warc.FIRST_CAPTURE[:10]}T00:00:03Z"
+    assert {r.page_id: r.captured for r in found} == {
+        1: "2024-03-10T02:30:00Z", 2: "2024-11-03T05:30:00Z", 3: first,
+    }
+
+
 def test_histories_are_in_global_order(spark, rows):
     rolls = random.Random(1)
     pages = [(i, f"http://h{rolls.randrange(9)}.example/{rolls.randrange(4)}", f"p{i}") for i in range(500)]
