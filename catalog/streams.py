@@ -21,7 +21,7 @@ from catalog.tasks import loss_sql
 from driftwalk.operators import moments
 from driftwalk.operators.scaling import RobustScaler
 from driftwalk.staging import new_path
-from driftwalk.streaming.labels import LabelledBatches, stream_filter, stream_labels
+from driftwalk.streaming.labels import FilteredBatches, LabelledBatches, stream_filter, stream_labels
 from driftwalk.streaming.runs import process_available, read_stream, result_table
 
 
@@ -36,6 +36,16 @@ def filter_stream(spark, folder):
     return found.select("user_id", "row_idx", r6("filtered_price").alias("filtered_price"))
 
 
+@register("stream_filter_by_batch", ORACLES["high_pass_filter"])
+def filter_stream_by_batch(spark, folder):
+    """Micro-batches filtered by the batch operator, with tails kept in buckets."""
+    path = new_path(spark, "filtered-batches")
+    writer = FilteredBatches(path, EV_SERIES, EV_ORDER, "value", FILTER_LENGTH)
+    process_available(stream_of(spark, folder, "events"), each_batch=writer)
+    found = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/filtered")
+    return found.select("user_id", "row_idx", r6("filtered_price").alias("filtered_price"))
+
+
 STREAM_LABELS_SQL = f"""WITH RECURSIVE {labelled_sql()}
     SELECT user_id, CAST(row_idx AS BIGINT) AS row_idx, {sql_r6("l_value")} AS l_value
     FROM labelled WHERE future_filtered_price IS NOT NULL"""

@@ -64,8 +64,12 @@ class HighPass:
 
     @property
     def warm_up(self) -> int:
-        """Rows ahead of a part after which the zero start is forgotten."""
-        return self.block_rows + 2
+        """Rows ahead of a part that its values depend on.
+
+        These are the rest of a block, the block before, and two inputs. Numbers are
+        forgotten after one block already; a NaN reaches as far as the sums do.
+        """
+        return 2 * self.block_rows + 2
 
 
 def part_rows_for(reach: int, part_rows: int) -> int:
@@ -137,7 +141,8 @@ def add_high_pass(
     both = f"{response('__step', 'now')} + {response(f'(__step + {rows})', 'prev')}"
     helpers = ["__x1", "__x2", "__step", "__even", "__odd"]
     helpers += [f"{n}_{s}" for n in ("__even", "__odd") for s in ("now", "prev")]
-    return frame.withColumn(residual, F.expr(f"({both}) * {c1 / math.sin(w)!r}D")).drop(*helpers)
+    value = f"if(`{price}` IS NULL, NULL, ({both}) * {c1 / math.sin(w)!r}D)"
+    return frame.withColumn(residual, F.expr(value)).drop(*helpers)
 
 
 def high_pass_filter(
@@ -152,7 +157,10 @@ def high_pass_filter(
 ) -> DataFrame:
     """Price minus its high-pass residual; the residual itself on request.
 
-    Prices must not be null.
+    A null price has null results, is a zero to the two rows after it and adds nothing
+    itself. A NaN price makes the results of its block and of the next one NaN from its row
+    on (blocks of 18 rows per unit of length, counted by the index); one in the last two
+    rows of a block reaches one block further. Neither depends on the layout in parts.
     """
     shape = HighPass(length)
     part_rows = part_rows_for(shape.warm_up, part_rows)

@@ -42,3 +42,18 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right under ``path``; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    storage = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not storage.exists(place):
+        return []
+    return sorted(s.getPath().getName() for s in storage.listStatus(place) if s.isDirectory())

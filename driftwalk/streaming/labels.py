@@ -1,10 +1,11 @@
 """The high-pass filter and the trend labels on streams.
 
-Two ways, equal to the batch operators row by row. ``stream_filter`` and
-``stream_labels`` keep a few numbers per series as keyed state: right for many
-series. ``LabelledBatches`` runs the batch operator on every micro-batch
-together with the stored tail of each series: right when a few series carry
-much of the stream, since the batch operator splits a series into parts.
+Two ways, equal to the batch operators row by row, null and NaN included.
+``stream_filter`` and ``stream_labels`` keep a few numbers per series as keyed
+state: right for many series. ``FilteredBatches`` and ``LabelledBatches`` run the
+batch operator on every micro-batch together with the stored tails of its series:
+right when a few series carry much of the stream, since the batch operator splits
+a series into parts.
 
 Rows of one micro-batch may come in any order; across micro-batches a series
 must arrive in order.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import astuple, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -25,94 +26,147 @@ from pyspark.sql.types import StructType
 from driftwalk.operators.joins import attach, broadcast_if_small
 from driftwalk.operators.labels import trend_labels
 from driftwalk.operators.ordering import PART_ROWS, ROW, index_rows
-from driftwalk.operators.recurrence import HighPass
-from driftwalk.staging import stage
+from driftwalk.operators.recurrence import HighPass, high_pass_filter
+from driftwalk.staging import new_path, remove
+from driftwalk.streaming.tails import TailStore
 
-STATE_SCHEMA = "seen bigint, x1 double, x2 double, h1 double, h2 double, waiting array<double>"
+PRICE, MISSING = "__price", "__missing"
+
+STATE_SCHEMA = (
+    "seen bigint, x1 double, x2 double, even double, odd double, "
+    "even_before double, odd_before double, waiting array<double>"
+)
 
 
 @dataclass(frozen=True)
 class FilterState:
-    """What the filter remembers of a series: two inputs and two residuals."""
+    """What the filter remembers of a series.
+
+    The rows seen, the last two inputs (0 for a null), and the two running sums of the
+    block and of the block before: the same sums over the same blocks of rows as in the
+    batch operator, so that a NaN ends where it ends there.
+    """
 
+    seen: int = 0
     x1: float = 0.0
     x2: float = 0.0
-    h1: float = 0.0
-    h2: float = 0.0
+    even: float = 0.0
+    odd: float = 0.0
+    even_before: float = 0.0
+    odd_before: float = 0.0
 
 
-def advance(shape: HighPass, prices: np.ndarray, state: FilterState) -> tuple[np.ndarray, FilterState]:
-    """Residuals of the next prices, and the state after them."""
+def advance(
+    shape: HighPass, prices: np.ndarray, state: FilterState, missing: np.ndarray | None = None
+) -> tuple[np.ndarray, FilterState]:
+    """Residuals of the next prices, and the state after them.
+
+    ``missing`` marks null prices, whose residuals mean nothing.
+    """
+    if missing is None:
+        missing = np.zeros(len(prices), dtype=bool)
     residuals = np.empty(len(prices))
-    for start in range(0, len(prices), shape.block_rows):
-        block = slice(start, start + shape.block_rows)
-        residuals[block], state = _advance_block(shape, prices[block], state)
+    start = 0
+    while start < len(prices):
+        stop = start + shape.block_rows - state.seen % shape.block_rows
+        block = slice(start, stop)
+        residuals[block], state = _within_block(shape, prices[block], missing[block], state)
+        start = stop
     return residuals, state
 
 
-def _advance_block(shape: HighPass, x: np.ndarray, state: FilterState) -> tuple[np.ndarray, FilterState]:
-    c1, c2, c3 = shape.coefficients
-    w, steps = shape.rate, np.arange(len(x))
+def _within_block(
+    shape: HighPass, prices: np.ndarray, missing: np.ndarray, state: FilterState
+) -> tuple[np.ndarray, FilterState]:
+    w, rows = shape.rate, shape.block_rows
+    if state.seen % rows == 0:
+        state = replace(
+            state, even=0.0, odd=0.0, even_before=state.even, odd_before=state.odd
+        )
+    x = np.where(missing, 0.0, prices)
+    steps = state.seen % rows + np.arange(len(x))
     past = np.concatenate([[state.x2, state.x1], x])
-    drive = c1 * (past[2:] - 2 * past[1:-1] + past[:-2])
-    # The residuals before the block act like inputs at its first two rows.
-    drive[0] += c2 * state.h1 + c3 * state.h2
-    if len(x) > 1:
-        drive[1] += c3 * state.h1
-    even = np.cumsum(np.exp(w * steps) * np.cos(w * steps) * drive)
-    odd = np.cumsum(np.exp(w * steps) * np.sin(w * steps) * drive)
-    turn = w * (steps + 1)
-    out = np.exp(-w * steps) / math.sin(w) * (np.sin(turn) * even - np.cos(turn) * odd)
-    last = out[-2] if len(x) > 1 else state.h1
-    before = x[-2] if len(x) > 1 else state.x1
-    return out, replace(state, x1=float(x[-1]), x2=float(before), h1=float(out[-1]), h2=float(last))
+    bend = np.where(missing, 0.0, past[2:] - 2 * past[1:-1] + past[:-2])
+    growth = np.exp(w * steps)
+    even = np.cumsum(np.concatenate([[state.even], growth * np.cos(w * steps) * bend]))
+    odd = np.cumsum(np.concatenate([[state.odd], growth * np.sin(w * steps) * bend]))
+
+    def response(ages: np.ndarray, evens, odds) -> np.ndarray:
+        turn = w * (ages + 1)
+        return np.exp(-w * ages) * (np.sin(turn) * evens - np.cos(turn) * odds)
+
+    both = response(steps, even[1:], odd[1:])
+    both = both + response(steps + rows, state.even_before, state.odd_before)
+    after = replace(
+        state,
+        seen=state.seen + len(x),
+        x1=float(past[-1]),
+        x2=float(past[-2]),
+        even=float(even[-1]),
+        odd=float(odd[-1]),
+    )
+    return both * (shape.coefficients[0] / math.sin(w)), after
 
 
 def _key_fields(stream: DataFrame, series: Sequence[str]) -> StructType:
     return StructType([stream.schema[c] for c in series])
 
 
+def _doubles(values: np.ndarray, missing: np.ndarray) -> pd.Series:
+    """A column in which null and NaN stay apart."""
+    return pd.Series(pd.arrays.FloatingArray(values, missing))
+
+
 def _stateful(stream: DataFrame, series, order, price, shape, shift, output: StructType) -> DataFrame:
     series, order = list(series), list(order)
 
     def handle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, *numbers, waiting = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, [])
-        # One series' share of a micro-batch, which the trigger bounds.
-        rows = pd.concat(list(frames)).sort_values(order)
-        prices = rows[price].to_numpy(dtype=np.float64)
-        residuals, after = advance(shape, prices, FilterState(*numbers))
-        filtered = prices - residuals
+        *numbers, waiting = state.get if state.exists else (*astuple(FilterState()), [])
+        before = FilterState(*numbers)
+        # One series' share of a micro-batch, which the trigger bounds: order and price.
+        rows = pd.concat(list(frames)).sort_values(order, ignore_index=True)
+        prices = rows[PRICE].to_numpy(dtype=np.float64)
+        missing = rows[MISSING].to_numpy(dtype=bool)
+        with np.errstate(invalid="ignore", over="ignore"):
+            residuals, after = advance(shape, prices, before, missing)
+            filtered = prices - residuals
         if shift is None:
             out = rows[order].assign(
-                row_idx=seen + np.arange(len(rows)), filtered_price=filtered, residual=residuals
+                row_idx=before.seen + np.arange(len(rows)),
+                filtered_price=_doubles(filtered, missing),
+                residual=_doubles(residuals, missing),
             )
             waiting = []
         else:
-            # Prices whose label needs a later row wait in the state.
-            open_prices = np.concatenate([np.asarray(waiting, dtype=np.float64), prices])
-            ready = max(len(open_prices) - shift, 0)
-            ahead = filtered[len(filtered) - ready :] if ready else filtered[:0]
-            current = open_prices[:ready]
-            known = current != 0
-            label = np.full(ready, np.nan)
-            label[known] = (ahead[known] - current[known]) / current[known]
+            # Prices whose label needs a later row wait in the state, nulls as None.
+            first = before.seen - len(waiting)
+            absent = np.concatenate([[p is None for p in waiting], missing]).astype(bool)
+            held = np.array([math.nan if p is None else p for p in waiting], dtype=np.float64)
+            held = np.concatenate([held, prices])
+            ready = max(len(held) - shift, 0)
+            tail = slice(len(filtered) - ready, None)
+            ahead, unknown = filtered[tail], missing[tail]
+            current, void = held[:ready], absent[:ready]
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                label = (ahead - current) / current
             out = pd.DataFrame(
                 {
-                    "row_idx": seen - len(waiting) + np.arange(ready),
-                    "price": current,
-                    "future_filtered_price": ahead,
-                    "l_value": label,
+                    "row_idx": first + np.arange(ready),
+                    "price": _doubles(current, void),
+                    "future_filtered_price": _doubles(ahead, unknown),
+                    "l_value": _doubles(label, void | unknown | (current == 0)),
                 }
             )
-            waiting = open_prices[ready:].tolist()
-        state.update(
-            (int(seen + len(rows)), after.x1, after.x2, after.h1, after.h2, waiting)
-        )
+            left = zip(held[ready:], absent[ready:])
+            waiting = [None if gone else float(p) for p, gone in left]
+        state.update((*astuple(after), waiting))
         for name, value in zip(series, key):
             out.insert(0, name, value)
-        yield out[[f.name for f in output]]
+        if len(out):
+            yield out[[f.name for f in output]]
 
-    kept = stream.select(*series, *order, F.col(price).cast("double").alias(price))
+    value = F.col(price).cast("double")
+    kept = stream.select(*series, *order, value.alias(PRICE), value.isNull().alias(MISSING))
     return kept.groupBy(*series).applyInPandasWithState(
         handle, output, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
@@ -144,20 +198,17 @@ def stream_labels(
         raise ValueError("shift length must not be negative")
     output = _key_fields(stream, series).add(ROW, "long").add("price", "double")
     output = output.add("future_filtered_price", "double").add("l_value", "double")
-    found = _stateful(
-        stream, series, order, price, HighPass(filter_length), shift_length, output
-    )
-    return found.withColumn("l_value", F.when(~F.isnan("l_value"), F.col("l_value")))
+    return _stateful(stream, series, order, price, HighPass(filter_length), shift_length, output)
 
 
 @dataclass
-class LabelledBatches:
-    """``foreachBatch`` writer that labels micro-batches with the batch operator.
+class _TailedBatches:
+    """Micro-batches joined to the stored tail of their series.
 
-    Each batch writes two folders named after it: the rows that got their label
-    and the tail of every series that later rows need. A batch run again after
-    a failure overwrites what it wrote before and reads the tail of the batch
-    before it, so results do not change.
+    The tails lie in ``buckets`` folders by a hash of the series (the number must stay
+    the same as long as the stream lives). A micro-batch reads and replaces only the
+    buckets its series fall into. A batch run again after a failure reads the tails of
+    before it and overwrites what it wrote, so results do not change.
     """
 
     path: str
@@ -165,44 +216,96 @@ class LabelledBatches:
     order: Sequence[str]
     price: str
     filter_length: float = 10.0
-    shift_length: int = 10
-    part_rows: int = PART_ROWS
+    part_rows: int = field(default=PART_ROWS, kw_only=True)
+    buckets: int = field(default=64, kw_only=True)
 
     @property
     def tail_rows(self) -> int:
-        return HighPass(self.filter_length).warm_up + self.shift_length
-
-    def _tail(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        schema = _key_fields(batch, self.series).add(ROW, "long").add("price", "double")
-        return batch.sparkSession.read.schema(schema).parquet(f"{self.path}/tail/{batch_id - 1}")
+        return HighPass(self.filter_length).warm_up
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+    def _numbered(self, batch: DataFrame) -> DataFrame:
         keys = list(self.series)
         rows = batch.select(*keys, *self.order, F.col(self.price).cast("double").alias("price"))
-        rows = index_rows(rows, self.order, keys).select(*keys, ROW, "price")
-        tail = self._tail(batch, batch_id)
-        fresh = F.lit(0).cast("bigint").alias("from_row")
+        return index_rows(rows, self.order, keys)
+
+    def _with_tails(self, rows: DataFrame, tail: DataFrame | None) -> DataFrame:
+        """New rows numbered on from the tails, and the tails; ``length`` is the rows
+        that were known of a series before."""
+        none = F.lit(0).cast("bigint")
         if tail is None:
-            known = rows.withColumn("from_row", F.lit(0).cast("bigint"))
-        else:
-            ends = tail.groupBy(*keys).agg((F.max(ROW) + 1).alias("length"))
-            moved = attach(rows, broadcast_if_small(ends), keys, "left")
-            length = F.coalesce("length", F.lit(0))
-            moved = moved.withColumn(ROW, F.col(ROW) + length).drop("length")
-            known = tail.unionByName(moved)
-            starts = ends.withColumn("from_row", F.greatest(F.col("length") - self.shift_length, F.lit(0)))
-            known = attach(known, broadcast_if_small(starts.drop("length")), keys, "left")
-            known = known.withColumn("from_row", F.coalesce("from_row", F.lit(0)))
-        known = stage(known, "batch")
+            return rows.withColumn("length", none)
+        keys = list(self.series)
+        ends = broadcast_if_small(tail.groupBy(*keys).agg((F.max(ROW) + 1).alias("length")))
+        moved = attach(rows, ends, keys, "left")
+        moved = moved.withColumn(ROW, F.col(ROW) + F.coalesce("length", none)).drop("length")
+        known = attach(tail.unionByName(moved, allowMissingColumns=True), ends, keys, "left")
+        return known.withColumn("length", F.coalesce("length", none))
+
+    def _results(self, known: DataFrame) -> DataFrame:
+        """Rows of this batch's result, from the ``known`` rows with ``length``."""
+        raise NotImplementedError
+
+    def _ends(self, known: DataFrame) -> DataFrame:
+        return broadcast_if_small(known.groupBy(*self.series).agg(F.max(ROW).alias("last")))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        keys, spark = list(self.series), batch.sparkSession
+        store = TailStore(spark, f"{self.path}/tail", self.buckets)
+        rows = self._numbered(batch)
+        schema = rows.select(*keys, ROW, "price").schema
+        touched = store.touched(batch.select(*keys), keys)
+        tail = store.read(schema, touched, batch_id)
+        place = new_path(spark, "batch")
+        joined = self._with_tails(rows, tail)
+        joined.write.parquet(place)
+        known = spark.read.schema(joined.schema).parquet(place)
+        results = self._results(known)
+        results.write.mode("overwrite").parquet(f"{self.path}/{self.folder}/{batch_id}")
+        kept = attach(known, self._ends(known), keys)
+        kept = kept.filter(F.col(ROW) > F.col("last") - self.tail_rows)
+        store.replace(kept.select(*keys, ROW, "price"), keys, touched, batch_id)
+        remove(spark, place)
+
+
+@dataclass
+class FilteredBatches(_TailedBatches):
+    """``foreachBatch`` writer that filters micro-batches with the batch operator.
+
+    Writes the filtered price and the residual of every arriving row to a folder
+    ``filtered`` named after the batch.
+    """
+
+    folder = "filtered"
+
+    def _results(self, known: DataFrame) -> DataFrame:
+        found = high_pass_filter(
+            known, "price", self.filter_length, list(self.series), residual="residual", part_rows=self.part_rows
+        )
+        new = found.filter(F.col(ROW) >= F.col("length"))
+        return new.select(*self.series, *self.order, ROW, "filtered_price", "residual")
+
+
+@dataclass
+class LabelledBatches(_TailedBatches):
+    """``foreachBatch`` writer that labels micro-batches with the batch operator.
+
+    Writes the rows that got their label to a folder ``labels`` named after the batch.
+    """
+
+    shift_length: int = 10
+    folder = "labels"
+
+    @property
+    def tail_rows(self) -> int:
+        return HighPass(self.filter_length).warm_up + self.shift_length
+
+    def _results(self, known: DataFrame) -> DataFrame:
+        keys = list(self.series)
+        known = attach(known, self._ends(known), keys)
         labelled = trend_labels(
             known, "price", self.filter_length, self.shift_length, keys, part_rows=self.part_rows
         )
-        done = F.col("future_filtered_price").isNotNull() & (F.col(ROW) >= F.col("from_row"))
-        out = labelled.filter(done).select(*keys, ROW, "price", "future_filtered_price", "l_value")
-        out.write.mode("overwrite").parquet(f"{self.path}/labels/{batch_id}")
-        last = known.groupBy(*keys).agg(F.max(ROW).alias("last"))
-        kept = attach(known.drop("from_row"), broadcast_if_small(last), keys)
-        kept = kept.filter(F.col(ROW) > F.col("last") - self.tail_rows).drop("last")
-        kept.write.mode("overwrite").parquet(f"{self.path}/tail/{batch_id}")
+        reached = F.col(ROW) + self.shift_length <= F.col("last")
+        done = reached & (F.col(ROW) >= F.col("length") - self.shift_length)
+        out = labelled.filter(done)
+        return out.select(*keys, ROW, "price", "future_filtered_price", "l_value")

@@ -62,6 +62,25 @@ def test_batch_advance_equals_loop():
     np.testing.assert_allclose(np.concatenate(out), looped(xs, 10), atol=1e-10)
 
 
+@pytest.mark.parametrize("at", [100, 180, 181, 400])
+def test_nan_and_null_whatever_the_parts(table, at):
+    """A NaN ends with the block after its own (two after, when its bends reach over)."""
+    xs = [float(x) for x in walk(1200, 7)]
+    xs[at], xs[700], xs[701] = math.nan, None, None
+    df = table(list(enumerate(xs)), "row_idx bigint, x double")
+    rows = recurrence.HighPass(10).block_rows
+    last = ((at + 2) // rows + 2) * rows
+    for part_rows in (1, 4096):
+        found = recurrence.high_pass_filter(df, "x", 10, residual="hp", part_rows=part_rows)
+        hp = {r["row_idx"]: r["hp"] for r in found.collect()}
+        assert [i for i in hp if hp[i] is None] in ([700, 701], [701, 700])
+        assert {i for i in hp if hp[i] is not None and math.isnan(hp[i])} == set(range(at, last)) - {700, 701}
+    part, state = advance(recurrence.HighPass(10), np.array([math.nan if x is None else x for x in xs]),
+                          FilterState(), np.array([x is None for x in xs]))
+    np.testing.assert_allclose([part[i] for i in range(1200) if xs[i] is not None],
+                               [hp[i] for i in range(1200) if xs[i] is not None], atol=1e-9)
+
+
 @pytest.mark.parametrize("keep", [0.3, 0.9])
 def test_decayed_sums(table, keep):
     xs = np.random.default_rng(5).normal(size=2500)
