@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftwalk.operators import selection
 from driftwalk.operators.scaling import MAD_SCALE, RobustScaler, SeriesScaler, training_head
 from driftwalk.operators.selection import exact_medians
 from driftwalk.staging import new_path
@@ -63,19 +64,38 @@ def columns():
     yield "two_values", np.where(np.arange(n) < 2500, 1.0, 2.0)
     yield "constant", np.full(n, 4.0)
     yield "extremes", np.concatenate([rng.normal(size=n - 4), [1e300, -1e300, np.inf, -np.inf]])
+    yield "mostly_infinite", np.where(rng.random(n) < 0.7, np.inf, rng.normal(size=n))
+    yield "tiny", rng.integers(-3, 9, n) * 5e-324
+    yield "last_bits", 1.0 + rng.integers(0, 4000, n) * 2.0**-52
+    yield "negative", -np.exp(rng.normal(0, 100, n))
+    yield "signed_zeros", np.where(rng.random(n) < 0.5, -0.0, 0.0)
+    yield "apart", np.where(np.arange(n) % 2 == 0, -1.7e308, 1.7e307)
 
 
-@pytest.mark.parametrize("size", [5001, 5000])
-def test_exact_medians(spark, size):
+@pytest.mark.parametrize("size,buckets", [(5001, 65_536), (5000, 65_536), (5000, 7)])
+def test_exact_medians(spark, size, buckets):
     data = dict(columns())
     import pandas as pd
 
     df = spark.createDataFrame(pd.DataFrame(data).iloc[:size]).repartition(4)
-    found = exact_medians(df, {c: F.col(c) for c in data}, accuracy=100, sort_limit=50)
+    found = exact_medians(df, {c: F.col(c) for c in data}, buckets)
     for name, values in data.items():
         assert found[name] == np.median(values[:size]), name
 
 
+def test_passes_are_few(spark, monkeypatch):
+    """Dense normal values, all columns together: a pass by size and at most three more."""
+    rng = np.random.default_rng(9)
+    import pandas as pd
+
+    data = pd.DataFrame({"x": rng.normal(size=200_000), "y": np.exp(rng.normal(0, 50, 200_000))})
+    passes = []
+    look = selection._buckets_of_ranks
+    monkeypatch.setattr(selection, "_buckets_of_ranks", lambda *a: passes.append(1) or look(*a))
+    found = exact_medians(spark.createDataFrame(data), {"x": F.col("x"), "y": F.col("y")})
+    assert found == {c: np.median(data[c]) for c in data} and len(passes) <= 4
+
+
 def test_median_of_nothing(table):
     df = table([(None, float("nan"))], "x double, y double")
     assert exact_medians(df, {"x": F.col("x"), "y": F.col("y")}) == {"x": None, "y": None}
