@@ -43,9 +43,10 @@ def groups_are_bounded(
 
 def _plain_bytes(df: DataFrame) -> int | None:
     """Estimated size of a table that is read and filtered; None where joins or the like
-    make the estimate a guess."""
+    make the estimate a guess, and where rows come from elsewhere than storage, whose size
+    counts as the largest number there is."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    if any(word in plan.toString() for word in ("Join", "Generate", "Aggregate", "Expand")):
+    if any(word in plan.toString() for word in ("Join", "Generate", "Aggregate", "Expand", "LogicalRDD")):
         return None
     return int(str(plan.stats().sizeInBytes()))
 

@@ -111,3 +111,12 @@ def test_slices_follow_the_input(spark, monkeypatch):
     assert ordering._slice_count(rows, None) == (32, 32)
     assert ordering._slice_count(rows, 5) == (5, 5)
     assert ordering._slice_count(rows.join(rows, "id"), None)[0] is None
+
+
+def test_rows_not_from_storage_have_no_known_size(spark, table):
+    """Their estimate is the largest long, which once asked for 2**35 slices."""
+    made = table([("a", 1), ("a", 0), (None, 0)], "s string, i int")
+    assert ordering._plain_bytes(made) is None
+    assert ordering._plain_bytes(spark.range(10).filter("id > 3")) < 1000
+    found = ordering.running_sums(made, [], ["i", "s"], {"n": F.lit(1)}, bounded=False).collect()
+    assert sorted(r["n"] for r in found) == [1, 2, 3]
