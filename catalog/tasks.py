@@ -461,6 +461,25 @@ def metric_spearman_large_groups(spark, folder):
     return found.select("event_type", r6("spearman").alias("spearman"))
 
 
+HEAVY_SQL = """SELECT event_type, CAST(CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id END AS DOUBLE) AS p,
+  (event_id * 7919) % 100003 + value AS t FROM events"""
+
+
+@register(
+    "metric_spearman_heavy_value",
+    f"""WITH e AS ({HEAVY_SQL}), {RANKS_SQL.format(by="event_type", source="e")}
+        SELECT event_type, {sql_r6("corr(rp, rt)")} AS spearman FROM ranked GROUP BY event_type""",
+)
+def metric_spearman_heavy_value(spark, folder):
+    """One prediction of every type stands in half of the type's distinct pairs."""
+    from catalog.base import read
+
+    read(spark, folder, "events").createOrReplaceTempView("events")
+    rows = spark.sql(HEAVY_SQL)
+    found = metrics.regression_metrics(rows, "p", "t", ["event_type"], ["spearman"], piece_rows=200)
+    return found.select("event_type", r6("spearman").alias("spearman"))
+
+
 HOT_SQL = """SELECT event_type, CASE WHEN event_id % 4 = 0 THEN value ELSE 0 END AS p,
   CASE WHEN event_id % 4 = 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) ELSE 0 END AS t FROM events"""
 

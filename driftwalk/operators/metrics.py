@@ -12,14 +12,15 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftwalk.operators.joins import attach
+from driftwalk.operators.joins import attach, broadcast_if_small
 from driftwalk.operators.ordering import groups_are_bounded, running_sums
 from driftwalk.staging import stage
 
 # Fixed value: smallest magnitude a percentage error divides by.
 PERCENT_FLOOR = 1.17e-6
 
-_RANK_SALTS = 16
+# Distinct pairs of one value that a join key may hold, and values that may hold more.
+PIECE_ROWS, HEAVY_VALUES = 1 << 20, 50_000
 
 
 def _ratio(above: Column, below: Column) -> Column:
@@ -80,11 +81,13 @@ def regression_metrics(
     by: Sequence[str],
     metrics: Sequence[str] = tuple(REGRESSION),
     bounded: bool = False,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """One row per group and one column per metric, in a single aggregate.
 
     Rows with an unknown prediction or target do not count. ``spearman`` adds
-    a ranking; ``bounded`` states that groups are short, as tasks are.
+    a ranking; ``bounded`` states that groups are short, as tasks are, and
+    ``piece_rows`` is how many distinct pairs of a value one join key may hold.
     """
     _known_names(metrics, [*REGRESSION, RANKED])
     by = list(by)
@@ -97,7 +100,7 @@ def regression_metrics(
         rows = _with_ranks(rows, by)
         columns[RANKED] = _pearson(F.col("rank_p"), F.col("rank_t"))
         return rows.groupBy(*by).agg(*[columns[m].alias(m) for m in metrics])
-    ranked = _rank_correlation(rows, by)
+    ranked = _rank_correlation(rows, by, piece_rows)
     if columns:
         found = rows.groupBy(*by).agg(*[c.alias(m) for m, c in columns.items()])
         if by:
@@ -117,7 +120,7 @@ def _with_ranks(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows
 
 
-def _rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
+def _rank_correlation(rows: DataFrame, by: list[str], piece_rows: int) -> DataFrame:
     """``spearman`` per group from its distinct pairs, each counted once.
 
     However many rows a pair has, it is one row from the first partial count on.
@@ -126,8 +129,13 @@ def _rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
     pairs = stage(pairs, "pairs")
     # Ranks of n rows have the mean (n + 1) / 2, about which they are summed.
     middles = pairs.groupBy(*by).agg(((F.sum("rows") + 1) / 2).alias("__middle"))
-    for name in ("p", "t"):
-        pairs = _attach_ranks(pairs, by, name)
+    piece = max(piece_rows, -(-pairs.count() // HEAVY_VALUES))
+    tables = {name: _rank_table(pairs, by, name, piece) for name in ("p", "t")}
+    for name, (ranks, heavy) in tables.items():
+        keys, other = [*by, name], "t" if name == "p" else "p"
+        salt = F.pmod(F.xxhash64(other), F.coalesce("__pieces", F.lit(1))).cast("int")
+        pairs = attach(pairs, heavy, keys, "left").withColumn("__salt", salt).drop("__pieces")
+        pairs = attach(pairs, ranks, [*keys, "__salt"]).drop("__salt")
     if by:
         pairs = attach(pairs, middles, by)
     else:
@@ -138,20 +146,27 @@ def _rank_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(_ratio(F.sum(n * p * t), spread).alias(RANKED))
 
 
-def _attach_ranks(pairs: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Ranks from counts of distinct values, joined back with salted keys.
+def _rank_table(
+    pairs: DataFrame, by: list[str], name: str, piece: int
+) -> tuple[DataFrame, DataFrame]:
+    """Ranks of the distinct values, and the values in more than ``piece`` pairs.
 
-    A value with many partners is one row of the rank table but many rows here; the
-    salt, a hash of the partner, spreads those over several join keys.
+    A heavy value has many rows in ``pairs``: its rank is there once for each of the
+    ``__pieces`` that a hash of the partner splits it into. A piece holds a fixed share
+    of the pairs at least, so no more than ``HEAVY_VALUES`` values can be heavy.
     """
-    counts = pairs.groupBy(*by, name).agg(F.sum("rows").alias("ties"))
+    counts = pairs.groupBy(*by, name).agg(
+        F.sum("rows").alias("ties"), F.count(F.lit(1)).alias("partners")
+    )
+    counts = stage(counts, "values")
+    pieces = F.expr(f"cast(partners div {piece}L + 1 as int)").alias("__pieces")
+    heavy = counts.filter(F.col("partners") > piece).select(*by, name, pieces)
+    heavy = broadcast_if_small(heavy)
     upto = running_sums(counts, by, [name], {"upto": F.col("ties")})
     rank = F.col("upto") - (F.col("ties") - 1) / 2
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_RANK_SALTS - 1)))
-    ranks = upto.select(*by, name, rank.alias(f"rank_{name}"), salts.alias("__salt"))
-    other = "t" if name == "p" else "p"
-    salted = pairs.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(_RANK_SALTS)).cast("int"))
-    return attach(salted, ranks, [*by, name, "__salt"]).drop("__salt")
+    upto = attach(upto.select(*by, name, rank.alias(f"rank_{name}")), heavy, [*by, name], "left")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))
+    return upto.withColumn("__salt", salts).drop("__pieces"), heavy
 
 
 def predicted_class(score: str | None = None, scores: str | None = None, binary: bool = True) -> Column:

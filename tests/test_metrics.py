@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from driftwalk.operators import metrics
 
@@ -234,3 +235,21 @@ def test_rank_correlation_without_groups_and_of_constants(table):
     assert r["mse"] == pytest.approx(-((p - t) ** 2).mean())
     flat = df.withColumn("p", df.p * 0 + 7)
     assert metrics.regression_metrics(flat, "p", "t", [], ["spearman"]).first()["spearman"] is None
+
+
+def test_heavy_values_are_split_as_far_as_they_need(spark, table):
+    """One value holds half of the distinct pairs; the others a pair each."""
+    n, piece = 4000, 50
+    rng = np.random.default_rng(11)
+    p = np.where(np.arange(n) % 2 == 0, 0.0, rng.permutation(n) + 1.0)
+    t = rng.permutation(n).astype(float)
+    df = table([(float(a), float(b)) for a, b in zip(p, t)], "p double, t double")
+    r = metrics.regression_metrics(df, "p", "t", [], ["spearman"], piece_rows=piece).first()
+    assert r["spearman"] == pytest.approx(np.corrcoef(pd.Series(p).rank(), pd.Series(t).rank())[0, 1])
+    pairs = df.withColumn("rows", F.lit(1))
+    ranks, heavy = metrics._rank_table(pairs, [], "p", piece)
+    assert [tuple(r) for r in heavy.collect()] == [(0.0, 41)]
+    assert ranks.count() == n // 2 + 41
+    key = F.pmod(F.xxhash64("t"), F.lit(41))
+    sizes = [r["count"] for r in pairs.filter("p = 0").groupBy(key).count().collect()]
+    assert len(sizes) == 41 and max(sizes) < 2 * n // 2 / 41
