@@ -17,7 +17,10 @@ Before any text is fetched, a pair must look similar enough by all its hash valu
 bits of each are kept, laid out in planes, and the positions at which two texts differ
 are counted by built-in bit functions. The number allowed lies ``DEVIATIONS`` standard
 deviations above what a pair of just the wanted similarity differs by, which loses such
-a pair with probability 2e-5.
+a pair with probability 2e-5. Pairs of different components are then held against a bound
+that loses none: every shingle flips one bit of its set's parity, so two sets differ in at
+least as many shingles as their parities in bits, and of too many differences no link is
+made. In a group of copies that differ a little too much, few pairs are left for the texts.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ WORDS, PERCENT = 5, 80
 COLLECTIONS, BAND = 20, 4
 # Bits kept of every hash value, and how far above the mean a pair may differ.
 BITS, DEVIATIONS = 4, 4.2
+# Bits of a parity: at least so many, and so many for each shingle.
+LEAST_BITS, BITS_EACH = 512, 2
 # Size classes are wider than the sizes of a pair can differ, against rounding.
 CLASS_SLACK = 1.001
 # Word hashes kept per Python worker; shingles hashed together.
@@ -123,6 +128,13 @@ def planes(least: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def parity(sets: np.ndarray) -> np.ndarray:
+    """Bits that the members of a set flip one each, a power of two of them, as 64-bit words."""
+    size = max(LEAST_BITS, 1 << (BITS_EACH * len(sets) - 1).bit_length())
+    flipped = np.bincount((sets & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flipped.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, arrays)])
     values = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -133,12 +145,12 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
 
 def sketch(text: Column, words: int) -> Column:
     """Struct of ``n`` shingles, 16-byte ``node`` of the set, ``left`` and ``right`` bands,
-    and the ``planes`` of the hash values."""
+    the ``planes`` of the hash values and the ``parity`` of the set."""
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         none = np.empty(0, np.uint64)
         for batch in slices(texts):
-            sizes, nodes, left, right, bits = [], [], [], [], []
+            sizes, nodes, left, right, bits, flips = [], [], [], [], [], []
             for one in batch:
                 found = shingles(one.as_py(), words)
                 sizes.append(len(found))
@@ -148,6 +160,7 @@ def sketch(text: Column, words: int) -> Column:
                 left.append(keys[:COLLECTIONS])
                 right.append(keys[COLLECTIONS:])
                 bits.append(planes(least))
+                flips.append(parity(found) if len(found) else none)
             yield pa.StructArray.from_arrays(
                 [
                     pa.array(sizes, pa.int64()),
@@ -155,11 +168,15 @@ def sketch(text: Column, words: int) -> Column:
                     _longs(left),
                     _longs(right),
                     _longs(bits),
+                    _longs(flips),
                 ],
-                ["n", "node", "left", "right", "planes"],
+                ["n", "node", "left", "right", "planes", "parity"],
             )
 
-    kind = "n long, node binary, left array<long>, right array<long>, planes array<long>"
+    kind = (
+        "n long, node binary, left array<long>, right array<long>, planes array<long>, "
+        "parity array<long>"
+    )
     return F.arrow_udf(batches, kind)(text)
 
 
@@ -201,7 +218,7 @@ def _shared_bands(nodes: DataFrame, side: str) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(nid, n, text_key, planes, left, right, met) of the nodes that share bands on both sides.
+    """(nid, n, text_key, planes, parity, left, right, met) of the nodes that share bands on both sides.
 
     ``met`` counts the nodes in all its left bands: the text that others are copies of
     meets more of them than its copies do, so it is the better pivot.
@@ -210,7 +227,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     bands_of = shared.select("nid", F.explode("left").alias("band"))
     sizes = bands_of.groupBy("band").agg(F.count("*").alias("size"))
     met = bands_of.join(sizes, "band").groupBy("nid").agg(F.sum("size").alias("met"))
-    return nodes.select("nid", "n", "text_key", "planes").join(shared, "nid").join(met, "nid")
+    own = nodes.select("nid", "n", "text_key", "planes", "parity")
+    return own.join(shared, "nid").join(met, "nid")
 
 
 def _pivots(members: DataFrame) -> DataFrame:
@@ -231,7 +249,7 @@ def _pivot_pairs(candidates: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_between(candidates: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(u, v): nodes of different components that share a table and look similar enough.
+    """(u, v): nodes of different components that share a table and may be similar enough.
 
     A table's key combines a left and a right band. A pair shares one if it shares a left
     band, by which it is joined, and some right band; it is formed in the least left band
@@ -241,7 +259,7 @@ def _pairs_between(candidates: DataFrame, roots: DataFrame, percent: int) -> Dat
     """
     rooted = candidates.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
     rooted = rooted.select(
-        "nid", "n", "planes", "right", "left", F.coalesce("root", "nid").alias("root"),
+        "nid", "n", "planes", "parity", "right", "left", F.coalesce("root", "nid").alias("root"),
         F.floor(F.log("n") / math.log(CLASS_SLACK * 100 / percent)).alias("class"),
     )
     held = rooted.select("nid", "root", F.explode("left").alias("key"))
@@ -260,6 +278,7 @@ def _pairs_between(candidates: DataFrame, roots: DataFrame, percent: int) -> Dat
         & ordered
         & _may_link("n", "n_p", percent)
         & _look_alike("planes", "planes_p", percent)
+        & _differ_little("parity", "parity_p", "n", "n_p", percent)
         & F.arrays_overlap("right", "right_p")
         & (F.array_min(F.array_intersect("left", "left_p")) == F.col("key")),
     )
@@ -289,6 +308,26 @@ def _look_alike(one: str, other: str, percent: int) -> Column:
     return sum(map(differs, range(words)), F.lit(0)) <= allowed_differences(percent)
 
 
+def _differ_little(one: str, other: str, n: str, n_other: str, percent: int) -> Column:
+    """Sets of these parities and sizes can be similar enough; true for all that are.
+
+    Of n + m shingles a linked pair has at most (100 - percent) / (100 + percent) in one
+    set only. The longer parity is folded to the length of the shorter; beyond twice
+    its length the sizes alone decide.
+    """
+    words = F.least(F.size(one), F.size(other))
+
+    def folded(bits: str) -> Column:
+        halves = F.slice(bits, 1, words), F.slice(bits, words + 1, words)
+        half = F.zip_with(*halves, lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(bits) == 2 * words, half).otherwise(F.col(bits))
+
+    apart = F.zip_with(folded(one), folded(other), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    least = F.aggregate(apart, F.lit(0), lambda found, more: found + more)
+    far = least * (100 + percent) > (F.col(n) + F.col(n_other)) * (100 - percent)
+    return ~F.coalesce(far, F.lit(False))
+
+
 def _texts(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """(nid, n, text) of every candidate, one of its documents' texts each."""
     return (
@@ -350,7 +389,7 @@ def near_duplicates(
         .groupBy("node")
         .agg(
             F.min("owner").alias("owner"),
-            *(F.first(c).alias(c) for c in ("n", "text_key", "left", "right", "planes")),
+            *(F.first(c).alias(c) for c in ("n", "text_key", "left", "right", "planes", "parity")),
         )
         .withColumn("nid", F.monotonically_increasing_id())
     )

@@ -144,3 +144,49 @@ def test_differences_allowed_keep_links(percent):
         lost += differ(base[: 1000 - alone], base[alone:]) > allowed
         far += differ(base[:600], base[500:]) > allowed  # similarity 0.1
     assert lost <= 1 and far >= 299
+
+
+def test_parities_keep_links(rows):
+    """Sets at the limit stay, of one length of parity or of two; those well below do not."""
+    rolls = np.random.default_rng(5)
+    made, linked, far = [], [], []
+    for n in (5, 127, 128, 240, 256, 280, 300, 1100, 3000):
+        for share in (0.6, 0.79, 0.8, 0.81, 1):
+            base = rolls.integers(0, 2**63, 3 * n).astype(np.uint64)
+            for size in (n, int(n * 0.9), int(n * 0.81)):
+                one = base[:n]
+                common = min(size, round(share * (n + size) / (1 + share)))
+                other = np.concatenate([base[:common], base[n : n + size - common]])
+                pair = [minhash.parity(x).view(np.int64).tolist() for x in (one, other)]
+                made.append((len(made), *pair, n, size))
+                linked.append(100 * common >= 80 * (n + size - common))
+                far.append(100 * common < 65 * (n + size - common))
+    table = rows(made, "id int, a array<long>, b array<long>, n long, m long")
+    stay = {r.id for r in table.where(minhash._differ_little("a", "b", "n", "m", 80)).collect()}
+    assert all(i in stay for i, link in enumerate(linked) if link)
+    assert sum(far) > 20 and not any(i in stay for i, apart in enumerate(far) if apart)
+
+
+def test_near_copies_below_the_limit_form_few_pairs(rows):
+    """Copies of one text that are all a little too different to be linked."""
+    rolls, docs = random.Random(6), []
+    words = [f"w{i}" for i in range(150)]
+    for i in range(200):
+        places = set(rolls.sample(range(150), 4))
+        changed = [f"x{i}-{j}" if j in places else w for j, w in enumerate(words)]
+        docs.append((i, " ".join(changed)))
+    table = rows(docs, "doc_id long, text string")
+    nodes = table.select(
+        minhash.F.col("doc_id").alias("nid"),
+        minhash._text_key("text").alias("text_key"),
+        minhash.sketch(minhash.F.col("text"), 4).alias("sketch"),
+    ).select("nid", "text_key", "sketch.*")
+    roots = rows([], "node long, root long")
+    pairs = minhash._pairs_between(minhash._candidates(nodes), roots, 80).collect()
+    sets = {d: shingle_set(t, 4) for d, t in docs}
+    links = {
+        (a, b) for a, b in combinations(sets, 2)
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    }
+    assert links <= {(r.u, r.v) for r in pairs}
+    assert len(pairs) <= len(links) + 200
