@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import json
 import os
 import re
@@ -29,7 +28,7 @@ from driftwalk.staging import stage
 # Pairs held by the most texts are broadcast, so many at most (24 bytes each).
 BROADCAST_PAIRS = 500_000
 # Words of a kind kept with their ids of A by a worker, and the longest worth it.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 64
+KEPT_WORDS, KEPT_LENGTH = 400_000, 64
 
 # Characters whose classes are the same in every engine, and words of them as A cuts them.
 _LETTER, _NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -40,6 +39,8 @@ WORDS = re.compile(
 )
 # Texts aligned before a batch of results is handed on, and linked ids formed at once.
 TEXTS, LINKS = 64, 1 << 20
+# Characters of texts whose words are looked up together, one text at least.
+CHARACTERS = 1 << 20
 
 ALIGNED = (
     "key binary, copies long, n_a long, n_b long, n_groups long, n_links long, "
@@ -99,78 +100,131 @@ class Aligner:
         self.bytes = entries, pieces
         self.sizes = tuple(np.array([len(x) for x in side], dtype=np.int64) for side in self.bytes)
         # Every id with a comma behind it, then with the sign that ends its side of a group.
-        self.names = [
-            f"{i}{sign}"
-            for side, end in zip(self.bytes, "|;")
-            for sign in (",", end)
-            for i in range(len(side))
-        ]
+        self.names = np.array(
+            [
+                f"{i}{sign}".encode()
+                for side, end in zip(self.bytes, "|;")
+                for sign in (",", end)
+                for i in range(len(side))
+            ]
+        )
         self.span = len(pieces)
-        # Words met lately and those before; what is still in use moves over.
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        # The bytes of B's pieces one after the other, and where each begins.
+        self.flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.starts = np.cumsum(self.sizes[1]) - self.sizes[1]
+        # Words met lately and those before, with their ids as bytes of 32-bit integers;
+        # what is still in use moves over.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_a(self, text: str) -> list[int]:
-        return self.a.encode(text, add_special_tokens=False).ids
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def bytes_of(self, side: int, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes[side].__getitem__, ids))
 
     def ids_a(self, text: str) -> list[int] | None:
-        """Ids of A, by way of words met before in plain texts; None if they do not come back.
+        """Ids of A of one text; None if they do not come back."""
+        (found,) = self.all_ids_a([text])
+        return None if found is None else found.tolist()
+
+    def all_ids_a(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of A of each text, by way of words met before in plain texts.
 
         The encoder cuts a text into words and encodes each by itself. Of plain
         characters every engine's classes are the same, so words are cut here too.
+        Words that do not come back stay unknown; their texts are encoded whole.
         """
+        cut = [WORDS.findall(text) if PLAIN.fullmatch(text) else None for text in texts]
         known = self.words
-        if PLAIN.fullmatch(text):
-            words = WORDS.findall(text)
-            new = {word for word in words if word not in known}
-            again = {word: self.older[word] for word in new if word in self.older}
-            known.update(again)
-            new.difference_update(again)
-            if not new or self._learn(new):
-                found = list(itertools.chain.from_iterable(map(known.__getitem__, words)))
-                for word in new:
-                    if len(word) > KEPT_LENGTH:
-                        del known[word]
-                if len(known) > KEPT_WORDS:
-                    self.older, self.words = known, {}
-                return found
-        found = self.encode_a(text)
-        return found if self.bytes_of(0, found) == text.encode() else None
-
-    def _learn(self, new: set[str]) -> bool:
-        """Encode words not met yet; false if one does not come back.
-
-        Those of a blank and letters are one text: no token reaches over two of them,
-        so the sizes of the tokens part them again.
+        new = set().union(*filter(None, cut)).difference(known)
+        self._learn(new)
+        found = []
+        for text, words in zip(texts, cut):
+            try:
+                ids = None if words is None else b"".join(map(known.__getitem__, words))
+            except KeyError:
+                ids = None
+            if ids is not None:
+                found.append(np.frombuffer(ids, dtype=np.uint32).astype(np.int64))
+                continue
+            whole = self.encode_a(text)
+            back = self.bytes_of(0, whole) == text.encode()
+            found.append(np.array(whole, dtype=np.int64) if back else None)
+        for word in new:
+            if len(word) > KEPT_LENGTH:
+                known.pop(word, None)
+        if len(known) > KEPT_WORDS:
+            self.older, self.words = known, {}
+        return found
+
+    def _learn(self, new: set[str]) -> None:
+        """Make words known, from those of before or encoded, if they come back.
+
+        Words of letters are one text, those without a blank behind line ends: no token
+        reaches over two of them, so the sizes of the tokens part them again.
         """
-        blank = [word for word in new if word[0] == " " and word[1:].isalpha()]
-        made = {word: self.encode_a(word) for word in new.difference(blank)}
-        if any(self.bytes_of(0, ids) != word.encode() for word, ids in made.items()):
+        older, known = self.older, self.words
+        letters, rest = [], []
+        for word in new:
+            if word in older:
+                known[word] = older[word]
+            elif word.isalpha():
+                letters.append("\n" + word)
+            elif word[0] == " " and word[1:].isalpha():
+                letters.append(word)
+            else:
+                rest.append(word)
+        if letters:
+            ids = np.array(self.encode_a("".join(letters)), dtype=np.uint32)
+            whole = [word.encode() for word in letters]
+            due, ends = np.cumsum([len(word) for word in whole]), np.cumsum(self.sizes[0][ids])
+            stops = np.searchsorted(ends, due) + 1
+            if self.bytes_of(0, ids.tolist()) == b"".join(whole) and (ends[stops - 1] == due).all():
+                made, start = ids.tobytes(), 0
+                for word, stop in zip(letters, (4 * stops).tolist()):
+                    if word[0] == "\n":
+                        known[word[1:]] = made[start + 4 : stop]
+                    else:
+                        known[word] = made[start:stop]
+                    start = stop
+            else:
+                rest += [word.removeprefix("\n") for word in letters]
+        for word in rest:
+            ids = self.encode_a(word)
+            if self.bytes_of(0, ids) == word.encode():
+                known[word] = np.array(ids, dtype=np.uint32).tobytes()
+
+    def _comes_back_b(self, ids: np.ndarray, body: bytes) -> bool:
+        """The bytes of these ids of B are ``body``."""
+        sizes = self.sizes[1][ids]
+        if sizes.sum() != len(body):
             return False
-        if blank:
-            ids, whole = self.encode_a("".join(blank)), [word.encode() for word in blank]
-            if self.bytes_of(0, ids) != b"".join(whole):
-                return False
-            stops = np.cumsum([len(word) for word in whole])
-            stops = np.searchsorted(np.cumsum(self.sizes[0][ids]), stops) + 1
-            start = 0
-            for word, stop in zip(blank, stops.tolist()):
-                made[word] = ids[start:stop]
-                start = stop
-        self.words.update(made)
-        return True
+        if len(body) > LINKS:
+            return self.bytes_of(1, ids.tolist()) == body
+        at = np.repeat(self.starts[ids] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(body))
+        return bool((self.flat[at] == np.frombuffer(body, dtype=np.uint8)).all())
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A and B; None where the bytes of either are not a blank and the text."""
-        if not text or (a := self.ids_a(" " + text)) is None:
-            return None
-        b = self.b.encode(text, num_threads=1)
-        if self.bytes_of(1, b) != b" " + text.encode():
-            return None
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        return next(self.all_tokens([text]))
+
+    def all_tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """``tokens`` of each text; words are looked up for some texts at a time."""
+        start = 0
+        while start < len(texts):
+            stop, size = start + 1, len(texts[start])
+            while stop < len(texts) and size + len(texts[stop]) <= CHARACTERS:
+                size += len(texts[stop])
+                stop += 1
+            part = texts[start:stop]
+            for text, a in zip(part, self.all_ids_a([" " + text for text in part])):
+                if not text or a is None:
+                    yield None
+                    continue
+                b = np.array(self.b.encode(text, num_threads=1), dtype=np.int64)
+                yield (a, b) if self._comes_back_b(b, b" " + text.encode()) else None
+            start = stop
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The group of every token: the number of common ends before its own end."""
@@ -181,7 +235,7 @@ class Aligner:
         common = [marks[end] for marks, end in zip(reversed(ended), ends)]
         return tuple(np.cumsum(shared) - shared for shared in common)
 
-    def written(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> str:
+    def written(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the groups with the ids of A and B in order."""
         ends_a = np.append(np.flatnonzero(np.diff(in_a)), len(a) - 1)
         ends_b = np.append(np.flatnonzero(np.diff(in_b)), len(b) - 1)
@@ -193,7 +247,7 @@ class Aligner:
         codes = np.empty(len(a) + len(b), dtype=np.int64)
         codes[np.arange(len(a)) + np.append(0, ends_b + 1)[in_a]] = code_a
         codes[np.arange(len(b)) + (ends_a + 1)[in_b]] = code_b
-        return "".join(map(self.names.__getitem__, codes.tolist()))[:-1]
+        return self.names[codes].tobytes().translate(None, b"\0")[:-1]
 
     def links(
         self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray
@@ -264,13 +318,13 @@ def align_texts(docs: DataFrame, paths: Tokenizers, text: str = "text") -> DataF
             for start in range(0, batch.num_rows, TEXTS):
                 piece = batch.slice(start, TEXTS)
                 rows = []
-                for value, copies in zip(piece.column(0), piece.column(1)):
-                    body = value.as_py()
-                    if (ids := aligner.tokens(body)) is None:
+                bodies = piece.column(0).to_pylist()
+                for body, copies, ids in zip(bodies, piece.column(1), aligner.all_tokens(bodies)):
+                    if ids is None:
                         continue
                     groups = aligner.groups(*ids)
                     pairs, times = aligner.links(*ids, *groups)
-                    digest = hashlib.sha256(aligner.written(*ids, *groups).encode()).hexdigest()
+                    digest = hashlib.sha256(aligner.written(*ids, *groups)).hexdigest()
                     rows.append(
                         (
                             hashlib.sha256(body.encode()).digest(), copies.as_py(), len(ids[0]), len(ids[1]),

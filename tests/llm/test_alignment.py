@@ -1,5 +1,7 @@
 import hashlib
+import json
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -124,3 +126,61 @@ def test_words_kept_change_nothing(monkeypatch):
     for text in sentences(9, 30):
         assert aligner.ids_a(" " + text) == aligner.encode_a(" " + text)
         assert len(aligner.words) + len(aligner.older) < 300
+
+
+def direct(aligner, text):
+    """Ids of both by the libraries' own calls, None if their bytes are not the text."""
+    ids = aligner.a.encode(" " + text, add_special_tokens=False).ids, aligner.b.encode(text)
+    whole = (" " + text).encode()
+    back = all(b"".join(aligner.bytes[i][x] for x in ids[i]) == whole for i in (0, 1))
+    return ids if text and back else None
+
+
+def listed(found):
+    return [None if ids is None else tuple(side.tolist() for side in ids) for ids in found]
+
+
+@pytest.mark.parametrize("kept, characters", [(400_000, 1 << 20), (50, 300), (5, 1)])
+def test_texts_together_give_the_same_ids(monkeypatch, kept, characters):
+    monkeypatch.setattr(al, "KEPT_WORDS", kept)
+    monkeypatch.setattr(al, "CHARACTERS", characters)
+    aligner = al.Aligner(al.public())
+    texts = sentences(10, 60) + [t or "" for t in ODD] + ["s\nts\nve 's", "été\nÀb " + "y" * 80] * 2
+    for again in range(2):
+        assert listed(aligner.all_tokens(texts)) == [direct(aligner, t) for t in texts]
+        assert not any(len(w) > al.KEPT_LENGTH for w in aligner.words)
+    assert list(aligner.all_tokens([])) == []
+
+
+def test_words_of_a_batch_are_encoded_in_one_call(monkeypatch):
+    aligner = al.Aligner(al.public())
+    texts = [f"Begin{'abcdefghij'[i % 10]} some\nWords{'klmnopqrst'[i // 10]} more" for i in range(60)]
+    calls, encode = [], aligner.encode_a
+    monkeypatch.setattr(aligner, "encode_a", lambda text: calls.append(text) or encode(text))
+    assert None not in list(aligner.all_tokens(texts))
+    assert len(calls) == 2  # the words of letters, and the line end
+
+
+def test_words_that_do_not_come_back(tmp_path):
+    """A lacks a letter: texts with it have no tokens, those beside them keep theirs."""
+    paths = al.public()
+    content = json.loads(Path(paths.a).read_text(encoding="utf-8"))
+    model = content["model"]
+    model["vocab"] = {entry: i for entry, i in model["vocab"].items() if "z" not in entry}
+    model["merges"] = [m for m in model["merges"] if "z" not in "".join(m)]
+    own = tmp_path / "lacking.json"
+    own.write_text(json.dumps(content), encoding="utf-8")
+    aligner = al.Aligner(al.Tokenizers(str(own), paths.b))
+    texts = ["one two", "a zebra\nzoo two", "one\nmore", "", "日本 z", "two more"]
+    got = listed(aligner.all_tokens(texts))
+    assert got == [direct(aligner, t) for t in texts]
+    assert [ids is None for ids in got] == [False, True, False, True, True, False]
+
+
+def test_groups_written_as_text():
+    aligner = al._aligner(al.public())
+    for text in ["one", "don't we'll I'VE", "x" * 500, *sentences(12, 20)]:
+        ids = aligner.tokens(text)
+        groups = brute_groups(aligner, text)
+        expected = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        assert aligner.written(*ids, *aligner.groups(*ids)) == expected.encode()
